@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word is a maximal run without space, tab, line feed, vertical tab, form feed or carriage return.
@@ -54,3 +55,30 @@ def fold(doc_id: Column, modulus: int) -> Column:
 def unit_hash(seed: int, *columns: Column) -> Column:
     """A number in [0, 1) that depends on the values and the seed alone."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(1 << 53))
+
+
+def ranks(rows: DataFrame, group: list[str], order: str, ties: list[str], out: str, most: int = 100_000) -> DataFrame:
+    """rows with their 1-based rank `out` in the group, by `order` (a double in [0, 1)), then `ties`.
+
+    Each group is cut into ranges of `order` of about equal counts, so that no task sorts more than one
+    range of a group however large the group is; a range holds at most about `most` rows. The ranges'
+    counts, added up in order, give each range the rank it starts from. Rows equal in `order` and `ties`
+    share a range and take its ranks in any order.
+    """
+    total = rows.count()
+    each = max(1, min(most, total // (16 * partitions(rows.sparkSession))))
+    if group:
+        sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / each).alias("_ranges"))
+        rows = rows.join(sizes, group)
+    else:
+        rows = rows.withColumn("_ranges", F.lit(max(1, -(-total // each))))
+    rows = rows.withColumn("_range", F.floor(F.col(order) * F.col("_ranges"))).drop("_ranges")
+    before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy(*group, "_range").agg(F.count("*").alias("_n")).select(*group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(W.partitionBy(*group, "_range").orderBy(order, *ties))
+    return rows.join(starts, [*group, "_range"]).withColumn(out, F.col("_before") + within).drop("_range", "_before")
+
+
+def null_safe(column: Column) -> Column:
+    """A string that tells null from every value: 'n' for null, 's' and the value otherwise."""
+    return F.coalesce(F.concat(F.lit("s"), column.cast("string")), F.lit("n"))

@@ -248,6 +248,17 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
 
 
+def grouped(own: DataFrame, limit: int = MAX_DISTANCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """own (doc_id, bits, ...) with root, the fingerprint that stands for the group, and component_id, its smallest id."""
+    first = park(own.groupBy("bits").agg(F.min("doc_id").alias("first_id")))
+    roots = park(components(links(first.select("bits"), limit, block_rows)).withColumnsRenamed({"node": "bits"}))
+    lowest = roots.join(first, "bits").groupBy("root").agg(F.min("first_id").alias("lowest"))
+    of_bits = first.join(roots.join(lowest, "root"), "bits", "left").select(
+        "bits", F.coalesce("root", "bits").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("lowest")).alias("component_id")
+    )
+    return own.join(of_bits, "bits")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = MAX_DISTANCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row (doc_id, bits, component_id) per input row.
 
@@ -257,8 +268,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ignored; an empty table gives none.
     """
     own = park(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("bits")))
-    first = park(own.groupBy("bits").agg(F.min("doc_id").alias("first_id")))
-    roots = park(components(links(first.select("bits"), limit, block_rows)).withColumnsRenamed({"node": "bits"}))
-    lowest = roots.join(first, "bits").groupBy("root").agg(F.min("first_id").alias("lowest"))
-    of_bits = first.join(roots.join(lowest, "root").select("bits", "lowest"), "bits", "left").select("bits", F.coalesce("lowest", "first_id").alias("component_id"))
-    return own.join(of_bits, "bits").select("doc_id", "bits", "component_id")
+    return grouped(own, limit, block_rows).select("doc_id", "bits", "component_id")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = MAX_DISTANCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The rows of docs that stay when one of each group does: the one with the smallest id, all its columns kept.
+
+    Rows with equal ids in a group are told apart by a hash of their text, and of wholly repeated ones one stays.
+    """
+    digest = F.xxhash64(F.lit(6), F.col(text))
+    own = park(docs.select(F.col(doc_id).alias("doc_id"), digest.alias("digest"), fingerprints(F.col(text)).alias("bits")))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    keep = park(grouped(own, limit, block_rows).groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("_keep_id"), F.col("first.digest").alias("_keep_digest")).distinct())
+    kept = docs.join(keep, docs[doc_id].eqNullSafe(keep["_keep_id"]) & (digest == keep["_keep_digest"]), "left_semi")
+    repeated = own.join(keep, own["doc_id"].eqNullSafe(keep["_keep_id"]) & (own["digest"] == keep["_keep_digest"])).count() > keep.count()
+    return kept.dropDuplicates([doc_id, text]) if repeated else kept
