@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from locuslake.llm.hashed import Adam, Sparse, bucket, sigmoid
+from locuslake.llm.shared import park
 
 BUCKETS = 1 << 24
 PREFIXES = (4, 5, 6, 7)
@@ -30,6 +31,7 @@ PREFIXES = (4, 5, 6, 7)
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 8000
 #: A feature takes part if its frequency in positives exceeds that in unlabelled texts by so many standard errors.
 SCREEN_Z = 4.0
+MAX_FEATURES = 20_000
 STEPS, RATE, DECAY = 400, 0.05, 1e-3
 CACHE = 500_000
 
@@ -72,16 +74,13 @@ class Scorer:
         return score
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Scorer:
-    """Minimises the non-negative risk; without positives every text scores near the prior, which is then 0."""
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: np.ndarray, prior: float) -> Scorer:
+    """Minimises the non-negative risk over rows of features, sorted ones of which are chosen.
+
+    Without positives or unlabelled rows every text scores the prior.
+    """
     prior = min(max(prior, 1e-6), 0.95)
     n_pos, n_unl = max(1, len(positive)), max(1, len(unlabelled))
-    ids, at = np.unique(np.concatenate([*positive, *unlabelled, np.empty(0, np.int64)]), return_inverse=True)
-    split = sum(len(r) for r in positive)
-    f_pos, f_unl = np.bincount(at[:split], minlength=len(ids)) / n_pos, np.bincount(at[split:], minlength=len(ids)) / n_unl
-    mean = (f_pos * n_pos + f_unl * n_unl) / (n_pos + n_unl)
-    z = (f_pos - f_unl) / np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / n_pos + 1 / n_unl))
-    chosen = ids[(z >= SCREEN_Z) & (f_pos * n_pos >= 3)]
     pick = lambda rows: Sparse([np.searchsorted(chosen, r[np.isin(r, chosen)]) for r in rows])
     pos, unl = pick(positive), pick(unlabelled)
     size = len(chosen)
@@ -104,12 +103,23 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     return Scorer({int(i): float(w) for i, w in zip(chosen, weights, strict=True) if abs(w) > 1e-3}, bias)
 
 
+def screen(counts: DataFrame, n_pos: int, n_unl: int) -> np.ndarray:
+    """Sorted features whose frequency in positives exceeds that in unlabelled texts by SCREEN_Z standard errors, the
+    MAX_FEATURES with the largest excess at most. counts: feature, pos, unl."""
+    f_pos, f_unl = F.col("pos") / max(1, n_pos), F.col("unl") / max(1, n_unl)
+    mean = (F.col("pos") + F.col("unl")) / max(1, n_pos + n_unl)
+    z = (f_pos - f_unl) / F.sqrt(F.greatest(mean * (1 - mean), F.lit(1e-12)) * (1 / max(1, n_pos) + 1 / max(1, n_unl)))
+    top = counts.withColumn("z", z).filter((F.col("z") >= SCREEN_Z) & (F.col("pos") >= 3)).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
+    return np.sort(np.array([r["feature"] for r in top.select("feature").collect()], np.int64))
+
+
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Scorer:
     """Fits a scorer on texts of labelled documents.
 
     Of the labels only `toxic` = 1 is used as such. The unlabelled texts are drawn, by a hash of the id and up
     to max_unlabelled, from all labelled documents with the label hidden, so that they hold toxic ones at the
-    class prior, which is the share of toxic labels. Rows with a null id or a null label are no labels.
+    class prior, which is the share of toxic labels. Features are counted and screened in Spark; the driver gets
+    the screened ones alone. Rows with a null id or a null label are no labels.
     """
     rated = labels.filter(F.col(doc_id).isNotNull() & F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(toxic).alias("_toxic"))
     total = rated.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("_toxic") == 1).cast("long")), F.lit(0)).alias("toxic")).first()
@@ -119,15 +129,27 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         .union(rated.orderBy(by_hash, "_id").limit(max_unlabelled).select("_id", F.lit(False)))
     )
     # the sample is bounded by max_positive + max_unlabelled rows of a few bytes
-    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").select(F.col("_positive").alias("positive"), "text")
+    texts = park(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").select(F.col("_positive").alias("positive"), "text"))
+    n_pos, n_unl = (texts.filter(F.col("positive") == kind).count() for kind in (True, False))
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 500):
+                part = batch.iloc[k : k + 500]
+                kinds = [np.concatenate([*(features(t) for t in part["text"][part["positive"] == kind]), np.empty(0, np.int64)]) for kind in (True, False)]
+                found, at = np.unique(np.concatenate(kinds), return_inverse=True)
+                yield pd.DataFrame({"feature": found, "pos": np.bincount(at[: len(kinds[0])], minlength=len(found)), "unl": np.bincount(at[len(kinds[0]) :], minlength=len(found))})
+
+    counts = texts.mapInPandas(counted, "feature long, pos long, unl long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
+    screened = screen(counts, n_pos, n_unl)
 
     def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"positive": batch["positive"], "ids": [features(t).astype(np.int32).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"positive": batch["positive"], "ids": [np.intersect1d(features(t), screened, assume_unique=True).astype(np.int32).tobytes() for t in batch["text"]]})
 
     rows = texts.mapInPandas(extracted, "positive boolean, ids binary").toPandas()
-    parts = [[np.sort(np.frombuffer(b, np.int32)) for b in sorted(rows["ids"][rows["positive"] == kind])] for kind in (True, False)]
-    return fit(*parts, prior=total["toxic"] / total["n"] if total["n"] else 0.0)
+    parts = [[np.frombuffer(b, np.int32).astype(np.int64) for b in sorted(rows["ids"][rows["positive"] == kind])] for kind in (True, False)]
+    return fit(*parts, screened, prior=total["toxic"] / total["n"] if total["n"] else 0.0)
 
 
 def scorer(model: Scorer) -> Callable[[Column], Column]:
