@@ -118,9 +118,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of docs, with all its columns, as often as it is taken."""
-    tie = F.xxhash64(*[F.col(c) for c in docs.columns])
-    taken = park(mix(docs, doc_id, text, source, weights, budget, cap, seed).groupBy("doc_id", "tie").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows")).withColumnsRenamed({"doc_id": "_id", "tie": "_tie"}))
+    taken = mix(docs, doc_id, text, source, weights, budget, cap, seed).groupBy("doc_id", "tie").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows"))
+    taken = park(taken.withColumnsRenamed({"doc_id": "taken_id", "tie": "taken_tie"}))
     # wholly repeated rows are interchangeable: one of them stands for all, with their copies added up
-    rows = docs.dropDuplicates() if taken.filter("_rows > 1").limit(1).count() else docs
-    joined = rows.join(taken.filter("_copies > 0"), rows[doc_id].eqNullSafe(taken["_id"]) & (tie == taken["_tie"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    rows = docs.dropDuplicates() if taken.filter("rows > 1").limit(1).count() else docs
+    rows = rows.select(F.col(doc_id).alias("own_id"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("own_tie"), F.struct("*").alias("row"))
+    joined = rows.join(taken.filter("copies > 0"), F.col("own_id").eqNullSafe(F.col("taken_id")) & (F.col("own_tie") == F.col("taken_tie")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -279,7 +279,10 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     digest = F.xxhash64(F.lit(6), F.col(text))
     own = park(docs.select(F.col(doc_id).alias("doc_id"), digest.alias("digest"), fingerprints(F.col(text)).alias("bits")))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
-    keep = park(grouped(own, limit, block_rows).groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("_keep_id"), F.col("first.digest").alias("_keep_digest")).distinct())
-    kept = docs.join(keep, docs[doc_id].eqNullSafe(keep["_keep_id"]) & (digest == keep["_keep_digest"]), "left_semi")
-    repeated = own.join(keep, own["doc_id"].eqNullSafe(keep["_keep_id"]) & (own["digest"] == keep["_keep_digest"])).count() > keep.count()
-    return kept.dropDuplicates([doc_id, text]) if repeated else kept
+    first = grouped(own, limit, block_rows).groupBy("root").agg(F.min(order).alias("first"))
+    keep = park(first.select(F.col("first.doc_id").alias("keep_id"), F.col("first.digest").alias("keep_digest")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), digest.alias("digest"), F.struct("*").alias("row"))
+    kept = rows.join(keep, same, "left_semi")
+    repeated = own.join(keep, same, "left_semi").count() > keep.count()
+    return (kept.dropDuplicates(["doc_id", "digest"]) if repeated else kept).select("row.*")
