@@ -203,9 +203,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
                 rows = [(d, i, *x) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for i, x in sorted(index.leaks(t, least, overlap).items())]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        part = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(search, f"doc_id long, {LEAK}")
+        # ids travel as text: pandas would turn a column of numbers with a null among them into floats
+        part = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text")).mapInPandas(search, f"doc_id string, {LEAK}")
         found = part if found is None else found.union(part)
-    return found
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def leak_test(index: Index, least: float = MIN_SCORE, overlap: float = MIN_OVERLAP) -> Callable[[Column], Column]:

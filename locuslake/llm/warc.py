@@ -167,26 +167,23 @@ class LoserTree:
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Merges a partition's pieces of runs; page ids travel as text, since pandas has no exact numbers beside nulls."""
     runs: dict[str, list[tuple]] = {}
     columns: list[str] = []
     for batch in batches:
         columns = list(batch.columns)
+        file = columns.index("file")
         for row in batch.itertuples(index=False, name=None):
-            runs.setdefault(row[-4], []).append(row)
-    tree = LoserTree([runs[f] for f in sorted(runs)], lambda r: (r[0], r[1], not pd.isna(r[3]), 0 if pd.isna(r[3]) else int(r[3])))
+            runs.setdefault(row[file], []).append(row)
+    tree = LoserTree([runs[f] for f in sorted(runs)], lambda r: (r[0], r[1], r[3] is not None, int(r[3] or 0)))
     held: list[tuple] = []
     for row in tree:
         held.append(row)
         if len(held) == 10_000:
-            yield _frame(held, columns)
+            yield pd.DataFrame(held, columns=columns).drop(columns="seq")
             held = []
     if held:
-        yield _frame(held, columns)
-
-
-def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=columns).drop(columns="seq")
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+        yield pd.DataFrame(held, columns=columns).drop(columns="seq")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -210,7 +207,9 @@ def merge(runs: DataFrame, rows_per_task: int = MERGE_ROWS) -> DataFrame:
     runs = park(runs)
     tasks = max(partitions(runs.sparkSession), -(-runs.count() // rows_per_task))
     pieces = runs.repartitionByRange(tasks, "urlkey", "timestamp", "page_id", "file").sortWithinPartitions("file", "seq")
-    return pieces.mapInPandas(_merge, CAPTURE)
+    ids = {c: F.col(c).cast("string") for c in ("page_id", "refers_to")}
+    merged = pieces.withColumns(ids).mapInPandas(_merge, CAPTURE.replace("page_id long", "page_id string").replace("refers_to long", "refers_to string"))
+    return merged.withColumns({c: F.col(c).cast("long") for c in ids})
 
 
 def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

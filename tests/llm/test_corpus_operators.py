@@ -174,12 +174,12 @@ def test_loser_tree():
 
 def test_warc_round_trip(spark, tmp_path):
     tricky = "a\r\n\r\nWARC/1.1\r\n\r\nb\r\n\r\n"
-    rows = [(1, "http://www.B.org/x?q=1", tricky), (2, "http://a.org/", tricky), (3, None, None), (None, "http://a.org/", ""), (4, "http://a.org/\r\nX: y", "é"), (5, "http://a.org/", tricky), (5, "http://a.org/", tricky)]
+    rows = [(1, "http://www.B.org/x?q=1", tricky), (2, "http://a.org/", tricky), (3, None, None), (None, "http://a.org/", ""), (4, "http://a.org/\r\nX: y", "é"), (5, "http://a.org/", tricky), (5, "http://a.org/", tricky), (2**60 + 1, "http://a.org/", "big")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("keeper", F.lit(1))
     got = warc.archive(pages).collect()
-    assert len(got) == 7 and all(r["intact"] for r in got)
+    assert len(got) == 8 and all(r["intact"] for r in got)
     kinds = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in got)
-    assert kinds == {(1, "revisit", 5): 1, (2, "revisit", 5): 1, (5, "response", None): 2, (3, "response", None): 1, (None, "revisit", 3): 1, (4, "response", None): 1}
+    assert kinds == {(1, "revisit", 5): 1, (2, "revisit", 5): 1, (5, "response", None): 2, (3, "response", None): 1, (None, "revisit", 3): 1, (4, "response", None): 1, (2**60 + 1, "response", None): 1}
     keys = [(r["urlkey"], r["timestamp"]) for r in got]
     assert keys == sorted(keys) and ("org,b)/x?q=1" in {k for k, _ in keys})
     assert {r["payload_bytes"] for r in got if r["page_id"] in (1, 2, 5)} == {len(tricky)}

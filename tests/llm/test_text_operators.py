@@ -123,6 +123,9 @@ def test_leaks_against_brute_force(spark, docs, odd, empty):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - {d for d, _ in got} and kept.columns == docs.columns
     assert decontaminate.leaks(odd, items).count() == 0 and decontaminate.leaks(empty, items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
     assert decontaminate.clean(odd, items).count() == 11
+    item = items.first()
+    named = spark.createDataFrame([(2**60 + 1, item["text"]), (None, item["text"])], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(named, items).collect()} == {(2**60 + 1, item["item_id"]), (None, item["item_id"])}
     blocks = list(decontaminate.indexes(items, max_items=15))
     assert len(blocks) > 1 and sum(len(b.items) for b in blocks) == items.count()
 
