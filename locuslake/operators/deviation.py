@@ -18,36 +18,50 @@ def composition(seqs: DataFrame, key: str, seq: str) -> DataFrame:
 
 
 def expected_counts(counts: DataFrame) -> DataFrame:
-    """(cell, feature, expected): a cell's share of all counts times the feature's total, for features with counts."""
+    """(cell, feature, expected): a cell's share of all counts times the feature's total; every cell meets every feature
+    by definition, so that it is for a chosen set of features. deviations() does without it."""
     cells = counts.groupBy("cell").agg(F.sum("n").alias("c"))
     features = counts.groupBy("feature").agg(F.sum("n").alias("f"))
     total = cells.agg(F.sum("c").alias("t"))
-    # every cell meets every feature here by definition; use on a chosen set of features
     return cells.crossJoin(F.broadcast(total)).join(features, F.lit(True)).select("cell", "feature", (F.col("c") * F.col("f") / F.col("t")).alias("expected"))
 
 
 def deviations(counts: DataFrame, matches: DataFrame, background: DataFrame) -> DataFrame:
     """(cell, motif, z): how far a cell's counts in a motif's peaks exceed those in background peaks.
 
-    counts: cell, feature, n; matches: motif, feature; background: feature, iter, bg_feature. The raw score is
+    counts: cell, feature, n; matches: motif, feature; background: feature, iter, bg_feature. The raw score d is
     (observed - expected) / expected, 0 without expectation; z subtracts the mean of the background's scores and
-    divides by their population deviation; with no deviation it is 0 for a difference of 0, else null. Expected
-    sums need each cell's share and each peak set's total only, so that no cell x peak product is formed.
+    divides by their population deviation; with no deviation (under 1e-7) it is 0 for a difference of 0, else null.
+
+    A cell without counts in a set scores -1 there, so that only observed (cell, motif, iter) are rows: mean and
+    deviation come from their sums and from how many iterations saw nothing. The only product formed is the result's
+    own, of cells and motifs.
     """
     cells = counts.groupBy("cell").agg(F.sum("n").alias("c"))
     totals = counts.groupBy("feature").agg(F.sum("n").alias("f"))
     all_counts = counts.agg(F.sum("n").alias("t"))
     drawn = matches.join(background, "feature").select("motif", "iter", F.col("bg_feature").alias("feature"))
     sets = matches.select("motif", F.lit(-1).alias("iter"), "feature").unionByName(drawn).groupBy("motif", "iter", "feature").agg(F.count("*").alias("times"))
-    of_set = sets.join(totals, "feature").groupBy("motif", "iter").agg(F.sum(F.col("times") * F.col("f")).alias("set_total"))
+    of_set = sets.join(totals, "feature", "left").groupBy("motif", "iter").agg(F.sum(F.col("times") * F.coalesce("f", F.lit(0))).alias("set_total"))
+    bg = F.col("iter") >= 0
+    of_motif = of_set.groupBy("motif").agg(
+        F.count(F.when(bg, 1)).alias("n_bg"), F.count(F.when(bg & (F.col("set_total") > 0), 1)).alias("n_live"), F.max(F.when(~bg, F.col("set_total"))).alias("own_total")
+    )
     seen = sets.join(counts, "feature").groupBy("cell", "motif", "iter").agg(F.sum(F.col("times") * F.col("n")).alias("obs"))
-    grid = of_set.join(cells.crossJoin(F.broadcast(all_counts)), F.lit(True))  # the result has a row for each cell and motif
-    scored = grid.join(seen, ["cell", "motif", "iter"], "left").withColumn("exp", F.col("c") * F.col("set_total") / F.col("t"))
-    scored = scored.withColumn("d", F.when(F.col("exp") == 0, 0.0).otherwise((F.coalesce("obs", F.lit(0)) - F.col("exp")) / F.col("exp")))
-    own, bg = F.when(F.col("iter") == -1, F.col("d")), F.when(F.col("iter") >= 0, F.col("d"))
-    z = scored.groupBy("cell", "motif").agg(F.max(own).alias("d"), F.avg(bg).alias("m"), F.stddev_pop(bg).alias("s"))
-    diff = F.col("d") - F.col("m")
-    return z.select("cell", "motif", F.when(F.col("s") > 1e-12, diff / F.col("s")).when(F.abs(diff) < 1e-12, 0.0).alias("z"))
+    sized = cells.crossJoin(F.broadcast(all_counts))  # the total is one row
+    scored = seen.join(of_set, ["motif", "iter"]).join(sized, "cell").withColumn("exp", F.col("c") * F.col("set_total") / F.col("t")).withColumn("d", (F.col("obs") - F.col("exp")) / F.col("exp"))
+    sums = scored.groupBy("cell", "motif").agg(
+        F.max(F.when(~bg, F.col("d"))).alias("own"), F.coalesce(F.sum(F.when(bg, F.col("d"))), F.lit(0.0)).alias("s1"),
+        F.coalesce(F.sum(F.when(bg, F.col("d") * F.col("d"))), F.lit(0.0)).alias("s2"), F.count(F.when(bg, 1)).alias("n_seen"),
+    )
+    grid = cells.select("cell").crossJoin(of_motif).join(sums, ["cell", "motif"], "left")
+    unseen = F.col("n_live") - F.coalesce("n_seen", F.lit(0))
+    own = F.coalesce("own", F.when(F.col("own_total") > 0, F.lit(-1.0)).otherwise(0.0))
+    mean = F.try_divide(F.coalesce("s1", F.lit(0.0)) - unseen, F.col("n_bg"))
+    square = F.try_divide(F.coalesce("s2", F.lit(0.0)) + unseen, F.col("n_bg"))
+    spread = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+    diff = own - mean
+    return grid.select("cell", "motif", F.when(spread > 1e-7, diff / spread).when(F.abs(diff) < 1e-7, 0.0).alias("z"))
 
 
 def whiten(peaks: DataFrame, x: str, y: str) -> DataFrame:
