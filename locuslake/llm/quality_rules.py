@@ -9,8 +9,8 @@ iterated over.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,43 +99,45 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     ).select("*", F.col("_lines.n").alias("n_lines"), F.col("_lines.again").alias("n_dup_lines"), F.least("n_words", F.lit(DIVERSITY_WORDS)).alias("n_capped")).drop("_lines")
 
 
-def votes() -> list[Column]:
-    """The rules' votes on a frame of measures, named v0, v1, ..."""
+def votes() -> Column:
+    """The rules' votes on a row of measures, in order, as an array of -1, 0 and 1."""
     out = []
-    for k, (measure, (below, above), (least, most)) in enumerate(RULES.values()):
+    for measure, (below, above), (least, most) in RULES.values():
         top, _, bottom = measure.partition(" / ")
         x = F.try_divide(F.col(top), F.col(bottom)) if bottom else F.col(top).cast("double")
         vote = F.when((x < below) | (x > above), -1).when((x >= least) & (x <= most), 1).otherwise(0)
-        out.append(F.coalesce(vote, F.lit(0)).cast("tinyint").alias(f"v{k}"))
-    return out
+        out.append(F.coalesce(vote, F.lit(0)).cast("tinyint"))
+    return F.array(*out)
 
 
-def odds(good: float, right: list[tuple[float, float]]) -> Column:
-    """Posterior probability of being good, from v0, v1, ...; right: each rule's accuracy on good and on bad documents."""
-    log = [F.log(F.lit(good / (1 - good)))]
-    for k, (on_good, on_bad) in enumerate(right):
-        log.append(F.when(F.col(f"v{k}") == 1, F.log(F.lit(on_good / (1 - on_bad)))).when(F.col(f"v{k}") == -1, F.log(F.lit((1 - on_good) / on_bad))).otherwise(0.0))
-    return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, log)))
+def probability(cast: Column, good: float, right: list[tuple[float, float]]) -> Column:
+    """Posterior probability of being good from an array of votes; right: each rule's accuracy on good and on bad documents.
+
+    The votes' weights are one array literal, so that rounds of estimation share their compiled code.
+    """
+    table = [x for on_good, on_bad in right for x in (math.log((1 - on_good) / on_bad), 0.0, math.log(on_good / (1 - on_bad)))]
+    weights = F.lit([*table, math.log(good / (1 - good))])
+    total = F.aggregate(F.transform(cast, lambda v, k: F.get(weights, k * 3 + v + 1)), F.get(weights, F.lit(len(table))), lambda a, b: a + b)
+    return 1 / (1 + F.exp(-total))
 
 
 def estimate(patterns: DataFrame, rules: int) -> tuple[float, list[tuple[float, float]]]:
-    """Share of good documents and the rules' accuracies, from vote patterns v0, v1, ... with counts n.
+    """Share of good documents and the rules' accuracies, from vote patterns (votes, n).
 
-    Each round is one aggregation that returns a single row. A pseudo-count of one keeps accuracies inside (0, 1).
+    Each round is one aggregation, which returns a row for every rule and vote. A pseudo-count of one keeps
+    accuracies inside (0, 1). No documents leave the start as it is.
     """
     good, right = START[0], [START[1:]] * rules
     for _ in range(MAX_ROUNDS):
-        n, p = F.col("n"), F.col("p")
-        sums = [F.sum(n).alias("all"), F.sum(n * p).alias("good")]
-        for k in range(rules):
-            v = F.col(f"v{k}")
-            sums += [F.sum(F.when(v == vote, n * x).otherwise(0.0)).alias(f"{name}{k}") for name, vote, x in (("gg", 1, p), ("gb", -1, p), ("bg", 1, 1 - p), ("bb", -1, 1 - p))]
-        got = patterns.withColumn("p", odds(good, right)).agg(*sums).first()
-        if not got["all"]:
+        rows = patterns.select("n", (F.col("n") * probability(F.col("votes"), good, right)).alias("good"), F.posexplode("votes").alias("rule", "vote"))
+        got = {(r["rule"], r["vote"]): (r["good"], r["n"] - r["good"]) for r in rows.groupBy("rule", "vote").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect()}
+        if not got:
             break
+        of = lambda k, vote, got=got: got.get((k, vote), (0.0, 0.0))
+        total = [sum(of(0, vote)[side] for vote in (-1, 0, 1)) for side in (0, 1)]
         was = [good, *(x for pair in right for x in pair)]
-        good = (got["good"] + 1) / (got["all"] + 2)
-        right = [((got[f"gg{k}"] + 1) / (got[f"gg{k}"] + got[f"gb{k}"] + 2), (got[f"bb{k}"] + 1) / (got[f"bb{k}"] + got[f"bg{k}"] + 2)) for k in range(rules)]
+        good = (total[0] + 1) / (sum(total) + 2)
+        right = [((of(k, 1)[0] + 1) / (of(k, 1)[0] + of(k, -1)[0] + 2), (of(k, -1)[1] + 1) / (of(k, -1)[1] + of(k, 1)[1] + 2)) for k in range(rules)]
         if max(abs(a - b) for a, b in zip(was, [good, *(x for pair in right for x in pair)], strict=True)) < TOLERANCE:
             break
     return good, right
@@ -148,9 +150,9 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     their posterior. Null and empty texts fail. Repeated rows get equal results; other columns are ignored;
     an empty table gives none.
     """
-    measured = park(measures(docs, doc_id, text).select("*", *votes()))
-    names = [f"v{k}" for k in range(len(RULES))]
-    patterns = park(measured.groupBy(*names).agg(F.count("*").alias("n"))).coalesce(1).sortWithinPartitions(*names)
-    good, right = estimate(patterns, len(names))
+    measured = park(measures(docs, doc_id, text).withColumn("votes", votes()))
+    patterns = park(measured.groupBy("votes").agg(F.count("*").alias("n"))).coalesce(1).sortWithinPartitions("votes")
+    good, right = estimate(patterns, len(RULES))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measured.withColumn("p_good", odds(good, right)).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("p_good") >= 0.5)).drop(*names)
+    judged = measured.withColumn("p_good", probability(F.col("votes"), good, right)).withColumn("base_failed", failed)
+    return judged.withColumn("kept", ~failed & (F.col("p_good") >= 0.5)).drop("votes")
