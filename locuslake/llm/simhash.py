@@ -256,7 +256,8 @@ def grouped(own: DataFrame, limit: int = MAX_DISTANCE, block_rows: int = BLOCK_R
     of_bits = first.join(roots.join(lowest, "root"), "bits", "left").select(
         "bits", F.coalesce("root", "bits").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("lowest")).alias("component_id")
     )
-    return own.join(of_bits, "bits")
+    # stored, so that the join deals both sides anew and AQE can split a hot fingerprint
+    return own.join(park(of_bits), "bits")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = MAX_DISTANCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
