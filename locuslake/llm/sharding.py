@@ -46,7 +46,8 @@ def interleave(rows: DataFrame, source: str, keys: list[str], shards: int = SHAR
         F.struct(*[F.col(c) for c in kept]).alias("_row"), null_safe(F.col(source)).alias("_source"),
         unit_hash(seed, *[F.col(k) for k in keys]).alias("_at"), F.xxhash64(*[F.col(k) for k in keys]).alias("_tie"),
     )
-    counts = inner.groupBy("_source").agg(F.count("*").alias("_n"))
+    # stored: Spark sees its size before it plans the join, and rows need not be dealt by source
+    counts = park(inner.groupBy("_source").agg(F.count("*").alias("_n")))
     placed = ranks(inner, ["_source"], "_at", ["_tie"], "_rank").join(counts, "_source")
     placed = placed.withColumn("_fraction", (F.col("_rank") - 0.5) / F.col("_n")).drop("_n", "_rank")
     placed = park(placed)
