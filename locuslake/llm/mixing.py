@@ -106,7 +106,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rate = F.when(F.col("size") == 0, 1.0).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(700.0)))))
     before = W.partitionBy("key").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)
     rated = classes.select("key", "size", "n").join(tilts, "key", "left").withColumn("rate", rate)
-    rated = rated.select("key", "size", "rate", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(before), F.lit(0.0)).alias("so_far"))
+    # stored, so that the join with the documents deals both sides anew and AQE can split a hot class
+    rated = park(rated.select("key", "size", "rate", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(before), F.lit(0.0)).alias("so_far")))
     # copies end where the running total of rates passes a whole number and a half
     upto = lambda k: F.floor(F.col("so_far") + k * F.col("rate") + 0.5)
     copies = F.least(F.lit(cap), F.greatest(F.lit(0), upto(F.col("k")) - upto(F.col("k") - 1)))

@@ -68,7 +68,8 @@ def ranks(rows: DataFrame, group: list[str], order: str, ties: list[str], out: s
     total = rows.count()
     each = max(1, min(most, total // (16 * partitions(rows.sparkSession))))
     if group:
-        sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / each).alias("_ranges"))
+        # stored, so that the join deals both sides anew and AQE can split a hot group
+        sizes = park(rows.groupBy(*group).agg(F.ceil(F.count("*") / each).alias("_ranges")))
         rows = rows.join(sizes, group)
     else:
         rows = rows.withColumn("_ranges", F.lit(max(1, -(-total // each))))
