@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections import Counter
 
@@ -140,6 +141,57 @@ def test_near_copies_of_items_leak():
     assert not index.leaks("What is the name of the blue planet " * 3)
 
 
+def test_edited_items_leak_as_by_brute_force():
+    """Copies whose rare words were replaced at an edge or in runs are found wherever the shingles are there."""
+    r = random.Random(11)
+    common = [f"c{i}" for i in range(40)]
+    items, copies = [], []
+    for i in range(120):
+        question = [f"r{i}x{j}" for j in range(5)] + [r.choice(common) for _ in range(r.randrange(22, 40))]
+        answer = [r.choice(common) for _ in range(r.randrange(3, 14))] + [f"a{i}"]
+        items.append((i, " ".join(question) + ". " + " ".join(answer)))
+        for start in (0, r.randrange(len(question)), None):
+            edited = list(question + answer)
+            for _ in range(1 if start is not None else 3):
+                at = start if start is not None else r.randrange(len(edited))
+                edited[at : at + r.randrange(1, 6)] = ["zz"] * 5 if start == 0 else ["zz"]
+            copies.append(" ".join(["pad"] * 40 + edited + ["pad"] * 300))
+    index = decontaminate.Index(items)
+    parsed = [(i, *(decontaminate.shingles(x, 5) for x in decontaminate.question_and_answer(t))) for i, t in items]
+    leaked = 0
+    for text in copies:
+        words = decontaminate.tokens(text)
+        there = {k: decontaminate.shingles(words, k) for k in range(1, 6)}
+        share = lambda part: len(part & there[len(next(iter(part)))]) / len(part)  # noqa: E731, B023
+        want = {i for i, question, answer in parsed if share(question) >= 0.8 and share(answer) >= 0.8}
+        assert set(index.leaks(text)) == want
+        leaked += bool(want)
+    assert 100 < leaked < len(copies)
+
+
+def test_least_share_bounds_every_choice_of_missing_shingles():
+    r = random.Random(2)
+    for _ in range(150):
+        parts = [[r.choice("abcdefghijkl") for _ in range(r.randrange(5, 16))] for _ in range(2)]
+        held = [(x, decontaminate.shingles(x, 5)) for x in parts]
+        weights = {w: r.random() for x in parts for w in x}
+        weights = {w: v / sum(weights.values()) for w, v in weights.items()}
+        least = decontaminate.least_share(held, weights, 0.8)
+        lacks = [decontaminate.may_lack(s, 0.8) for _, s in held]
+        choices = [[set(s) - set(gone) for gone in itertools.combinations(sorted(s), lack)] for (_, s), lack in zip(held, lacks, strict=True)]
+        true = min(sum(weights[w] for w in {w for s in q | a for w in s}) for q in choices[0] for a in choices[1])
+        assert 0 < least <= true + 1e-9
+
+
+def test_items_in_blocks_are_scored_over_all(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    whole = next(decontaminate.indexes(items))
+    want = {x[0]: shares for x, shares in zip(whole.items, whole.shares, strict=True)}
+    for block in decontaminate.indexes(items, max_items=15):
+        for x, shares in zip(block.items, block.shares, strict=True):
+            assert shares == pytest.approx(want[x[0]])
+
+
 def test_languages(spark, docs, odd, empty):
     profiles = langid.learn(docs.filter("doc_id % 2 = 0"))
     got = langid.identify(docs.filter("doc_id % 2 = 1"), profiles).join(docs.select("doc_id", "lang"), "doc_id")
