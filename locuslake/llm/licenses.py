@@ -1,14 +1,16 @@
 """License scans by sentence rules.
 
 A text is cut into sentences, which are normalised (comment marks, case, punctuation and white space do not
-count). A sentence that looks like licensing is mapped to the identifier of the first known sentence it
-matches. The identifiers, in the order of the text, form a sequence against which ordered licence rules are
+count). A sentence is mapped to the identifier of the first known sentence it matches, and one that is wrapped
+over several lines also to those that only its lines together match. The identifiers, in the order of the text, form a sequence against which ordered licence rules are
 matched: a rule names a run of identifiers, longer rules come first, and what a rule has matched is taken out
 before the next one. DataFrame functions only; the SQL form is made from the same tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +68,10 @@ RULES = [
     ("BSD", ["bsdRef"]),
     ("All-Rights-Reserved", ["allRights"]),
 ]
-#: Sentences without one of these are not looked at; in a text without one there is nothing to find.
+#: Sentences with one of these look like licensing: they are 'unknown' where no known sentence matches.
 HINT = "(?i)licen[sc]e|permission|redistribut|copyright|warrant|liable|all rights reserved|free software|endorse"
+#: Words one of which every known sentence holds, beside those of HINT; in a text without any there is nothing to find.
+GATE = f"{HINT}|released|reserved|applicable|c[^a-z0-9]+[0-9]{{4}}"
 #: Steps from text to sentences and from sentence to its normal form: pattern, replacement.
 WRAPS = ("[ \\t\\r]*\\n[ \\t]*(?:[#*;/]+[ \\t]*)?([a-z])", " ")
 ENDS = ("([.!?])[ \\t]+", "\n")
@@ -80,23 +84,72 @@ def sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(joined, ENDS[0], f"$1{ENDS[1]}"), "\n")
 
 
+#: Sentences that end, and lines without letters or digits, end a wrapped sentence.
+STOPS = [("([.!?][ \\t\\r]*)\n", "$1\n\n"), ("\n[^A-Za-z0-9]*\n", "\f")]
+
+
+def wrapped(pattern: str) -> str:
+    """A known sentence's pattern for lines that stand between bars instead of spaces."""
+    return pattern.replace(" ", "[ |]").replace("^", "[|]").replace("$", "[|]")
+
+
 def identifiers(text: Column) -> Column:
-    """Identifiers of a text's license-like sentences in order; 'unknown' for those that match no known one."""
+    """Identifiers of a text's sentences in order; 'unknown' for those that look like licensing and match no known one."""
+
+    def normal(sentence: Column) -> Column:
+        return F.trim(F.regexp_replace(F.lower(sentence), NORMAL, " "))
+
+    def known(line: Column) -> Column:
+        return _once(normal(line), _first_match)
+
+    def together(lines: Column) -> Column:
+        """Known ones of single lines, and those that begin in a line and match over its end."""
+        own = F.transform(lines, lambda x, k: F.struct((k + 1).alias("at"), F.lit(-1).alias("rank"), known(x).alias("id")))
+        own = F.filter(own, lambda x: x["id"].isNotNull())
 
-    def known(sentence: Column) -> Column:
-        normal = F.trim(F.regexp_replace(F.lower(sentence), NORMAL, " "))
-        return F.get(F.transform(F.array(normal), _first_match), F.lit(0))
+        def over(own: Column) -> Column:
+            def begins(bars: Column) -> Column:
+                first = [F.struct(F.regexp_instr(bars, F.lit(wrapped(p))).alias("at"), F.lit(rank).alias("rank"), F.lit(name).alias("id")) for rank, (name, p) in enumerate(SENTENCES)]
+                here = F.filter(F.array(*first), lambda x: (x["at"] > 0) & ~F.exists(lines, lambda line: _matches(normal(line), x["rank"])))
+                return F.transform(here, lambda x: F.struct(F.length(F.regexp_replace(F.substring(bars, F.lit(1), x["at"]), "[^|]", "")).alias("at"), x["rank"].alias("rank"), x["id"].alias("id")))
 
-    return F.when(text.rlike(HINT), F.transform(F.filter(sentences(text), lambda s: s.rlike(HINT)), known)).otherwise(F.array().cast("array<string>"))
+            bars = F.concat(F.lit("|"), F.array_join(F.transform(lines, normal), "|"), F.lit("|"))
+            more = _once(_once(bars, begins), lambda m: F.filter(m, lambda x: ~F.exists(m, lambda y: (y["at"] == x["at"]) & (y["rank"] < x["rank"]))))
+            return F.transform(F.array_sort(F.concat(own, more)), lambda x: x["id"])
+
+        return _once(own, over)
+
+    def found(sentence: Column) -> Column:
+        lines = F.split(sentence, "\n")
+        ids = F.when(F.size(lines) == 1, F.array_compact(F.array(known(sentence)))).when(sentence.rlike(GATE), _once(lines, together)).otherwise(F.array().cast("array<string>"))
+        return _once(ids, lambda x: F.when(F.size(x) > 0, x).when(sentence.rlike(HINT), F.array(F.lit("unknown"))).otherwise(x))
+
+    joined = F.array_join(sentences(text), "\n")
+    for pattern, to in STOPS:
+        joined = F.regexp_replace(joined, pattern, to)
+    return F.when(text.rlike(GATE), F.flatten(F.transform(F.split(joined, "\f"), found))).otherwise(F.array().cast("array<string>"))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _first_match(normal: Column) -> Column:
-    first = F.lit("unknown")
+    first = F.lit(None).cast("string")
     for name, pattern in reversed(SENTENCES):
         first = F.when(normal.rlike(pattern), F.lit(name)).otherwise(first)
     return first
 
 
+def _matches(normal: Column, rank: Column) -> Column:
+    """Whether a line by itself matches the known sentence of that rank."""
+    hit = F.lit(False)
+    for k, (_, pattern) in enumerate(SENTENCES):
+        hit = F.when(rank == k, normal.rlike(pattern)).otherwise(hit)
+    return hit
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each input row: doc_id, sentence_ids, licenses and n_unknown.
 

@@ -31,6 +31,75 @@ def test_license_rules(spark, odd, empty):
     assert licenses.scan(odd).count() == 11 and licenses.scan(empty).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction.
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY."""
+BSD2 = """Copyright (c) 2020, Some Body
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED."""
+BSD3 = BSD2.replace("THIS SOFTWARE", """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE""")
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+
+You should have received a copy of the GNU General Public License
+along with this program."""
+
+
+def test_whole_license_texts(spark):
+    cc = ["Released under CC BY 4.0.", "Released under Creative Commons Attribution 4.0.", "Released under CC BY-NC 4.0.", "This work is released under a\nCreative Commons\nAttribution-ShareAlike 4.0 International text."]
+    other = ["This is distributed under the\nMIT License.", "A is licensed under the MIT License\nB is licensed under the Apache License, Version 2.0", "A is under no terms\nCopyright (c) 2020 Some Body\nAll rights reserved."]
+    whole = [MIT, BSD2, BSD3, APACHE, GPL]
+    names = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL"]
+    marked = ["\n".join(f" * {line}".rstrip() for line in x.split("\n")) for x in whole]
+    texts = [*whole, *[x.upper() for x in whole], *marked, *[x.replace("\n", "\r\n") for x in whole], *cc, *other]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["licenses"] for r in got] == names * 4 + ["CC-BY-4.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "MIT", "Apache-2.0 AND MIT", "All-Rights-Reserved"]
+    assert [r["sentence_ids"].replace("copyright ", "").replace("unknown", "").split() for r in got[:5]] == [r["sentence_ids"].replace("copyright ", "").replace("unknown", "").split() for r in got[5:10]]
+
+
 def test_toxicity_learns_from_positives_and_unlabelled(spark, odd, empty):
     r = random.Random(0)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
