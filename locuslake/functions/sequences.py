@@ -102,16 +102,27 @@ def random_sequence(key: Column, length: int, weights: tuple[float, float, float
 
 
 def mutate(seq: Column, k: int, key: Column, seed: int = 0) -> Column:
-    """k positions, chosen by hash rank, each set to another base than before."""
-    rank = F.transform(F.sequence(F.lit(0), F.length(seq) - 1), lambda i: F.struct(F.xxhash64(key, i, F.lit(seed)).alias("h"), i.alias("i")))
-    chosen = F.transform(F.slice(F.sort_array(rank), 1, k), lambda x: x["i"])
+    """k positions (all of a shorter sequence), chosen by hash rank, each set to another base than before."""
 
-    def swap(c: Column, i: Column) -> Column:
-        old = F.array_position(F.array(*[F.lit(b) for b in BASES]), F.upper(c)) - 1
+    def swap(seq: Column, i: Column) -> Column:
+        old = F.array_position(F.array(*[F.lit(b) for b in BASES]), F.upper(F.substr(seq, i + 1, F.lit(1)))) - 1
         new = F.pmod(old + 1 + F.pmod(F.xxhash64(key, i, F.lit(seed + 1)), F.lit(3)), F.lit(4)) + 1
-        return F.when(F.array_contains(chosen, i), F.substr(F.lit(BASES), new.cast("int"), F.lit(1))).otherwise(c)
-
-    return F.array_join(F.transform(F.split(seq, ""), swap), "")
+        return F.substr(F.lit(BASES), new.cast("int"), F.lit(1))
+
+    def whole(seq: Column) -> Column:
+        # the least hashes are among those under a bound, where k are; all are ranked otherwise
+        places = F.sequence(F.lit(0), F.length(seq) - 1)
+        bound = F.lit(-(2.0**63)) + F.lit(2.0**64) * (4 * k + 32) / F.length(seq)
+        few = F.filter(places, lambda i: F.xxhash64(key, i, F.lit(seed)).cast("double") < bound)
+        ranked = lambda at: F.sort_array(F.transform(at, lambda i: F.struct(F.xxhash64(key, i, F.lit(seed)).alias("h"), i.alias("i"))))
+        chosen = F.get(F.transform(F.array(few), lambda x: F.when(F.size(x) >= k, ranked(x)).otherwise(ranked(places))), F.lit(0))
+        chosen = F.array_sort(F.transform(F.slice(chosen, 1, k), lambda x: x["i"]))
+        # the text between two positions is taken as a whole
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("s"))
+        step = lambda a, i: F.struct((i + 1).alias("at"), F.concat(a["s"], F.substr(seq, a["at"] + 1, i - a["at"]), swap(seq, i)).alias("s"))
+        return F.when(F.length(seq) > 0, F.aggregate(chosen, start, step, lambda a: F.concat(a["s"], F.substr(seq, a["at"] + 1)))).otherwise(seq)
+
+    return F.get(F.transform(F.array(seq), whole), F.lit(0))
 
 
 def shuffle_window(seq: Column, start: int, end: int, key: Column, seed: int = 0) -> Column:

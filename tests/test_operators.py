@@ -219,3 +219,17 @@ def test_deviation_without_spread(spark):
     m = spark.createDataFrame([("m", 1)], "motif string, feature int")
     b = spark.createDataFrame([(1, 0, 1), (1, 1, 1)], "feature int, iter int, bg_feature int")
     assert rows(deviation.deviations(counts, m, b), "z") == [(0.0,), (0.0,)]
+
+
+def test_mutation_runs_over_whole_sequences(spark):
+    from locuslake.functions import sequences as Q
+
+    rows = [(i, "ACGT" * n) for i, n in enumerate((0, 1, 15, 2000))] + [(9, "ACG")]
+    df = spark.createDataFrame(rows, "k long, s string")
+    for r in df.select("s", Q.mutate(F.col("s"), 5, F.col("k")).alias("m")).collect():
+        changed = [i for i, (a, b) in enumerate(zip(r["s"], r["m"], strict=True)) if a != b]
+        assert len(changed) == min(5, len(r["s"]))
+    from locuslake.plans import more_queries, queries  # noqa: F401
+
+    plan = queries.QUERIES["f10_mutated_positions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert ", 1, 60)" not in plan  # no prefix
