@@ -285,11 +285,26 @@ def c7(t):
 
 @query("c9_training_rows")
 def c9(t):
-    whole = seqs(t).filter("doc_id < 7").select(F.concat(F.lit("chr"), F.col("doc_id") + 1).alias("chrom"), "seq")
-    sizes = whole.select("chrom", F.length("seq").cast("long").alias("size"))
+    tiles, sizes = dealt_genome(seqs(t))
     regions = intervals.windows(sizes, 200, 200).withColumn("name", R.format_region(F.col("chrom"), F.col("start"), F.col("end")))
     merged = coverage.merge_rows(t.v_cov, t.v_members, ["chrom", "bin"])
-    return P.training_rows(regions, t.v_cov, t.v_members, coverage.depth(merged, 1e6), genome.tile_sequence(whole, 512), intervals.chrom_offsets(sizes), 100)
+    return P.training_rows(regions, t.v_cov, t.v_members, coverage.depth(merged, 1e6), tiles, intervals.chrom_offsets(sizes), 100)
+
+
+def dealt_genome(docs):
+    """Tiles of 512 bases and chromosome sizes: all documents' sequences, dealt to seven chromosomes by id and laid end to end.
+
+    Places are running sums of lengths, over the sums of runs of 7000 ids first, so that no task orders a whole chromosome.
+    """
+    key = F.coalesce(F.col("doc_id"), F.lit(0)).cast("long")
+    s = docs.filter(F.length("seq") > 0).select("doc_id", "seq", F.concat(F.lit("chr"), F.pmod(key, F.lit(7)) + 1).alias("chrom"), F.floor(key / 7000).alias("run"), F.length("seq").cast("long").alias("n"))
+    runs = s.groupBy("chrom", "run").agg(F.sum("n").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = runs.select("chrom", "run", before(W.partitionBy("chrom").orderBy("run")).alias("start"))
+    placed = s.withColumn("within", before(W.partitionBy("chrom", "run").orderBy("doc_id", "seq"))).join(starts, ["chrom", "run"])
+    tiles = genome.tile_sequence(placed.select(F.struct("chrom", (F.col("start") + F.col("within")).alias("at")).alias("chrom"), "seq"), 512)
+    moved = [(F.col(c) + F.col("chrom.at")).alias(c) for c in ("tile_start", "tile_end", "seq_start")]
+    return tiles.select("chrom.chrom", *moved, "seq"), runs.groupBy("chrom").agg(F.sum("n").alias("size"))
 
 
 @query("f8_genotype", f"SELECT doc_id, concat(substr(s, 1, 3), CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'G' END, substr(s, 5)) AS seq FROM (SELECT doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC') AS s FROM documents) x WHERE length(s) >= 10")

@@ -45,3 +45,32 @@ def test_metacells_and_groups_cover_all_cells(spark):
     groups = QUERIES["c1_categorical_groups"](spark, SF)
     assert groups.count() == spark.read.parquet(f"{SF}/customer.parquet").count()
     assert groups.groupBy("group").agg({"class": "count"}).count() >= 5
+
+
+def test_training_rows_against_brute_force(spark):
+    """The registered query over the genome of all documents: every bin, sequence and place."""
+    from collections import defaultdict
+
+    t = queries.Tables(spark, SF)
+    genome = defaultdict(str)
+    for d in sorted(queries.seqs(t).collect()):
+        genome[f"chr{d['doc_id'] % 7 + 1}"] += d["seq"] or ""
+    groups = defaultdict(list)
+    for m in t.v_members.collect():
+        groups[m["row_id"]].append(m["pid"])
+    totals, bins = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for c in t.v_cov.collect():
+        for pid in groups[c["row_id"]]:
+            totals[pid] += c["value"]
+            start = c["bin"] * 100 // 200 * 200
+            if start + 200 <= len(genome[c["chrom"]]):
+                bins[(c["chrom"], start, pid)][c["bin"] - start // 100] += c["value"]
+    place, at = {}, 0
+    for chrom in sorted(genome):
+        place[chrom], at = at, at + len(genome[chrom])
+    want = {}
+    for (chrom, start, pid), found in bins.items():
+        values = [(b, pytest.approx(v * 1e6 / totals[pid])) for b, v in sorted(found.items())]
+        want[(f"{chrom}:{start}-{start + 200}", pid)] = (values, genome[chrom][start : start + 200], place[chrom] + start, place[chrom] + start + 200)
+    got = {(r["name"], r["pid"]): ([tuple(b) for b in r["bins"]], r["seq"], r["gstart"], r["gend"]) for r in QUERIES["c9_training_rows"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(got[k] == want[k] for k in want)
