@@ -37,8 +37,8 @@ def query(name: str, sql: str):
 
 
 def run(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
-    name = f"q{uuid.uuid4().hex}"
-    return incremental.run_once(out, name, mode, f"{shared_folder(spark)}/stream-{name}")
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return incremental.run_once(out, f"{base}/out", mode, f"{base}/checkpoint")
 
 
 @query("t1_running_corr", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(corr(l_quantity, l_extendedprice), 5) AS corr FROM lineitem GROUP BY 1, 2")

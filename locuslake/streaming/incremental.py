@@ -85,8 +85,17 @@ def sessions(events: DataFrame, gap: str, key: str = "user_id", delay: str = "10
     return rows.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a streaming query over what is there and returns its result table; for twins and tests of bounded size."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_once(stream: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """Runs a streaming query over what is there and returns its result as written under path, a directory per batch.
+
+    In complete mode a batch is the whole result and replaces the one before. No row passes through the driver.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    # there from the start, so that a stream without rows has a result too
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(path).select(*schema.names)

@@ -74,3 +74,10 @@ def test_training_rows_against_brute_force(spark):
         want[(f"{chrom}:{start}-{start + 200}", pid)] = (values, genome[chrom][start : start + 200], place[chrom] + start, place[chrom] + start + 200)
     got = {(r["name"], r["pid"]): ([tuple(b) for b in r["bins"]], r["seq"], r["gstart"], r["gend"]) for r in QUERIES["c9_training_rows"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(got[k] == want[k] for k in want)
+
+
+@pytest.mark.parametrize("name", ["t1_running_corr", "t2_moving_state", "t5_tumbling", "t5_sliding", "t5_sessions"])
+def test_streams_are_read_back_from_files(spark, name):
+    """No result stands in a table of the driver's memory."""
+    out = QUERIES[name](spark, SF)
+    assert out.inputFiles() and out.count() > 0
