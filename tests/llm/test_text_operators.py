@@ -152,6 +152,71 @@ def test_quality_measures_against_brute_force(spark, docs, odd, empty):
     assert quality_rules.judge(empty).count() == 0 and quality_rules.judge(odd).count() == 11
 
 
+def test_repeats_are_exact_where_hashes_clash(spark):
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcd") for _ in range(n)) for n in (3, 4, 5, 9, 20, 60) for _ in range(8)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("w", F.split("text", " "))
+    few = lambda *words: F.pmod(F.xxhash64(*words), F.lit(3)).cast("long")
+    got = {x["id"]: (x["a"], x["b"]) for x in df.select("id", quality_rules.repeat_words(F.col("w")).alias("a"), quality_rules.repeat_words(F.col("w"), few).alias("b")).collect()}
+    for k, text in enumerate(texts):
+        assert got[k] == (brute_measures(text)[4],) * 2, text
+
+
+def brute_votes(text):
+    """The nine votes on a text, from the definitions."""
+    import regex
+
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words = brute_measures(text)
+    if not n_words:
+        return (-1, *[0] * 8)
+    w = regex.findall(r"[^\x20\x09-\x0D]+", text)
+    n_lines = sum(bool(x.strip(" \t\x0b\x0c\r")) for x in text.split("\n"))
+    plain = sum(bool(regex.fullmatch(r"\p{L}[\p{L}'-]*[.,;:!?)]?", x)) for x in w)
+    distinct = sum(len(set(w[k : k + 100])) for k in range(0, n_words, 100))
+    rules = [
+        (n_words, 50, None, 80, None), (word_chars / n_words, 2.5, 12, 3, 10), (n_symbols / n_words, None, 0.1, None, 0.02), (n_dup_lines / n_lines, None, 0.3, None, 0.1),
+        (n_repeat_words / n_words, None, 0.3, None, 0.15), (len(regex.findall(r"\p{Lu}", text)) / word_chars, None, 0.3, None, 0.1),
+        (len(regex.findall(r"[!?]{2,}", text)) / n_words, None, 0.1, None, 0.02), (plain / n_words, 0.7, None, 0.85, None), (distinct / n_words, 0.6, None, 0.7, None),
+    ]
+    out = []
+    for x, bad_below, bad_above, good_from, good_to in rules:
+        if (bad_below is not None and x < bad_below) or (bad_above is not None and x > bad_above):
+            out.append(-1)
+        else:
+            out.append(int((good_from is None or x >= good_from) and (good_to is None or x <= good_to)))
+    return tuple(out)
+
+
+def test_verdicts_against_brute_force(spark, docs):
+    """Votes, expectation-maximisation over single documents and posteriors, all in numpy."""
+    r = random.Random(9)
+    rich = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(2500))
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([(9001, rich), (9002, None), (9003, "a b c " * 60)], "doc_id long, text string"))
+    rows = sorted((x["doc_id"], x["text"]) for x in df.filter("doc_id <> 9002").collect()) + [(9002, None)]
+    votes = np.array([brute_votes(text or "") for _, text in rows])
+    assert votes[[d for d, _ in rows].index(9001)][8] == 1
+    share, good, bad = 0.85, np.full(9, 0.995), np.full(9, 0.25)  # accuracies on good and on bad documents
+    posterior = lambda: 1 / (1 + (1 - share) / share * np.exp(
+        (np.where(votes == 1, np.log((1 - bad) / good), 0) + np.where(votes == -1, np.log(bad / (1 - good)), 0)).sum(axis=1)
+    ))
+    for _ in range(2000):
+        p = posterior()[:, None]
+        plus, minus = votes == 1, votes == -1
+        was = np.concatenate([[share], good, bad])
+        share = (p.sum() + 1) / (len(rows) + 2)
+        good = ((p * plus).sum(0) + 1) / ((p * (plus | minus)).sum(0) + 2)
+        bad = (((1 - p) * minus).sum(0) + 1) / (((1 - p) * (plus | minus)).sum(0) + 2)
+        if np.abs(was - np.concatenate([[share], good, bad])).max() < 1e-4:
+            break
+    p = posterior()
+    got = {x["doc_id"]: x for x in quality_rules.judge(df).collect()}
+    for k, (doc_id, text) in enumerate(rows):
+        n = brute_measures(text)
+        failed = n[0] < 50 or 100 * n[4] > 50 * n[0]
+        assert abs(got[doc_id]["p_good"] - p[k]) < 1e-6 and got[doc_id]["kept"] == (not failed and p[k] >= 0.5), doc_id
+    assert got[9001]["kept"] and not got[9003]["kept"]
+
+
 def test_weak_supervision_recovers_accuracies(spark):
     r = random.Random(3)
     right = [(0.95, 0.8), (0.9, 0.7), (0.85, 0.9), (0.97, 0.6)]
