@@ -1,15 +1,20 @@
 """SimHash fingerprints and their near-duplicate groups through a Gray-order hierarchical index.
 
 Distinct fingerprints are sorted by their rank in the reflected Gray code, so that neighbours in the
-order share most of their bits, and cut into blocks. A node over a run of the order keeps the AND and
-the OR of its members: a bit set in the AND of one node and clear in the OR of another differs between
-any two of their members. Counting such bits bounds the distance of two whole groups from below, and
-pairs of groups over the limit are pruned before anything below them is looked at. Above the blocks the
-descent is a chain of equi-joins on the parent node; inside a pair of blocks it is the same descent in numpy.
+order share most of their bits, and cut into blocks where the leading bits of the rank change, which are
+leading bits of the fingerprint too. A node over a run of the order keeps the AND and the OR of its members: a
+bit set in the AND of one node and clear in the OR of another differs between any two of their members.
+Counting such bits bounds the distance of two whole groups from below, and pairs of groups over the limit are
+pruned before anything below them is looked at. Above the blocks the descent is a chain of equi-joins on the
+parent node; inside a pair of blocks it is the same descent in numpy.
+
+Blocks that share no more than k leading bits with others leave C(k, 0) + ... + C(k, limit) of 2^k pairs, so
+that the share of pairs that are looked at falls with the number of blocks, and inside of them with their rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,22 +22,29 @@ import pandas as pd
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from locuslake.llm.shared import park, partitions
+from locuslake.llm.shared import park
 
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
-BLOCK_ROWS = 16384
-#: Members under a node at each level inside a block; each level has eighth-size children.
-WIDTHS = (512, 64, 8, 1)
-#: Bits of a block number that count the blocks of one range partition, and bits a level above adds.
+#: Least number of leading bits that blocks share; more where a block would exceed MOST_ROWS fingerprints (32 MB).
+PREFIX_BITS, MOST_ROWS = 5, 1 << 22
+#: Members under a node at each level inside a block.
+WIDTHS = (1 << 18, 1 << 15, 4096, 512, 64, 8, 2, 1)
+#: Bits of a block number that count the blocks of one range partition, and leading bits that a level above the blocks adds.
 CHUNK_BITS, FAN_BITS = 20, 4
+#: Fingerprints that a range partition sorts, and tasks that pairs of blocks are dealt to at most.
+SORT_ROWS, MOST_TASKS = 1 << 16, 4096
+#: Bytes of a text that are taken apart at once.
+PIECE = 1 << 20
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _BYTE = np.arange(8, dtype=np.int64) * 256
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -41,20 +53,42 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     A-Z are lower-cased; words split at ASCII white space; every shingle counts as often as it occurs;
     a text with fewer words than a shingle is one shingle. A bit is 1 if over half the hashes have it.
     """
-    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not found:
-        return 0
-    joined = b" ".join(found)
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths).tolist()
-    ends = ends.tolist()
-    k = min(shingle_words, len(found)) - 1
+    data = text.encode("utf-8", "surrogatepass").lower() if text else b""
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[k:], strict=False)], dtype=">u8")
+    ones, total, kept = np.zeros(64, np.int64), 0, []
+    for piece in _pieces(data):
+        kept += piece.split()
+        if len(kept) < shingle_words:
+            continue
+        joined = b" ".join(kept)
+        lengths = np.fromiter(map(len, kept), np.int64, len(kept))
+        ends = np.cumsum(lengths + 1) - 1
+        starts = (ends - lengths).tolist()
+        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends.tolist()[shingle_words - 1 :], strict=False)], dtype=">u8")
+        ones += _bit_counts(hashes)
+        total += len(hashes)
+        kept = kept[len(kept) - shingle_words + 1 :]
+    if not total:
+        if not kept:
+            return 0
+        ones, total = _bit_counts(np.array([digest(b" ".join(kept), 42)], dtype=">u8")), 1
+    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """data cut at white space into pieces of about PIECE bytes, so that few words are held at once."""
+    at = 0
+    while at < len(data):
+        gap = _GAP.search(data, at + PIECE)
+        end = gap.start() if gap else len(data)
+        yield data[at:end]
+        at = end
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the big-endian hashes have each bit, the highest first."""
     octets = hashes.view(np.uint8).reshape(-1, 8) + _BYTE
-    ones = (np.bincount(octets.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    return (np.bincount(octets.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
 
 
 @pandas_udf(LongType())
@@ -74,26 +108,42 @@ def gray_rank(bits: Column) -> Column:
     return bits.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def _blocks(batches: Iterator[pd.DataFrame], block_rows: int) -> Iterator[pd.DataFrame]:
-    """Cuts a partition, sorted by rank, into blocks with the AND and OR of their fingerprints."""
+def prefix_bits(count: int, block_rows: int | None = None) -> int:
+    """How many leading bits the fingerprints of a block share: so many that evenly spread ones make blocks of at most block_rows."""
+    bits = PREFIX_BITS if block_rows is None else 1
+    while count >> bits > (block_rows or MOST_ROWS):
+        bits += 1
+    return bits
+
+
+def _blocks(batches: Iterator[pd.DataFrame], shared: int, most: int) -> Iterator[pd.DataFrame]:
+    """Cuts a partition, sorted by rank, into blocks of one prefix, and of `most` rows at most, with the AND and OR of
+    their fingerprints."""
     first = TaskContext.get().partitionId() << CHUNK_BITS
-    held = np.empty(0, np.int64)
-    chunk = 0
+    held, of, chunk = np.empty(0, np.int64), 0, 0
 
-    def row(values: np.ndarray) -> pd.DataFrame:
+    def row() -> pd.DataFrame:
         return pd.DataFrame({
-            "block": [first + chunk], "all_ones": [np.bitwise_and.reduce(values)], "any_one": [np.bitwise_or.reduce(values)],
-            "bits": [values.tobytes()],
+            "block": [first + chunk], "prefix": [of], "ones": [np.bitwise_and.reduce(held)], "any": [np.bitwise_or.reduce(held)], "bits": [held.tobytes()],
         })
 
     for batch in batches:
-        held = np.concatenate([held, batch["bits"].to_numpy(np.int64)])
-        while len(held) >= block_rows:
-            yield row(held[:block_rows])
-            held = held[block_rows:]
-            chunk += 1
+        values = batch["bits"].to_numpy(np.int64)
+        prefix = (batch["rank"].to_numpy(np.int64) >> (64 - shared)) + (1 << (shared - 1))
+        edges = [0, *(np.flatnonzero(np.diff(prefix)) + 1).tolist(), len(values)]
+        for begin, end in zip(edges, edges[1:], strict=False):
+            if begin == end:
+                continue
+            if len(held) and prefix[begin] != of:
+                yield row()
+                held, chunk = held[:0], chunk + 1
+            held, of = np.concatenate([held, values[begin:end]]), int(prefix[begin])
+            while len(held) > most:
+                rest, held = held[most:], held[:most]
+                yield row()
+                held, chunk = rest, chunk + 1
     if len(held):
-        yield row(held)
+        yield row()
 
 
 def _nodes(values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -143,29 +193,29 @@ def close_pairs(a: np.ndarray, b: np.ndarray, limit: int, same: bool) -> Iterato
 def _forest(a: np.ndarray, b: np.ndarray, limit: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (member, smallest member) with the connectivity of all close pairs of two blocks."""
     values = a if same else np.concatenate([a, b])
-    shift = 0 if same else len(a)
-    label = np.arange(len(values))
+    n, shift = len(values), 0 if same else len(a)
+    parent = np.arange(n)
+
+    def roots(x: np.ndarray) -> np.ndarray:
+        top = parent[x]
+        while (top != (up := parent[top])).any():
+            top = up
+        parent[x] = top
+        return top
+
+    def find(x: int) -> int:
+        while (up := int(parent[x])) != x:
+            parent[x] = x = int(parent[up])
+        return x
+
     for i, j in close_pairs(a, b, limit, same):
-        roots = np.stack([label[i], label[j + shift]], axis=1)
-        roots = np.unique(roots[roots[:, 0] != roots[:, 1]], axis=0)
-        if not len(roots):
-            continue
-        parent: dict[int, int] = {}
-
-        def find(x: int, parent: dict[int, int] = parent) -> int:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = x = parent.get(up, up)
-            return x
-
-        for x, y in roots.tolist():
-            x, y = find(x), find(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        to = np.arange(len(values))
-        moved = np.fromiter(parent, np.int64, len(parent))
-        to[moved] = [find(x) for x in moved.tolist()]
-        label = to[label]
-    least = np.full(len(values), np.iinfo(np.int64).max)
+        x, y = roots(i), roots(j + shift)
+        for key in np.unique((np.minimum(x, y) * n + np.maximum(x, y))[x != y]).tolist():
+            one, other = find(key // n), find(key % n)
+            if one != other:
+                parent[max(one, other)] = min(one, other)
+    label = roots(np.arange(n))
+    least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, label, values)
     root = least[label]
     linked = root != values
@@ -173,55 +223,76 @@ def _forest(a: np.ndarray, b: np.ndarray, limit: int, same: bool) -> tuple[np.nd
 
 
 def _links(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
+    """Links of pairs of blocks: the two sides of a pair follow each other, a pair of equals has one side."""
+    left = np.empty(0, np.int64)
     for batch in batches:
-        for x, y, a, b in zip(batch["a"], batch["b"], batch["a_bits"], batch["b_bits"], strict=True):
-            node, to = _forest(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), limit, x == y)
-            yield pd.DataFrame({"node": node, "to": to})
+        for a, b, side, bits in zip(batch["a"], batch["b"], batch["side"], batch["bits"], strict=True):
+            values = np.frombuffer(bits, np.int64)
+            if side == 0:
+                left = values
+            if side == 1 or a == b:
+                node, to = _forest(left, values, limit, a == b)
+                yield pd.DataFrame({"node": node, "to": to})
 
 
-def block_index(bits: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Gray-ordered blocks (block, all_ones, any_one, bits) of a frame of distinct fingerprints `bits`."""
+def block_index(bits: DataFrame, block_rows: int | None = None) -> tuple[DataFrame, int]:
+    """Gray-ordered blocks (block, prefix, ones, any, bits) of a frame of distinct fingerprints `bits`, and the bits of a prefix."""
     count = bits.count()
-    ranges = max(1, -(-count // block_rows))
-    ordered = bits.repartitionByRange(ranges, gray_rank(F.col("bits"))).sortWithinPartitions(gray_rank(F.col("bits")))
-    return park(ordered.mapInPandas(lambda it: _blocks(it, block_rows), "block long, all_ones long, any_one long, bits binary"))
-
-
-def near_blocks(blocks: DataFrame, limit: int) -> DataFrame:
-    """Pairs of blocks (a, b), a <= b, that may hold fingerprints within the limit, by descent from one root node."""
-    top = blocks.agg(F.max("block")).first()[0] or 0
-    shifts = [0, CHUNK_BITS]
-    while top >> shifts[-1]:
-        shifts.append(shifts[-1] + FAN_BITS)
-    pairs = blocks.sparkSession.createDataFrame([(0, 0)], "a long, b long")
-    for upper, shift in zip(shifts[:0:-1], shifts[-2::-1], strict=True):
-        nodes = (
-            blocks.groupBy(F.shiftright("block", shift).alias("node"))
-            .agg(F.bit_and("all_ones").alias("ones"), F.bit_or("any_one").alias("any"))
-            .withColumn("up", F.shiftright("node", upper - shift))
-        )
+    shared = prefix_bits(count, block_rows)
+    ranges = max(1, min(count // SORT_ROWS, 1 << max(shared - 2, 0)))
+    ordered = bits.select("bits", gray_rank(F.col("bits")).alias("rank")).repartitionByRange(ranges, "rank").sortWithinPartitions("rank")
+    most = max(1, count >> (shared - 1))
+    return park(ordered.mapInPandas(lambda it: _blocks(it, shared, most), "block long, prefix long, ones long, any long, bits binary")), shared
+
+
+def near_blocks(blocks: DataFrame, shared: int, limit: int) -> DataFrame:
+    """Pairs of block numbers (a, b), a <= b, that may hold fingerprints within the limit, by descent from one root node.
+
+    blocks: number, prefix, ones, any; a few bytes for each block.
+    """
+
+    def below(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Pairs of nodes (node, up, ones, any) under pairs of their parents."""
         x, y = nodes.select([F.col(c).alias(f"x_{c}") for c in nodes.columns]), nodes.select([F.col(c).alias(f"y_{c}") for c in nodes.columns])
         apart = F.bit_count(F.col("x_ones").bitwiseAND(F.bitwise_not("y_any"))) + F.bit_count(F.col("y_ones").bitwiseAND(F.bitwise_not("x_any")))
-        pairs = park(
-            pairs.join(x, F.col("a") == F.col("x_up")).join(y, F.col("b") == F.col("y_up"))
-            .filter((F.col("x_node") <= F.col("y_node")) & (apart <= limit))
-            .select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
-        )
-    return pairs
-
-
-def links(bits: DataFrame, limit: int = MAX_DISTANCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Edges (node, to) whose components are those of all pairs of fingerprints within the limit."""
-    blocks = block_index(bits, block_rows)
-    side = blocks.select("block", "bits")
-    spread = max(partitions(bits.sparkSession), 12)
-    return (
-        near_blocks(blocks, limit)
-        .join(side.select(F.col("block").alias("a"), F.col("bits").alias("a_bits")), "a")
-        .repartition(spread, "b")
-        .join(side.select(F.col("block").alias("b"), F.col("bits").alias("b_bits")), "b")
-        .mapInPandas(lambda it: _links(it, limit), "node long, to long")
-    )
+        near = pairs.join(x, F.col("a") == F.col("x_up")).join(y, F.col("b") == F.col("y_up")).filter((F.col("x_node") <= F.col("y_node")) & (apart <= limit))
+        return park(near.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")))
+
+    pairs, upper = blocks.sparkSession.createDataFrame([(0, 0)], "a long, b long"), 0
+    for level in [*range(FAN_BITS, shared, FAN_BITS), shared]:
+        nodes = blocks.groupBy(F.shiftright("prefix", shared - level).alias("node")).agg(F.bit_and("ones").alias("ones"), F.bit_or("any").alias("any"))
+        pairs, upper = below(pairs, nodes.withColumn("up", F.shiftright("node", level - upper))), level
+    return below(pairs, blocks.select(F.col("number").alias("node"), F.col("prefix").alias("up"), "ones", "any"))
+
+
+def indexed_pairs(bits: DataFrame, limit: int = MAX_DISTANCE, block_rows: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Blocks with their numbers, pairs of them that may hold links, and the number of such pairs."""
+    blocks, shared = block_index(bits, block_rows)
+    numbers = park(blocks.select("block", "prefix", "ones", "any").withColumn("number", F.row_number().over(W.orderBy("block")).cast("long") - 1))
+    pairs = near_blocks(numbers, shared, limit)
+    return blocks.select("block", "bits").join(numbers.select("block", "number"), "block").select("number", "bits"), pairs, pairs.count()
+
+
+def surviving_share(bits: DataFrame, limit: int = MAX_DISTANCE, block_rows: int | None = None) -> float:
+    """The share of all pairs of blocks that the descent leaves."""
+    blocks, _, left = indexed_pairs(bits, limit, block_rows)
+    n = blocks.count()
+    return left / (n * (n + 1) / 2) if n else 0.0
+
+
+def links(bits: DataFrame, limit: int = MAX_DISTANCE, block_rows: int | None = None) -> DataFrame:
+    """Edges (node, to) whose components are those of all pairs of fingerprints within the limit.
+
+    Pairs of blocks are dealt to tasks by their own numbers, which are dense where no pair is pruned, so that
+    tasks get equal numbers of pairs; a task holds two blocks at a time.
+    """
+    blocks, pairs, count = indexed_pairs(bits, limit, block_rows)
+    tasks = max(1, min(count, MOST_TASKS))
+    slot = F.pmod(F.expr("b * (b + 1) div 2 + a"), F.lit(tasks)).cast("int")
+    sides = F.array(F.struct(F.col("a").alias("number"), F.lit(0).alias("side")), F.struct(F.col("b").alias("number"), F.lit(1).alias("side")))
+    wanted = pairs.select("a", "b", slot.alias("slot"), F.explode(sides).alias("x")).select("a", "b", "slot", "x.*").filter("side = 0 or a <> b")
+    dealt = wanted.join(blocks, "number").repartitionById(tasks, "slot").sortWithinPartitions("a", "b", "side")
+    return dealt.select("a", "b", "side", "bits").mapInPandas(lambda it: _links(it, limit), "node long, to long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -248,7 +319,7 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
 
 
-def grouped(own: DataFrame, limit: int = MAX_DISTANCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def grouped(own: DataFrame, limit: int = MAX_DISTANCE, block_rows: int | None = None) -> DataFrame:
     """own (doc_id, bits, ...) with root, the fingerprint that stands for the group, and component_id, its smallest id."""
     first = park(own.groupBy("bits").agg(F.min("doc_id").alias("first_id")))
     roots = park(components(links(first.select("bits"), limit, block_rows)).withColumnsRenamed({"node": "bits"}))
@@ -260,22 +331,24 @@ def grouped(own: DataFrame, limit: int = MAX_DISTANCE, block_rows: int = BLOCK_R
     return own.join(park(of_bits), "bits")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = MAX_DISTANCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = MAX_DISTANCE, block_rows: int | None = None) -> DataFrame:
     """One row (doc_id, bits, component_id) per input row.
 
     Texts whose fingerprints differ in at most `limit` bits are linked; component_id is the smallest id
     reachable. Null and wordless texts have fingerprint 0 and are linked like any other. Null ids never
     are the smallest unless a component has no other. Repeated rows stay repeated; other columns are
-    ignored; an empty table gives none.
+    ignored; an empty table gives none. A text is taken apart in pieces of PIECE bytes, however long it is.
     """
     own = park(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("bits")))
     return grouped(own, limit, block_rows).select("doc_id", "bits", "component_id")
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = MAX_DISTANCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = MAX_DISTANCE, block_rows: int | None = None) -> DataFrame:
     """The rows of docs that stay when one of each group does: the one with the smallest id, all its columns kept.
 
-    Rows with equal ids in a group are told apart by a hash of their text, and of wholly repeated ones one stays.
+    Rows with equal ids in a group are told apart by a hash of their text, and of rows equal in both one stays. Null
+    ids stay only in groups without another; an empty table gives none. The rows to be left out are the smaller
+    side: where Spark finds their table small enough to broadcast, no text is shuffled.
     """
     digest = F.xxhash64(F.lit(6), F.col(text))
     own = park(docs.select(F.col(doc_id).alias("doc_id"), digest.alias("digest"), fingerprints(F.col(text)).alias("bits")))
@@ -283,7 +356,8 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = grouped(own, limit, block_rows).groupBy("root").agg(F.min(order).alias("first"))
     keep = park(first.select(F.col("first.doc_id").alias("keep_id"), F.col("first.digest").alias("keep_digest")).distinct())
     same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest"))
+    lost = park(own.join(keep, same, "left_anti").select(F.col("doc_id").alias("lost_id"), F.col("digest").alias("lost_digest")).distinct())
     rows = docs.select(F.col(doc_id).alias("doc_id"), digest.alias("digest"), F.struct("*").alias("row"))
-    kept = rows.join(keep, same, "left_semi")
+    kept = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("digest") == F.col("lost_digest")), "left_anti")
     repeated = own.join(keep, same, "left_semi").count() > keep.count()
     return (kept.dropDuplicates(["doc_id", "digest"]) if repeated else kept).select("row.*")

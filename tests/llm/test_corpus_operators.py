@@ -121,7 +121,7 @@ def brute_fingerprint(text):
 
 
 def test_near_duplicates_against_brute_force(spark, docs):
-    for block in (simhash.BLOCK_ROWS, 16):
+    for block in (None, 16):
         got = sorted(simhash.near_duplicates(docs, block_rows=block).collect(), key=lambda r: r["doc_id"])
         texts = {r["doc_id"]: r["text"] for r in docs.collect()}
         bits = [brute_fingerprint(texts[r["doc_id"]]) for r in got]
@@ -144,6 +144,30 @@ def test_close_pairs_against_brute_force(seed):
     assert {(i, j + half) for a, b in simhash.close_pairs(v[:half], v[half:], 4, False) for i, j in zip(a.tolist(), b.tolist(), strict=True)} == {(i, j) for i, j in want if i < half <= j}
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["Alpha", "b", "ÄÖ", "x" * 40]) for _ in range(n)) for n in (1, 3, 4, 5, 200)] + [" \t ", "\n a  b\tc\x0bd \r e", "y" * 300]
+    whole = [simhash.fingerprint(t) for t in texts]
+    assert whole == [brute_fingerprint(t) for t in texts]
+    monkeypatch.setattr(simhash, "PIECE", 7)
+    assert [simhash.fingerprint(t) for t in texts] == whole
+
+
+def test_fewer_pairs_of_blocks_survive_among_more(spark):
+    """Blocks of 64 random fingerprints: with k shared leading bits at least the pairs that differ in over 4 of them go."""
+    shares = []
+    for count in (1 << 11, 1 << 13, 1 << 15):
+        bits = spark.range(count).select(F.xxhash64("id").alias("bits"))
+        shares.append(simhash.surviving_share(bits, block_rows=64))
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.6
+
+
+def test_pairs_are_dealt_evenly(spark):
+    bits = spark.range(4000).select(F.xxhash64("id").alias("bits"))
+    n = simhash.links(bits, block_rows=256).rdd.getNumPartitions()
+    assert n == simhash.indexed_pairs(bits, block_rows=256)[2] > 16
+
+
 def test_gray_rank(spark):
     n = 64
     df = spark.range(n).select((F.col("id").bitwiseXOR(F.shiftright("id", 1))).alias("gray"), "id")
