@@ -48,7 +48,7 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp", "position")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,10 +87,11 @@ _LETTER = " + ".join(f"CAST(substr(b, 5 * i + {k + 1}, 1) AS INTEGER) * {16 >> k
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.sql(),
     "op7_warc_index": f"""
-WITH bits AS (SELECT page_id, strlen(coalesce(html, '')) AS n, {_BITS} AS b FROM pages),
-own AS (SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+WITH bits AS (SELECT page_id, strlen(coalesce(html, '')) AS n, {_BITS} AS b, split_part(lower(trim(coalesce(url, 'about:blank'))), '#', 1) AS u FROM pages),
+own AS (SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, strftime(make_timestamp(({warc.EPOCH} + page_id % 1000000000) * 1000000), '%Y%m%d%H%M%S') AS timestamp,
+  concat(array_to_string(list_reverse(string_split(regexp_replace(regexp_extract(u, '://([^/?]*)', 1), '^www\\.', ''), '.')), ','), ')', coalesce(nullif(regexp_extract(u, '://[^/?]*([^?]*)', 1), ''), '/'), regexp_extract(u, '\\?.*$')) AS urlkey,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST({_LETTER} AS INTEGER) + 1, 1)), '') AS payload_digest FROM bits)
-SELECT page_id, payload_bytes, payload_digest,
+SELECT page_id, payload_bytes, payload_digest, urlkey, timestamp, row_number() OVER (ORDER BY urlkey, timestamp, page_id) - 1 AS position,
   CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = max(page_id) OVER w THEN NULL ELSE max(page_id) OVER w END AS refers_to
 FROM own WINDOW w AS (PARTITION BY payload_digest)""",

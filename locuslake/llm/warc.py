@@ -4,7 +4,7 @@ Pages are written as WARC 1.1 records through Spark's text writer, whose line se
 ends a record; pages with equal payloads are stored once and revisited by the others. Reading parses each
 archive file in one task into a run of captures sorted by URL key and timestamp. The runs are stored, cut at
 common key ranges, and each range's pieces of runs are merged by a loser tree, which gives capture histories
-in global order.
+in global order: a capture's position is its place in its range's merge after all captures of the ranges before.
 """
 
 from __future__ import annotations
@@ -16,17 +16,20 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuslake.llm.shared import park, partitions, shared_folder
 
-#: Payload bytes that an archive file aims at, and captures that a merging task does.
+#: Bytes that an archive file aims at, about those of a record beside its payload, and captures that a merging task aims at.
 FILE_BYTES = 32 << 20
-MERGE_ROWS = 200_000
+HEADER_BYTES = 500
+MERGE_ROWS = 50_000
 #: Payloads of fewer bytes are always stored.
 MIN_REVISIT_BYTES = 0
-_EPOCH = 1577836800
+EPOCH = 1577836800
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed values: RFC 4648
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -59,13 +62,13 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     others revisit it. A null html is an empty payload, a null url 'about:blank', a null page_id is written as
     null. `captured` is the capture time; without it the id counts seconds from 2020. No rows give no records.
     """
-    when = captured if captured is not None else F.timestamp_seconds(F.lit(_EPOCH) + F.pmod(F.coalesce(F.col(page_id), F.lit(0)), F.lit(10**9)))
+    when = captured if captured is not None else F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce(F.col(page_id), F.lit(0)), F.lit(10**9)))
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("about:blank")).alias("url"),
         F.coalesce(F.col(html), F.lit("")).alias("html"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
     ).withColumns({"digest": base32_sha1(F.col("html")), "bytes": F.octet_length("html")})
     shared = park(responses(rows.select("page_id", "html"), least_bytes))
-    size = pages.select(F.avg(F.octet_length(html))).first()[0] or 1.0
+    size = pages.select(F.avg(F.octet_length(html))).first()[0] or 0.0
     revisit = F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("page_id")) & (F.col("bytes") >= least_bytes)
     address = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     http = F.format_string("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n", F.col("bytes"))
@@ -80,7 +83,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
         F.col("http"), F.when(revisit, F.lit("")).otherwise(F.col("html")),
     )
     records = rows.join(shared, "digest", "left").withColumn("http", http).select(record.alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, int(FILE_BYTES / max(size, 1.0)))).text(folder)
+    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, int(FILE_BYTES / (size + HEADER_BYTES)))).text(folder)
 
 
 def url_key(url: str) -> str:
@@ -175,15 +178,23 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         file = columns.index("file")
         for row in batch.itertuples(index=False, name=None):
             runs.setdefault(row[file], []).append(row)
+    part = TaskContext.get().partitionId()
     tree = LoserTree([runs[f] for f in sorted(runs)], lambda r: (r[0], r[1], r[3] is not None, int(r[3] or 0)))
     held: list[tuple] = []
+    place = 0
+
+    def merged() -> pd.DataFrame:
+        out = pd.DataFrame(held, columns=columns).drop(columns="seq")
+        return out.assign(part=part, place=range(place - len(held), place))
+
     for row in tree:
         held.append(row)
+        place += 1
         if len(held) == 10_000:
-            yield pd.DataFrame(held, columns=columns).drop(columns="seq")
+            yield merged()
             held = []
     if held:
-        yield pd.DataFrame(held, columns=columns).drop(columns="seq")
+        yield merged()
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -203,20 +214,28 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merge(runs: DataFrame, rows_per_task: int = MERGE_ROWS) -> DataFrame:
-    """All captures ordered by (urlkey, timestamp, page_id) across partitions, merged from the sorted runs."""
+    """All captures with their position, from 0, in the order of (urlkey, timestamp, page_id, null ids first), merged
+    from the sorted runs. Captures equal in these stand in the order of their files and offsets."""
     runs = park(runs)
     tasks = max(partitions(runs.sparkSession), -(-runs.count() // rows_per_task))
     pieces = runs.repartitionByRange(tasks, "urlkey", "timestamp", "page_id", "file").sortWithinPartitions("file", "seq")
     ids = {c: F.col(c).cast("string") for c in ("page_id", "refers_to")}
-    merged = pieces.withColumns(ids).mapInPandas(_merge, CAPTURE.replace("page_id long", "page_id string").replace("refers_to long", "refers_to string"))
-    return merged.withColumns({c: F.col(c).cast("long") for c in ids})
+    form = CAPTURE.replace("page_id long", "page_id string").replace("refers_to long", "refers_to string")
+    merged = park(pieces.withColumns(ids).mapInPandas(_merge, f"{form}, part int, place long"))
+    # a row for each range
+    sizes = merged.groupBy("part").agg(F.count("*").alias("n"))
+    starts = park(sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start")))
+    placed = merged.join(starts, "part").withColumn("position", F.col("start") + F.col("place")).drop("part", "place", "start")
+    return placed.withColumns({c: F.col(c).cast("long") for c in ids})
 
 
 def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes pages as WARC files into a new folder of the shared one, reads them back and returns the capture index.
 
-    A row for each row of pages; columns as in CAPTURE. intact is false where a stored payload does not match
-    its digest. Other columns of pages are ignored; repeated rows are captures of their own.
+    A row for each row of pages; columns as in CAPTURE, and the position in the merged index. intact is false where
+    a stored payload does not match its digest. Null and empty texts are empty payloads; other columns of pages are
+    ignored; repeated rows are captures of their own; an empty table gives none. An archive file is read whole by
+    one task: it holds FILE_BYTES on the average of all pages, and one record at least, whatever its length.
     """
     spark = pages.sparkSession
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"

@@ -200,16 +200,28 @@ def test_warc_round_trip(spark, tmp_path):
     tricky = "a\r\n\r\nWARC/1.1\r\n\r\nb\r\n\r\n"
     rows = [(1, "http://www.B.org/x?q=1", tricky), (2, "http://a.org/", tricky), (3, None, None), (None, "http://a.org/", ""), (4, "http://a.org/\r\nX: y", "é"), (5, "http://a.org/", tricky), (5, "http://a.org/", tricky), (2**60 + 1, "http://a.org/", "big")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("keeper", F.lit(1))
-    got = warc.archive(pages).collect()
-    assert len(got) == 8 and all(r["intact"] for r in got)
+    got = sorted(warc.archive(pages).collect(), key=lambda r: r["position"])
+    assert len(got) == 8 and all(r["intact"] for r in got) and [r["position"] for r in got] == list(range(8))
     kinds = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in got)
     assert kinds == {(1, "revisit", 5): 1, (2, "revisit", 5): 1, (5, "response", None): 2, (3, "response", None): 1, (None, "revisit", 3): 1, (4, "response", None): 1, (2**60 + 1, "response", None): 1}
-    keys = [(r["urlkey"], r["timestamp"]) for r in got]
-    assert keys == sorted(keys) and ("org,b)/x?q=1" in {k for k, _ in keys})
+    keys = [(r["urlkey"], r["timestamp"], r["page_id"] is not None, r["page_id"] or 0) for r in got]
+    assert keys == sorted(keys) and ("org,b)/x?q=1" in {k[0] for k in keys})
     assert {r["payload_bytes"] for r in got if r["page_id"] in (1, 2, 5)} == {len(tricky)}
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_histories_merged_from_many_archives(spark, tmp_path, monkeypatch):
+    """Many short runs, one URL with a third of all captures: the merged order is that of a plain sort."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 6000)
+    pages = spark.range(300).selectExpr("id AS page_id", "concat('http://', if(id % 3 = 0, 'hot', concat('h', id % 17)), '.org/', if(id % 3 = 0, '', string(id % 5))) AS url", "concat('text ', id) AS html")
+    warc.write(pages, str(tmp_path / "w"), captured=F.timestamp_seconds(F.lit(1_600_000_000) + F.pmod(F.col("page_id") * 7919, F.lit(50))))
+    runs = warc.read(spark, str(tmp_path / "w"))
+    assert runs.select("file").distinct().count() > 20
+    got = sorted(warc.merge(runs, 40).collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in got] == list(range(300))
+    assert [(r["urlkey"], r["timestamp"], r["page_id"]) for r in got] == sorted((r["urlkey"], r["timestamp"], r["page_id"]) for r in got)
+
+
 def test_records_are_standard_warc(spark, tmp_path):
     folder = str(tmp_path / "w")
     warc.write(spark.createDataFrame([(1, "http://a/", "<p>x</p>")], "page_id long, url string, html string"), folder)
