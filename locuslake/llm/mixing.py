@@ -13,18 +13,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locuslake.llm.shared import null_safe, park, ranks, unit_hash, word_count
+from locuslake.llm.shared import attach, null_safe, park, ranks, sorted_parts, starts, unit_hash, word_count
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MAX_COPIES = 2
 SEED = 4
 TOLERANCE = 1e-9
-MAX_ROUNDS = 80
+#: Newton rounds after which it is an error not to have met all targets.
+MAX_ROUNDS = 200
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = MAX_COPIES) -> DataFrame:
@@ -35,21 +36,33 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
     this ends is the greatest of the levels (rest / remaining weight) met when sources fill up in order of
     cap * size / weight.
     """
-    rank = F.row_number().over(W.orderBy(F.col("source").isNull(), "source"))
-    weighed = sizes.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int")))
-    by_fill = W.orderBy(F.col("source_size") / F.col("_w"), "key")
-    taken = F.coalesce(F.sum(cap * F.col("source_size")).over(by_fill.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("_w").over(by_fill.rowsBetween(W.currentRow, W.unboundedFollowing))
-    everything = W.partitionBy()
-    level = weighed.withColumn("_level", (budget * F.sum("source_size").over(everything) - taken) / left)
-    return level.withColumn("target", F.least(cap * F.col("source_size").cast("double"), F.max("_level").over(everything) * F.col("_w"))).drop("_w", "_level")
+    last = F.col("source").isNull()
+    weighed = with_running(sizes.withColumn("_one", F.lit(1)), [last, "source"], {"_rank": F.col("_one")})
+    weighed = weighed.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("_rank"), F.lit(len(weights))) + 1).cast("int"))).drop("_one", "_rank")
+    weighed = with_running(weighed, [F.col("source_size") / F.col("_w"), "key"], {"_taken": cap * F.col("source_size"), "_passed": F.col("_w")})
+    whole = weighed.agg(F.sum("source_size").alias("words"), F.sum("_w").alias("weight")).first()
+    level = weighed.select(((F.lit(float(budget * (whole["words"] or 0))) - F.col("_taken")) / (F.lit(float(whole["weight"] or 0.0)) - F.col("_passed"))).alias("level")).agg(F.max("level")).first()[0] or 0.0
+    return weighed.withColumn("target", F.least(cap * F.col("source_size").cast("double"), F.lit(level) * F.col("_w"))).drop("_w", "_taken", "_passed")
+
+
+def with_running(rows: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
+    """rows with sums over those before in the order, which no two rows share; parts of the order are added up first,
+    so that no task orders all rows."""
+    parts = sorted_parts(rows.withColumns({f"_own{name}": x for name, x in sums.items()}), order)
+    own = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    for name in sums:
+        counts = parts.groupBy("_part").agg(F.sum(f"_own{name}").alias("_n"))
+        parts = parts.join(starts(counts, [], "_part", "_n", f"_at{name}").drop("_n"), "_part")
+        parts = parts.withColumn(name, F.col(f"_at{name}") + F.coalesce(F.sum(f"_own{name}").over(own), F.lit(0)))
+    return parts.select(*rows.columns, *sums)
 
 
 def solve(classes: DataFrame, goals: DataFrame, cap: float = MAX_COPIES) -> DataFrame:
     """(key, tilt, scale): the dual solution of each source.
 
     classes: (key, size > 0, n); goals: (key, target, source_size > 0). Newton steps that leave the bracket
-    around the root are replaced by its middle. Sums are exact decimals, so that reruns give equal bits.
+    around the root are replaced by its middle. Sums are exact decimals, so that reruns give equal bits. A target
+    that is not met to TOLERANCE after MAX_ROUNDS is an error.
     """
     spread = classes.groupBy("key").agg(F.min("size").alias("least"), (F.sum(F.col("n") * F.col("size").cast("decimal(20,0)") * F.col("size")).cast("double")).alias("squares"))
     scale = F.col("squares") / F.col("source_size")
@@ -84,6 +97,8 @@ def solve(classes: DataFrame, goals: DataFrame, cap: float = MAX_COPIES) -> Data
         state = state.drop("miss")
         if worst <= TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"targets were not met in {MAX_ROUNDS} rounds; the worst misses by {worst:.1e} of itself")
     return state.select("key", "tilt", "scale")
 
 
@@ -106,15 +121,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rate = F.when(F.col("size") == 0, 1.0).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(700.0)))))
     before = W.partitionBy("key").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)
     rated = classes.select("key", "size", "n").join(tilts, "key", "left").withColumn("rate", rate)
-    # stored, so that the join with the documents deals both sides anew and AQE can split a hot class
-    rated = park(rated.select("key", "size", "rate", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(before), F.lit(0.0)).alias("so_far")))
+    rated = rated.withColumn("so_far", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(before), F.lit(0.0)))
+    # one row for each class, with all that its documents need
+    rated = park(rated.join(goals.select("key", "source_size", "target"), "key").select("key", "size", "n", "rate", "so_far", "source_size", "target"))
     # copies end where the running total of rates passes a whole number and a half
     upto = lambda k: F.floor(F.col("so_far") + k * F.col("rate") + 0.5)
     copies = F.least(F.lit(cap), F.greatest(F.lit(0), upto(F.col("k")) - upto(F.col("k") - 1)))
-    placed = ranks(own.drop("source"), ["key", "size"], "at", ["doc_id", "tie"], "k").join(rated, ["key", "size"])
-    return placed.join(goals.select("key", "source_size", "target"), "key").select(
-        "doc_id", "size", "source_size", "target", "rate", F.when(F.col("size") == 0, 1).otherwise(copies).cast("int").alias("copies"), "tie"
-    )
+    placed = attach(ranks(own.drop("source"), ["key", "size"], "at", ["doc_id", "tie"], "k"), rated, ["key", "size"], "n", own.count(), "at")
+    return placed.select("doc_id", "size", "source_size", "target", "rate", F.when(F.col("size") == 0, 1).otherwise(copies).cast("int").alias("copies"), "tie")
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: int = MAX_COPIES, seed: int = SEED) -> DataFrame:

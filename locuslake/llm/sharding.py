@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locuslake.llm.shared import null_safe, park, ranks, unit_hash
+from locuslake.llm.shared import attach, null_safe, park, ranks, unit_hash
 
 SHARDS = 40
 SEED = 3
@@ -46,12 +46,11 @@ def interleave(rows: DataFrame, source: str, keys: list[str], shards: int = SHAR
         F.struct(*[F.col(c) for c in kept]).alias("_row"), null_safe(F.col(source)).alias("_source"),
         unit_hash(seed, *[F.col(k) for k in keys]).alias("_at"), F.xxhash64(*[F.col(k) for k in keys]).alias("_tie"),
     )
-    # stored: Spark sees its size before it plans the join, and rows need not be dealt by source
     counts = park(inner.groupBy("_source").agg(F.count("*").alias("_n")))
-    placed = ranks(inner, ["_source"], "_at", ["_tie"], "_rank").join(counts, "_source")
+    total = inner.count()
+    placed = attach(ranks(inner, ["_source"], "_at", ["_tie"], "_rank"), counts, ["_source"], "_n", total, "_at")
     placed = placed.withColumn("_fraction", (F.col("_rank") - 0.5) / F.col("_n")).drop("_n", "_rank")
     placed = park(placed)
-    total = placed.count()
     shard, slot = cut(F.col("_position") - 1, total, shards)
     return ranks(placed, [], "_fraction", ["_source", "_at", "_tie"], "_position").select("_row.*", shard.alias("shard"), slot.alias("slot"))
 

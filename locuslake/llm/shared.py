@@ -57,6 +57,38 @@ def unit_hash(seed: int, *columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(1 << 53))
 
 
+#: A key is hot if it holds more than this share of the rows; there are less than 1 / HOT_SHARE hot keys.
+HOT_SHARE = 1 / 1000
+
+
+def attach(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, salt: str) -> DataFrame:
+    """rows with the columns of table, which has one row for each combination of keys that rows hold (none null).
+
+    Column `count` of the table is how many of the `total` rows have the keys. The hot ones, 1000 at most, are
+    broadcast, and rows that have one are spread by `salt`, a double in [0, 1), in the join with the others: no task
+    gets a hot key's rows.
+    """
+    own = [c for c in table.columns if c not in keys]
+    packed = table.select(*keys, F.struct(*own).alias("_own"), (F.col(count) > HOT_SHARE * total).alias("_is_hot"))
+    hot = F.broadcast(packed.filter("_is_hot").select(*keys, F.col("_own").alias("_hot")))
+    cold = packed.filter("not _is_hot").select(*keys, F.col("_own").alias("_cold"), F.lit(-1).alias("_salt"))
+    flagged = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.floor(F.col(salt) * 4096).cast("int")).otherwise(-1))
+    found = flagged.join(cold, [*keys, "_salt"], "left").withColumn("_own", F.coalesce("_hot", "_cold"))
+    return found.select(*[F.col(c) for c in rows.columns], *[F.col(f"_own.{c}").alias(c) for c in own])
+
+
+def starts(counts: DataFrame, group: list[str], order: str, n: str, out: str, run: int = 64) -> DataFrame:
+    """counts with `out`, the sum of `n` over the rows before in `order` (whole numbers from 0) of its group.
+
+    Runs of `run` places are added up first, so that a task orders a run, or a row for each run of a group.
+    """
+    running = lambda x, w: F.coalesce(F.sum(x).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    keyed = counts.withColumn("_run", F.floor(F.col(order) / run))
+    sums = keyed.groupBy(*group, "_run").agg(F.sum(n).alias("_sum"))
+    sums = sums.select(*group, "_run", running("_sum", W.partitionBy(*group).orderBy("_run")).alias("_start"))
+    return keyed.join(sums, [*group, "_run"]).withColumn(out, F.col("_start") + running(n, W.partitionBy(*group, "_run").orderBy(order))).drop("_run", "_start")
+
+
 def ranks(rows: DataFrame, group: list[str], order: str, ties: list[str], out: str, most: int = 100_000) -> DataFrame:
     """rows with their 1-based rank `out` in the group, by `order` (a double in [0, 1)), then `ties`.
 
@@ -68,16 +100,21 @@ def ranks(rows: DataFrame, group: list[str], order: str, ties: list[str], out: s
     total = rows.count()
     each = max(1, min(most, total // (16 * partitions(rows.sparkSession))))
     if group:
-        # stored, so that the join deals both sides anew and AQE can split a hot group
-        sizes = park(rows.groupBy(*group).agg(F.ceil(F.count("*") / each).alias("_ranges")))
-        rows = rows.join(sizes, group)
+        sizes = park(rows.groupBy(*group).agg(F.count("*").alias("_size")))
+        rows = attach(rows, sizes, group, "_size", total, order)
+        rows = rows.withColumn("_ranges", F.ceil(F.col("_size") / each)).drop("_size")
     else:
         rows = rows.withColumn("_ranges", F.lit(max(1, -(-total // each))))
     rows = rows.withColumn("_range", F.floor(F.col(order) * F.col("_ranges"))).drop("_ranges")
-    before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = rows.groupBy(*group, "_range").agg(F.count("*").alias("_n")).select(*group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = rows.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
+    before = starts(counts, group, "_range", "_n", "_before").drop("_n")
     within = F.row_number().over(W.partitionBy(*group, "_range").orderBy(order, *ties))
-    return rows.join(starts, [*group, "_range"]).withColumn(out, F.col("_before") + within).drop("_range", "_before")
+    return rows.join(before, [*group, "_range"]).withColumn(out, F.col("_before") + within).drop("_range", "_before")
+
+
+def sorted_parts(rows: DataFrame, order: list) -> DataFrame:
+    """rows in parts `_part` that follow each other in the order, stored, so that the parts stay as they are."""
+    return park(rows.repartitionByRange(partitions(rows.sparkSession), *order).withColumn("_part", F.spark_partition_id()))
 
 
 def null_safe(column: Column) -> Column:
