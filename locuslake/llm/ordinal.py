@@ -31,7 +31,7 @@ _RUNS = re.compile(r"(?P<U>[^\W\d_a-z]*[A-Z][^\W\d_a-z]+)|(?P<a>[^\W\d_]+)|(?P<d
 
 def shape(token: str) -> str:
     """A token with runs of letters and digits folded: 'a', 'U' for two or more capitals, 'd'."""
-    return _RUNS.sub(lambda m: m.lastgroup, token)[:12]
+    return _RUNS.sub(lambda m: m.lastgroup, token)
 
 
 def token_features(token: str) -> tuple[int, int]:
@@ -82,6 +82,24 @@ class CumulativeLink:
         return mass @ of, mass[:, of >= select].sum(axis=1)
 
 
+def edges_of(theta: np.ndarray) -> np.ndarray:
+    """Thresholds in order from a first one and the logarithms of the gaps."""
+    return np.cumsum(np.append(theta[:1], np.exp(theta[1:])))
+
+
+def loss_and_gradient(x: Sparse, y: np.ndarray, weights: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of grade numbers y, and its gradient in the weights and in theta."""
+    k = len(theta)
+    edges = np.concatenate([[-np.inf], edges_of(theta), [np.inf]])
+    s = x.dot(weights)
+    upper, lower = sigmoid(edges[y + 1] - s), sigmoid(edges[y] - s)
+    mass = np.maximum(upper - lower, 1e-12)
+    d_upper, d_lower = upper * (1 - upper) / mass / len(y), lower * (1 - lower) / mass / len(y)
+    d_edge = np.bincount(y, -d_upper, k + 1)[:k] + np.bincount(y, d_lower, k + 1)[1:]
+    after = np.cumsum(d_edge[::-1])[::-1]
+    return -float(np.log(mass).mean()), x.gradient(d_upper - d_lower, len(weights)), np.append(after[:1], after[1:] * np.exp(theta[1:]))
+
+
 def fit(rows: list[np.ndarray], values: list[np.ndarray], grades: list[int]) -> CumulativeLink:
     """Maximum likelihood with weight decay. Thresholds are kept in order as a first one and positive gaps."""
     levels = sorted(set(grades))
@@ -95,17 +113,10 @@ def fit(rows: list[np.ndarray], values: list[np.ndarray], grades: list[int]) ->
     theta = np.append(start[:1], np.log(np.maximum(np.diff(start), 1e-3)))
     adam_w, adam_t = Adam(BUCKETS, RATE), Adam(k, RATE)
     for _ in range(STEPS):
-        edges = np.concatenate([[-np.inf], np.cumsum(np.append(theta[:1], np.exp(theta[1:]))), [np.inf]])
-        s = x.dot(weights)
-        upper, lower = sigmoid(edges[y + 1] - s), sigmoid(edges[y] - s)
-        mass = np.maximum(upper - lower, 1e-12)
-        d_upper, d_lower = upper * (1 - upper) / mass / len(y), lower * (1 - lower) / mass / len(y)
-        d_edge = np.bincount(y, -d_upper, k + 1)[:k] + np.bincount(y, d_lower, k + 1)[1:]
-        after = np.cumsum(d_edge[::-1])[::-1]
-        d_theta = np.append(after[:1], after[1:] * np.exp(theta[1:]))
-        weights = weights + adam_w.step(x.gradient(d_upper - d_lower, BUCKETS) + DECAY * weights)
+        _, d_weights, d_theta = loss_and_gradient(x, y, weights, theta)
+        weights = weights + adam_w.step(d_weights + DECAY * weights)
         theta = theta + adam_t.step(d_theta)
-    return CumulativeLink(levels, np.cumsum(np.append(theta[:1], np.exp(theta[1:]))), weights)
+    return CumulativeLink(levels, edges_of(theta), weights)
 
 
 def learn(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", max_rated: int = MAX_RATED) -> CumulativeLink:
@@ -148,8 +159,9 @@ def rater(model: CumulativeLink, select: int) -> Callable[[Column], Column]:
 def select(docs: DataFrame, model: CumulativeLink, grade: int, least: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, expected_grade, tail_probability, kept) of every row; kept: P(grade >= `grade`) is at least `least`.
 
-    Null and empty texts are rated by the short-text feature. Repeated rows stay repeated, other columns are
-    ignored, an empty table gives none.
+    Null and empty texts are rated by the short-text feature. Repeated rows stay repeated, equal texts are rated
+    equally, other columns are ignored, an empty table gives none. A text's tokens are held at once, about 100 bytes
+    each.
     """
     rated = docs.select(F.col(doc_id).alias("doc_id"), rater(model, grade)(F.col(text)).alias("p"))
     return rated.select("doc_id", "p.expected_grade", "p.tail_probability").withColumn("kept", F.col("tail_probability") >= least)

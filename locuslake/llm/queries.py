@@ -20,7 +20,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = fold(F.col("doc_id"), 5) == 0
-    model = toxicity.learn(docs, labels.filter(~held_out))
+    model = toxicity.learn(docs.filter(~held_out), labels.filter(~held_out))
     return toxicity.score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
@@ -64,8 +64,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, ratings = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").withColumnRenamed("quality", "grade")
-    model = ordinal.learn(docs, ratings)
-    return ordinal.select(docs, model, model.grades[-1])
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = ordinal.learn(docs, ratings.filter(~held_out))
+    return ordinal.select(docs, model, model.grades[-1]).withColumn("held_out", held_out)
 
 
 QUERIES = {

@@ -6,8 +6,10 @@ prior p, the risk of a scorer g is
     p * E_pos[l(g)] + max(0, E_unl[l(-g)] - p * E_pos[l(-g)]),   l(z) = log(1 + exp(-z)),
 
 where the second term estimates the risk on negatives and is kept from going below zero: where it does, the
-step climbs that term instead. Features say which words and word beginnings occur in the text, whole texts
-throughout.
+step climbs that term instead. No text counts as a negative. The prior is estimated from the same two samples: no
+set of texts can be less frequent among the unlabelled than p times its frequency among the positives, so that
+the least ratio of both frequencies over telling features bounds p from above. Features say which words and word
+beginnings occur in the text, whole texts throughout.
 """
 
 from __future__ import annotations
@@ -31,7 +33,10 @@ PREFIXES = (4, 5, 6, 7)
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 8000
 #: A feature takes part if its frequency in positives exceeds that in unlabelled texts by so many standard errors.
 SCREEN_Z = 4.0
-MAX_FEATURES = 20_000
+#: A feature tells about the prior if it occurs in this share of the positives at least.
+TELLING = 0.05
+#: The prior where no feature tells.
+UNTOLD_PRIOR = 0.1
 STEPS, RATE, DECAY = 400, 0.05, 1e-3
 CACHE = 500_000
 
@@ -74,13 +79,28 @@ class Scorer:
         return score
 
 
+def risk_and_gradient(pos: Sparse, unl: Sparse, weights: np.ndarray, bias: float, prior: float) -> tuple[float, float, np.ndarray]:
+    """(risk of positives, risk of negatives, gradient): the gradient, of weights and then of the bias, is that of their
+    sum, or that of minus the second where it is below zero."""
+    g_pos, g_unl = pos.dot(weights) + bias, unl.dot(weights) + bias
+    positive = prior * np.logaddexp(0, -g_pos).mean()
+    negative = np.logaddexp(0, g_unl).mean() - prior * np.logaddexp(0, g_pos).mean()
+    d_pos = -prior * sigmoid(-g_pos) / pos.n
+    d_neg_pos, d_neg_unl = -prior * sigmoid(g_pos) / pos.n, sigmoid(g_unl) / unl.n
+    if negative >= 0:
+        d_pos, d_unl = d_pos + d_neg_pos, d_neg_unl
+    else:
+        d_pos, d_unl = -d_neg_pos, -d_neg_unl
+    size = len(weights)
+    return positive, negative, np.append(pos.gradient(d_pos, size) + unl.gradient(d_unl, size), d_pos.sum() + d_unl.sum())
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: np.ndarray, prior: float) -> Scorer:
     """Minimises the non-negative risk over rows of features, sorted ones of which are chosen.
 
     Without positives or unlabelled rows every text scores the prior.
     """
     prior = min(max(prior, 1e-6), 0.95)
-    n_pos, n_unl = max(1, len(positive)), max(1, len(unlabelled))
     pick = lambda rows: Sparse([np.searchsorted(chosen, r[np.isin(r, chosen)]) for r in rows])
     pos, unl = pick(positive), pick(unlabelled)
     size = len(chosen)
@@ -89,47 +109,45 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: np.nda
         return Scorer({}, bias)
     adam = Adam(size + 1, RATE)
     for _ in range(STEPS):
-        g_pos, g_unl = pos.dot(weights) + bias, unl.dot(weights) + bias
-        negative = np.logaddexp(0, g_unl).mean() - prior * np.logaddexp(0, g_pos).mean()
-        d_pos = -prior * sigmoid(-g_pos) / n_pos
-        d_neg_pos, d_neg_unl = -prior * sigmoid(g_pos) / n_pos, sigmoid(g_unl) / n_unl
-        if negative >= 0:
-            d_pos, d_unl = d_pos + d_neg_pos, d_neg_unl
-        else:
-            d_pos, d_unl = -d_neg_pos, -d_neg_unl
-        gradient = np.append(pos.gradient(d_pos, size) + unl.gradient(d_unl, size) + DECAY * prior * weights / 10, d_pos.sum() + d_unl.sum())
+        gradient = risk_and_gradient(pos, unl, weights, bias, prior)[2]
+        gradient[:-1] += DECAY * prior * weights / 10
         move = adam.step(gradient)
         weights, bias = weights + move[:-1], bias + float(move[-1])
     return Scorer({int(i): float(w) for i, w in zip(chosen, weights, strict=True) if abs(w) > 1e-3}, bias)
 
 
-def screen(counts: DataFrame, n_pos: int, n_unl: int) -> np.ndarray:
-    """Sorted features whose frequency in positives exceeds that in unlabelled texts by SCREEN_Z standard errors, the
-    MAX_FEATURES with the largest excess at most. counts: feature, pos, unl."""
+def screen(counts: DataFrame, n_pos: int, n_unl: int) -> tuple[np.ndarray, float]:
+    """Sorted features whose frequency in positives exceeds that in unlabelled texts by SCREEN_Z standard errors, and the
+    estimate of the prior: the least of the telling ones' ratios, each taken a standard error up. counts: feature, pos, unl.
+
+    Only features of three positives at least are looked at, whose number the bounded sample bounds.
+    """
     f_pos, f_unl = F.col("pos") / max(1, n_pos), F.col("unl") / max(1, n_unl)
     mean = (F.col("pos") + F.col("unl")) / max(1, n_pos + n_unl)
     z = (f_pos - f_unl) / F.sqrt(F.greatest(mean * (1 - mean), F.lit(1e-12)) * (1 / max(1, n_pos) + 1 / max(1, n_unl)))
-    top = counts.withColumn("z", z).filter((F.col("z") >= SCREEN_Z) & (F.col("pos") >= 3)).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
-    return np.sort(np.array([r["feature"] for r in top.select("feature").collect()], np.int64))
+    rows = counts.withColumn("z", z).filter((F.col("z") >= SCREEN_Z) & (F.col("pos") >= 3)).select("feature", "pos", "unl").toPandas()
+    p, u = rows["pos"].to_numpy(float) / max(1, n_pos), rows["unl"].to_numpy(float) / max(1, n_unl)
+    telling = p >= TELLING
+    ratio = (u + np.sqrt(u * (1 - u) / max(1, n_unl)) + 1 / max(1, n_unl)) / np.maximum(p, 1e-12)
+    return np.sort(rows["feature"].to_numpy(np.int64)), float(ratio[telling].min()) if telling.any() else UNTOLD_PRIOR
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Scorer:
-    """Fits a scorer on texts of labelled documents.
+    """Fits a scorer on confirmed positives and on unlabelled texts.
 
-    Of the labels only `toxic` = 1 is used as such. The unlabelled texts are drawn, by a hash of the id and up
-    to max_unlabelled, from all labelled documents with the label hidden, so that they hold toxic ones at the
-    class prior, which is the share of toxic labels. Features are counted and screened in Spark; the driver gets
-    the screened ones alone. Rows with a null id or a null label are no labels.
+    Positives are the documents with a label `toxic` = 1, up to max_positive, chosen by a hash of the id; other
+    labels are not used. The unlabelled texts are drawn in the same way from all documents of docs, up to
+    max_unlabelled, so that they hold toxic ones at the class prior. Features are counted and screened in Spark; the
+    driver gets the screened ones alone. Rows with a null id are not drawn, of rows with one id the least text is;
+    null labels are no labels; without positives every text scores UNTOLD_PRIOR.
     """
-    rated = labels.filter(F.col(doc_id).isNotNull() & F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(toxic).alias("_toxic"))
-    total = rated.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("_toxic") == 1).cast("long")), F.lit(0)).alias("toxic")).first()
+    rated = labels.filter((F.col(toxic) == 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id")).distinct()
     by_hash = F.xxhash64(F.lit(2), F.col("_id").cast("string"))
-    chosen = (
-        rated.filter("_toxic = 1").orderBy(by_hash, "_id").limit(max_positive).select("_id", F.lit(True).alias("_positive"))
-        .union(rated.orderBy(by_hash, "_id").limit(max_unlabelled).select("_id", F.lit(False)))
-    )
+    drawn = docs.select(F.col(doc_id).alias("_id")).filter("_id is not null").orderBy(by_hash, "_id").limit(max_unlabelled).distinct().select("_id", F.lit(False).alias("_positive"))
+    chosen = rated.orderBy(by_hash, "_id").limit(max_positive).select("_id", F.lit(True).alias("_positive")).union(drawn)
     # the sample is bounded by max_positive + max_unlabelled rows of a few bytes
-    texts = park(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").select(F.col("_positive").alias("positive"), "text"))
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id")
+    texts = park(texts.groupBy("_id", F.col("_positive").alias("positive")).agg(F.min("text").alias("text")).drop("_id"))
     n_pos, n_unl = (texts.filter(F.col("positive") == kind).count() for kind in (True, False))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 yield pd.DataFrame({"feature": found, "pos": np.bincount(at[: len(kinds[0])], minlength=len(found)), "unl": np.bincount(at[len(kinds[0]) :], minlength=len(found))})
 
     counts = texts.mapInPandas(counted, "feature long, pos long, unl long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
-    screened = screen(counts, n_pos, n_unl)
+    screened, prior = screen(counts, n_pos, n_unl)
 
     def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -149,7 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     rows = texts.mapInPandas(extracted, "positive boolean, ids binary").toPandas()
     parts = [[np.frombuffer(b, np.int32).astype(np.int64) for b in sorted(rows["ids"][rows["positive"] == kind])] for kind in (True, False)]
-    return fit(*parts, screened, prior=total["toxic"] / total["n"] if total["n"] else 0.0)
+    return fit(*parts, screened, prior)
 
 
 def scorer(model: Scorer) -> Callable[[Column], Column]:
@@ -165,6 +183,8 @@ def scorer(model: Scorer) -> Callable[[Column], Column]:
 
 
 def score_documents(docs: DataFrame, model: Scorer, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score, predicted) of every row; repeated rows stay repeated, other columns are ignored."""
+    """(doc_id, score, predicted) of every row. Null and empty texts have no features and score by the bias alone;
+    repeated rows stay repeated, equal texts score equally, other columns are ignored, an empty table gives none. A
+    text's distinct words are held at once."""
     scored = docs.select(F.col(doc_id).alias("doc_id"), scorer(model)(F.col(text)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -125,6 +125,37 @@ def test_non_negative_risk_falls():
     assert risk(g(1), g(2)) < risk(m.bias, m.bias) and g(1) > 0 > g(2)
 
 
+def test_risk_gradient_against_differences():
+    r = np.random.default_rng(0)
+    rows = lambda n: [np.sort(r.choice(6, r.integers(0, 5), replace=False)) for _ in range(n)]
+    pos, unl = rows(7), rows(11)
+    pos[0] = pos[1] = np.array([0])
+    signs = set()
+    for seed in range(6):
+        w, b, prior = np.random.default_rng(seed).normal(0, 2, 6), 0.3 * seed - 1, 0.2 + 0.15 * seed
+
+        def risks(x, prior=prior):
+            g = lambda row: sum(x[k] for k in row) + x[6]
+            positive = prior * np.mean([np.log1p(np.exp(-g(row))) for row in pos])
+            return positive, np.mean([np.log1p(np.exp(g(row))) for row in unl]) - prior * np.mean([np.log1p(np.exp(g(row))) for row in pos])
+
+        positive, negative, gradient = toxicity.risk_and_gradient(toxicity.Sparse(pos), toxicity.Sparse(unl), w, b, prior)
+        x = np.append(w, b)
+        assert np.allclose((positive, negative), risks(x))
+        signs.add(negative >= 0)
+        use = (lambda x: sum(risks(x))) if negative >= 0 else (lambda x: -risks(x)[1])
+        steps = np.eye(7) * 1e-6
+        assert np.allclose(gradient, [(use(x + e) - use(x - e)) / 2e-6 for e in steps], atol=1e-6)
+    assert signs == {True, False}
+
+
+def test_prior_from_positive_and_unlabelled_texts(spark):
+    counts = spark.createDataFrame([(1, 900, 110), (2, 500, 480), (3, 30, 2), (4, 2, 0)], "feature long, pos long, unl long")
+    chosen, prior = toxicity.screen(counts, 1000, 1000)
+    assert chosen.tolist() == [1, 3] and 0.12 < prior < 0.15  # feature 1: 0.11 / 0.9 and a standard error; 3 is too rare to tell
+    assert toxicity.screen(counts.limit(0), 0, 0)[1] == toxicity.UNTOLD_PRIOR
+
+
 def brute_measures(text):
     import re
 
@@ -366,6 +397,47 @@ def test_ordinal_regression(spark, odd, empty):
     assert ordinal.learn(df, df.select("doc_id", "grade").limit(0)).grades == [0]
 
 
+def test_likelihood_gradient_against_differences():
+    r = np.random.default_rng(1)
+    rows = [np.sort(r.choice(5, 3, replace=False)) for _ in range(30)]
+    values = [r.random(3) for _ in rows]
+    y = r.integers(0, 4, 30)
+    x = ordinal.Sparse(rows, values)
+
+    def loss(at):
+        """From the definition: P(grade <= k) = sigmoid(threshold_k - s)."""
+        w, first, gaps = at[:5], at[5], np.exp(at[6:])
+        edges = [-np.inf, first, first + gaps[0], first + gaps[0] + gaps[1], np.inf]
+        below = lambda e, s: 1 / (1 + np.exp(s - e))
+        scores = [sum(w[k] * v for k, v in zip(ids, vs, strict=True)) for ids, vs in zip(rows, values, strict=True)]
+        return -np.mean([np.log(below(edges[k + 1], s) - below(edges[k], s)) for k, s in zip(y, scores, strict=True)])
+
+    at = r.normal(0, 0.4, 8)
+    got, d_weights, d_theta = ordinal.loss_and_gradient(x, y, at[:5], at[5:])
+    assert np.isclose(got, loss(at))
+    assert np.allclose(np.append(d_weights, d_theta), [(loss(at + e) - loss(at - e)) / 2e-6 for e in np.eye(8) * 1e-6], atol=1e-6)
+
+
+def test_fit_is_near_the_likeliest(monkeypatch):
+    """Against plain gradient descent, from the same definition, on a small table."""
+    monkeypatch.setattr(ordinal, "BUCKETS", 8)
+    r = np.random.default_rng(2)
+    y = [i % 3 for i in range(90)]
+    rows = [np.array([g if r.random() < 0.7 else int(r.integers(0, 3)), 3 + int(r.integers(0, 5))]) for g in y]
+    model = ordinal.fit(rows, [np.ones(2)] * 90, y)
+    x, w, theta = ordinal.Sparse(rows, [np.ones(2)] * 90), np.zeros(8), np.array([-1.0, 0.5])
+    for _ in range(20_000):
+        _, dw, dt = ordinal.loss_and_gradient(x, np.array(y), w, theta)
+        w, theta = w - 0.5 * (dw + ordinal.DECAY * w), theta - 0.5 * dt
+    best = ordinal.loss_and_gradient(x, np.array(y), w, theta)[0]
+    fitted = ordinal.loss_and_gradient(x, np.array(y), model.weights, np.append(model.thresholds[:1], np.log(np.diff(model.thresholds))))[0]
+    assert fitted < best + 0.01
+
+
+def test_shapes_of_whole_tokens():
+    assert ordinal.shape("Abc-DEF12x") == "a-Uda" and ordinal.shape("a1" * 30) == "ad" * 30
+
+
 def test_tail_and_expectation_agree():
     m = ordinal.CumulativeLink([0, 1, 3], np.array([-1.0, 2.0]), np.empty(0))
     expected, tail = m.rate(np.array([0.5]), 1)
