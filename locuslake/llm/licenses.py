@@ -2,9 +2,10 @@
 
 A text is cut into sentences, which are normalised (comment marks, case, punctuation and white space do not
 count). A sentence is mapped to the identifier of the first known sentence it matches, and one that is wrapped
-over several lines also to those that only its lines together match. The identifiers, in the order of the text, form a sequence against which ordered licence rules are
-matched: a rule names a run of identifiers, longer rules come first, and what a rule has matched is taken out
-before the next one. DataFrame functions only; the SQL form is made from the same tables.
+over several lines also to those that only its lines together match. The identifiers, in the order of the text,
+form a sequence against which ordered licence rules are matched: a rule names a run of identifiers, longer rules
+come first, and what a rule has matched is replaced by a gap before the next one, so that its neighbours do not
+become a run. DataFrame functions only; the SQL form is made from the same tables.
 """
 
 from __future__ import annotations
@@ -40,6 +41,38 @@ SENTENCES = [
     ("ccByNcRef", "(licensed|released) under (a )?(cc|creative commons) (by|attribution) (nc|noncommercial) 4 0"),
     ("ccBySaRef", "(licensed|released) under (a )?(cc|creative commons) (by|attribution) (sa|sharealike) 4 0"),
     ("ccByRef", "(licensed|released) under (a )?(cc|creative commons) (by|attribution) 4 0"),
+    ("iscGrant", "^permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("zeroBsdGrant", "^permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted$"),
+    ("iscWarranty", "^the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("zlibWarranty", "^this software is provided as is without any express or implied warranty"),
+    ("zlibLiability", "^in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlibGrant", "^permission is granted to anyone to use this software for any purpose"),
+    ("boostGrant", "^permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("unlicenseDedication", "^in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain"),
+    ("lgplFree", "is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license"),
+    ("agplFree", "is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("mplForm", "^this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("eplRef", "(made available|licensed|released|distributed) under the terms of the eclipse public license (version |v )?2 0"),
+    ("boostRef", "(licensed|released|distributed) under the (terms of the )?boost software license"),
+    ("cc0Ref", "(licensed|released|dedicated) under (the )?(terms of the )?(cc0|creative commons zero|cc zero)"),
+    ("ccByNcSaRef", "(licensed|released) under (a )?(cc|creative commons) (by|attribution) (nc|noncommercial) (sa|sharealike) 4 0"),
+    ("ccByNcNdRef", "(licensed|released) under (a )?(cc|creative commons) (by|attribution) (nc|noncommercial) (nd|noderivatives) 4 0"),
+    ("ccByNdRef", "(licensed|released) under (a )?(cc|creative commons) (by|attribution) (nd|noderivatives) 4 0"),
+    ("artisticRef", "under the (terms of the )?artistic license (version )?2 0"),
+    ("iscRef", "(licensed|released|distributed) under the (terms of the )?isc license"),
+    ("zlibRef", "(licensed|released|distributed) under the (terms of the )?zlib license"),
+    ("unlicenseRef", "(licensed|released|distributed) under the (terms of the )?unlicense"),
+    ("spdxMit", "spdx license identifier mit$"),
+    ("spdxApache", "spdx license identifier apache 2 0$"),
+    ("spdxBsd2", "spdx license identifier bsd 2 clause$"),
+    ("spdxBsd3", "spdx license identifier bsd 3 clause$"),
+    ("spdxIsc", "spdx license identifier isc$"),
+    ("spdxGpl2", "spdx license identifier gpl 2 0( only| or later)?$"),
+    ("spdxGpl3", "spdx license identifier gpl 3 0( only| or later)?$"),
+    ("spdxLgpl", "spdx license identifier lgpl [23] [01]( only| or later)?$"),
+    ("spdxAgpl", "spdx license identifier agpl 3 0( only| or later)?$"),
+    ("spdxMpl", "spdx license identifier mpl 2 0$"),
+    ("spdxCc0", "spdx license identifier cc0 1 0$"),
     ("mitRef", "(licensed|released|distributed) under the (terms of the )?mit license"),
     ("bsdRef", "(licensed|released|distributed) under the (terms of the )?(2 clause |3 clause |new |simplified )?bsd license"),
     ("allRights", "^all rights reserved$"),
@@ -53,7 +86,15 @@ RULES = [
     ("BSD-2-Clause", ["bsdGrant", "bsdSource", "bsdBinary", "bsdWarranty"]),
     ("Apache-2.0", ["apacheGrant", "apacheCopy", "apacheWarranty"]),
     ("GPL", ["gplFree", "gplWarranty", "gplCopy"]),
+    ("Zlib", ["zlibWarranty", "zlibLiability", "zlibGrant"]),
+    ("ISC", ["iscGrant", "iscWarranty"]),
+    ("0BSD", ["zeroBsdGrant", "iscWarranty"]),
     ("GPL", ["gplFree"]),
+    ("LGPL", ["lgplFree"]),
+    ("AGPL", ["agplFree"]),
+    ("BSL-1.0", ["boostGrant"]),
+    ("Unlicense", ["unlicenseDedication"]),
+    ("MPL-2.0", ["mplForm"]),
     ("Apache-2.0", ["apacheGrant"]),
     ("Apache-2.0", ["apacheRef"]),
     ("AGPL", ["agplRef"]),
@@ -61,6 +102,27 @@ RULES = [
     ("GPL-3.0", ["gpl3Ref"]),
     ("GPL-2.0", ["gpl2Ref"]),
     ("MPL-2.0", ["mplRef"]),
+    ("EPL-2.0", ["eplRef"]),
+    ("BSL-1.0", ["boostRef"]),
+    ("CC0-1.0", ["cc0Ref"]),
+    ("CC-BY-NC-SA-4.0", ["ccByNcSaRef"]),
+    ("CC-BY-NC-ND-4.0", ["ccByNcNdRef"]),
+    ("CC-BY-ND-4.0", ["ccByNdRef"]),
+    ("Artistic-2.0", ["artisticRef"]),
+    ("ISC", ["iscRef"]),
+    ("Zlib", ["zlibRef"]),
+    ("Unlicense", ["unlicenseRef"]),
+    ("MIT", ["spdxMit"]),
+    ("Apache-2.0", ["spdxApache"]),
+    ("BSD-2-Clause", ["spdxBsd2"]),
+    ("BSD-3-Clause", ["spdxBsd3"]),
+    ("ISC", ["spdxIsc"]),
+    ("GPL-2.0", ["spdxGpl2"]),
+    ("GPL-3.0", ["spdxGpl3"]),
+    ("LGPL", ["spdxLgpl"]),
+    ("AGPL", ["spdxAgpl"]),
+    ("MPL-2.0", ["spdxMpl"]),
+    ("CC0-1.0", ["spdxCc0"]),
     ("CC-BY-NC-4.0", ["ccByNcRef"]),
     ("CC-BY-SA-4.0", ["ccBySaRef"]),
     ("CC-BY-4.0", ["ccByRef"]),
@@ -73,14 +135,19 @@ HINT = "(?i)licen[sc]e|permission|redistribut|copyright|warrant|liable|all right
 #: Words one of which every known sentence holds, beside those of HINT; in a text without any there is nothing to find.
 GATE = f"{HINT}|released|reserved|applicable|c[^a-z0-9]+[0-9]{{4}}"
 #: Steps from text to sentences and from sentence to its normal form: pattern, replacement.
+#: The mark after an abbreviated 'version' ends no sentence.
+VERSION = ("\\b([vV])[.]([ \\t\\r]*\\n?[ \\t]*[#*;/]*[ \\t]*)([0-9])", ("1", "2", "3"))
 WRAPS = ("[ \\t\\r]*\\n[ \\t]*(?:[#*;/]+[ \\t]*)?([a-z])", " ")
 ENDS = ("([.!?])[ \\t]+", "\n")
 NORMAL = "[^a-z0-9]+"
+#: Stands where a rule has matched.
+GAP = "<>"
 
 
 def sentences(text: Column) -> Column:
     """The sentences of a text. Lines that go on in lower case are joined to the one before."""
-    joined = F.regexp_replace(text, WRAPS[0], f"{WRAPS[1]}$1")
+    whole = F.regexp_replace(text, VERSION[0], "".join(f"${k}" for k in VERSION[1]))
+    joined = F.regexp_replace(whole, WRAPS[0], f"{WRAPS[1]}$1")
     return F.split(F.regexp_replace(joined, ENDS[0], f"$1{ENDS[1]}"), "\n")
 
 
@@ -155,14 +222,15 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     sentence_ids: identifiers in order, joined by spaces. licenses: the licences found, sorted, each once,
     joined by ' AND '; 'NONE' without any. n_unknown: license-like sentences that no known one matches. Null
-    and empty texts have none of these; other columns are ignored; an empty table gives none.
+    and empty texts have none of these; repeated rows get equal results; other columns are ignored; an empty table
+    gives none. A text's sentences are held in one row, a few times its length.
     """
     found = docs.select(F.col(doc_id).alias("doc_id"), identifiers(F.coalesce(F.col(text), F.lit(""))).alias("_ids"))
     marked = lambda run: "".join(f"<{x}>" for x in run)
     known = F.array_join(F.transform(F.filter("_ids", lambda x: x != "unknown"), lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
     out = found.select("doc_id", F.array_join("_ids", " ").alias("sentence_ids"), F.size(F.filter("_ids", lambda x: x == "unknown")).cast("long").alias("n_unknown"), known.alias("_left"))
     for k, (_, run) in enumerate(RULES):
-        out = out.withColumns({f"_r{k}": F.contains("_left", F.lit(marked(run))), "_left": F.replace("_left", F.lit(marked(run)), F.lit(""))})
+        out = out.withColumns({f"_r{k}": F.contains("_left", F.lit(marked(run))), "_left": F.replace("_left", F.lit(marked(run)), F.lit(GAP))})
     names = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.col(f"_r{k}"), F.lit(name)) for k, (name, _) in enumerate(RULES)]), lambda x: x.isNotNull())))
     return out.select("doc_id", "sentence_ids", F.when(F.size(names) == 0, F.lit("NONE")).otherwise(F.array_join(names, " AND ")).alias("licenses"), "n_unknown")
 
@@ -171,12 +239,13 @@ def sql(table: str = "documents") -> str:
     """The same scan in DuckDB SQL."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     case = " ".join(f"WHEN regexp_matches(n, {quote(p)}) THEN {quote(i)}" for i, p in SENTENCES)
-    joined = f"regexp_replace(coalesce(text, ''), {quote(WRAPS[0])}, {quote(WRAPS[1] + chr(92) + '1')}, 'g')"
+    whole = f"regexp_replace(coalesce(text, ''), {quote(VERSION[0])}, {quote(''.join(chr(92) + k for k in VERSION[1]))}, 'g')"
+    joined = f"regexp_replace({whole}, {quote(WRAPS[0])}, {quote(WRAPS[1] + chr(92) + '1')}, 'g')"
     cut = f"string_split(regexp_replace({joined}, {quote(ENDS[0])}, '\\1' || chr(10), 'g'), chr(10))"
     marked = lambda run: quote("".join(f"<{x}>" for x in run))
     steps = []
     for k, (_, run) in enumerate(RULES):
-        steps.append(f"s{k + 1} AS (SELECT *, contains(t{k}, {marked(run)}) AS r{k}, replace(t{k}, {marked(run)}, '') AS t{k + 1} FROM s{k})")
+        steps.append(f"s{k + 1} AS (SELECT *, contains(t{k}, {marked(run)}) AS r{k}, replace(t{k}, {marked(run)}, {quote(GAP)}) AS t{k + 1} FROM s{k})")
     found = ", ".join(f"CASE WHEN r{k} THEN {quote(name)} END" for k, (name, _) in enumerate(RULES))
     return f"""
 WITH cut AS (SELECT doc_id, list_filter({cut}, lambda x: regexp_matches(x, {quote(HINT)})) AS s FROM {table}),

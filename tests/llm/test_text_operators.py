@@ -100,6 +100,67 @@ def test_whole_license_texts(spark):
     assert [r["sentence_ids"].replace("copyright ", "").replace("unknown", "").split() for r in got[:5]] == [r["sentence_ids"].replace("copyright ", "").replace("unknown", "").split() for r in got[5:10]]
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it freely."""
+UNLICENSE = """In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0."""
+
+
+def test_licenses_against_containment(spark):
+    """Whole texts put together at random, wrapped anew, marked and in capitals; what is found must be what was put in."""
+    import textwrap
+
+    r = random.Random(12)
+    whole = {"MIT": MIT, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "Apache-2.0": APACHE, "GPL": GPL, "ISC": ISC, "Zlib": ZLIB, "Unlicense": UNLICENSE, "MPL-2.0": MPL}
+    plain = lambda x: "".join(c if c.isalnum() else " " for c in x.lower()).split()
+    texts = []
+    for _ in range(120):
+        parts = [whole[k] for k in r.sample(sorted(whole), r.randrange(4))] + ["The river is wide. It runs to the sea."] * r.randrange(3)
+        r.shuffle(parts)
+        width = r.choice([40, 60, 72, 100])
+        anew = ["\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in x.split("\n\n")) for x in parts]
+        text = "\n\n".join(anew)
+        mark = r.choice(["", "# ", " * ", "// "])
+        text = "\n".join(mark + line for line in text.split("\n"))
+        texts.append(text.upper() if r.random() < 0.3 else text)
+    got = {x["doc_id"]: x["licenses"] for x in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        words = " ".join(plain(text))
+        found = sorted(name for name, x in whole.items() if " ".join(plain(x)) in words)
+        assert got[k] == (" AND ".join(found) or "NONE"), text
+
+
+def test_what_is_matched_leaves_a_gap(spark):
+    """The parts around a matched run are no run of their own."""
+    grant, copy, warranty = "Licensed under the Apache License, Version 2.0 (the License).", "You may obtain a copy of the License at home.", "Unless required by applicable law or agreed to in writing, software is sold."
+    mit = MIT.split("\n", 2)[2]
+    text = "\n\n".join([BSD2.split("2. Redis")[0], mit, "2. Redis" + BSD2.split("2. Redis")[1]])
+    got = licenses.scan(spark.createDataFrame([(1, text), (2, f"{copy}\n\n{mit}\n\n{warranty}"), (3, grant)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [x["licenses"] for x in got] == ["MIT", "MIT", "Apache-2.0"]
+
+
+def test_identifier_lines_and_references(spark):
+    lines = {
+        "// SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "This is released under the Boost Software License.": "BSL-1.0",
+        "Released under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "Licensed under the terms of the ISC License.": "ISC", "It is dedicated under CC0.": "NONE", "Licensed under CC0.": "CC0-1.0",
+    }
+    got = licenses.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [x["licenses"] for x in got][:5] == list(lines.values())[:5] and got[6]["licenses"] == "CC0-1.0"
+
+
 def test_toxicity_learns_from_positives_and_unlabelled(spark, odd, empty):
     r = random.Random(0)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
