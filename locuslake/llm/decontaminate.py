@@ -33,8 +33,12 @@ MIN_OVERLAP = 0.8
 MIN_PASSAGE = 64
 #: Items in a block. Small blocks bound tightly: with 4, one passage in a hundred is walked on the test tables, with 32 most.
 BLOCK_ITEMS = 4
-#: Most items that one index holds; a larger benchmark is taken in blocks of so many.
-MAX_ITEMS = 20_000
+#: Most items, and about the most characters, that one index holds; a larger benchmark is taken in blocks. An index goes
+#: to every task.
+MAX_ITEMS, MAX_CHARS = 20_000, 16 << 20
+#: Items up to so many characters share indexes, and so do longer ones up to eight times as many, and so on: passages are
+#: twice as long as the longest item of their index.
+SHORT_CHARS = 4096
 
 _TOKEN = re.compile(r"[^\W_]+")
 _LAST = re.compile(r"(?s)^(.*[.!?\n])\s*(\S.*?)\s*$")
@@ -250,23 +254,26 @@ class Index:
 
 
 def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", overlap: float = MIN_OVERLAP, max_items: int = MAX_ITEMS) -> Iterator[Index]:
-    """The benchmark as one index, or as one for each block of at most about max_items items, scored alike."""
+    """The benchmark as one index, or as several of at most about max_items items of like length, scored alike."""
     rows = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).filter("item_id is not null and text is not null").distinct()
-    blocks = max(1, -(-rows.count() // max_items))
-    if blocks == 1:
-        yield Index(sorted(tuple(r) for r in rows.collect()), overlap)
+    rows = rows.withColumn("width", F.ceil(F.greatest(F.log(8.0, F.length("text") / SHORT_CHARS), F.lit(0.0))).cast("int"))
+    # a row for each power of eight
+    widths = rows.groupBy("width").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).orderBy("width").collect()
+    parts = [(r["width"], k, m) for r in widths for m in [max(-(-r["n"] // max_items), -(-r["chars"] // MAX_CHARS), 1)] for k in range(m)]
+    if len(parts) <= 1:
+        yield Index(sorted(tuple(r) for r in rows.select("item_id", "text").collect()), overlap)
         return
 
     @pandas_udf("array<string>")
     def item_words(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [w for part in question_and_answer(t) for w in part])
 
-    rows = park(rows.select("item_id", "text", item_words("text").alias("words")).filter("size(words) > 0"))
+    rows = park(rows.select("item_id", "text", "width", item_words("text").alias("words")).filter("size(words) > 0"))
     total, average = rows.agg(F.count("*"), F.avg(F.size("words"))).first()
     held = lambda part: part.select(F.explode(F.array_distinct("words")).alias("term"))
     frequency = park(held(rows).groupBy("term").agg(F.count("*").alias("n")))
-    for k in range(blocks):
-        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+    for width, k, blocks in parts:
+        part = rows.filter((F.col("width") == width) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k))
         counts = {r["term"]: r["n"] for r in frequency.join(held(part).distinct(), "term").collect()}
         yield Index(sorted(tuple(r) for r in part.select("item_id", "text").collect()), overlap, (total, average, counts))
 
@@ -278,7 +285,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     """(doc_id, item_id, score, question_overlap, answer_overlap): a row for each row of docs and item it leaks.
 
     Null and empty texts leak nothing, null or wordless items are no items; repeated rows of docs repeat their
-    leaks; other columns are ignored; without documents or items there are none.
+    leaks, and so do equal texts; other columns are ignored; without documents or items there are none. A text's
+    words are held at once, about 80 bytes each.
     """
     found = None
     for index in indexes(items, item_id, item_text, overlap):
@@ -305,7 +313,10 @@ def leak_test(index: Index) -> Callable[[Column], Column]:
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", overlap: float = MIN_OVERLAP) -> DataFrame:
-    """The rows of docs that leak no item, with all their columns."""
+    """The rows of docs that leak no item, with all their columns.
+
+    Null and empty texts and repeated rows stay, all rows do without items; an empty table gives none.
+    """
     for index in indexes(items, item_id, item_text, overlap):
         docs = docs.filter(~leak_test(index)(F.col(text)))
     return docs

@@ -418,6 +418,21 @@ def test_items_in_blocks_are_scored_over_all(spark):
             assert shares == pytest.approx(want[x[0]])
 
 
+def test_leaks_do_not_depend_on_blocks_or_on_a_long_item(spark, docs):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
+    r = random.Random(3)
+    long = " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(4000)) + ". The answer is here today."
+    more = items.union(spark.createDataFrame([(7777, long)], "item_id long, text string"))
+    assert {x.passage for x in decontaminate.indexes(more)} == {next(decontaminate.indexes(items)).passage, 2 * 4005}
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([(8888, f"Before it. {long} After it.")], "doc_id long, text string"))
+    found = lambda x, **kw: {(y["doc_id"], y["item_id"]) for y in decontaminate.leaks(df, x, **kw).collect()}
+    want = found(items)
+    assert found(more) == want | {(8888, 7777)}
+    blocks = list(decontaminate.indexes(items, max_items=7))
+    got = {(d["doc_id"], k) for d in docs.collect() for b in blocks for k in b.leaks(d["text"])}
+    assert len(blocks) > 1 and got == want
+
+
 def test_languages(spark, docs, odd, empty):
     profiles = langid.learn(docs.filter("doc_id % 2 = 0"))
     got = langid.identify(docs.filter("doc_id % 2 = 1"), profiles).join(docs.select("doc_id", "lang"), "doc_id")
