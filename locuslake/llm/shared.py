@@ -71,8 +71,9 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total
     own = [c for c in table.columns if c not in keys]
     packed = table.select(*keys, F.struct(*own).alias("_own"), (F.col(count) > HOT_SHARE * total).alias("_is_hot"))
     hot = F.broadcast(packed.filter("_is_hot").select(*keys, F.col("_own").alias("_hot")))
-    cold = packed.filter("not _is_hot").select(*keys, F.col("_own").alias("_cold"), F.lit(-1).alias("_salt"))
-    flagged = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.floor(F.col(salt) * 4096).cast("int")).otherwise(-1))
+    # -1 in every row, but not as a constant: as that it would be no key of the join
+    cold = packed.filter("not _is_hot").select(*keys, F.col("_own").alias("_cold"), F.least(F.col("_own")[count], F.lit(-1)).cast("long").alias("_salt"))
+    flagged = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.floor(F.col(salt) * 4096)).otherwise(-1))
     found = flagged.join(cold, [*keys, "_salt"], "left").withColumn("_own", F.coalesce("_hot", "_cold"))
     return found.select(*[F.col(c) for c in rows.columns], *[F.col(f"_own.{c}").alias(c) for c in own])
 
