@@ -177,7 +177,7 @@ def densify(sparse: DataFrame, regions: DataFrame, keys: list[str], n_bins: int,
 def nearby(regions: DataFrame, most: int, key: str, seed: int = 0, width: int = BIN) -> DataFrame:
     """For each region one on the same chromosome at most `most` away, itself included, chosen by hash."""
     pairs = overlap(extend(regions, most), regions, width)
-    return pairs.groupBy(key).agg(F.min_by(F.col(f"{key}_b"), F.struct(F.xxhash64(F.col(key), F.col(f"{key}_b"), F.lit(seed)), f"{key}_b")).alias("partner"))
+    return pairs.groupBy(key).agg(F.min_by(F.col(f"{key}_b"), F.struct(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col(f"{key}_b").cast("string"), F.lit(str(seed)))), f"{key}_b")).alias("partner"))
 
 
 def minimum_cover(regions: DataFrame) -> DataFrame:

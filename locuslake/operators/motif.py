@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locuslake.operators.checks import require_unique
 from locuslake.operators.sampling import uniform
 
 PSEUDO = 0.8
@@ -203,8 +204,8 @@ def hit_correlation(hits: DataFrame, values: DataFrame, pwm: DataFrame) -> DataF
 
 def seqlet_flanks(seqlets: DataFrame, parents: DataFrame, flank: int) -> DataFrame:
     """Seqlets as centre +- flank in genome coordinates; those that leave their parent window are dropped.
-    seqlets: parent, start, end (relative); parents: parent, chrom, start, end."""
-    p = parents.select("parent", "chrom", F.col("start").alias("_ps"), F.col("end").alias("_pe"))
+    seqlets: parent, start, end (relative); parents: parent, chrom, start, end, a parent that comes twice is an error."""
+    p = require_unique(parents, ["parent"]).select("parent", "chrom", F.col("start").alias("_ps"), F.col("end").alias("_pe"))
     centre = F.floor((F.col("start") + F.col("end")) / 2)
     s = seqlets.withColumn("_c", centre).join(p, "parent").withColumn("start", F.col("_ps") + F.col("_c") - flank).withColumn("end", F.col("_ps") + F.col("_c") + flank)
     return s.filter("start >= _ps and end <= _pe").drop("_c", "_ps", "_pe")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,6 +20,12 @@ def uniform(seed: int, *keys: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11) + 0.5) / float(1 << 53)
 
 
+def even(seed: int, *keys: Column) -> Column:
+    """A number in (0, 1) from keys and seed, the same in any engine: the first 13 hex digits of an md5."""
+    digits = F.substring(F.md5(F.concat_ws("|", *[k.cast("string") for k in keys], F.lit(str(seed)))), 1, 13)
+    return (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / float(1 << 52)
+
+
 def shuffle(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
 
@@ -35,8 +43,14 @@ def sample_fraction(rows: DataFrame, key: str, fraction: float, seed: int = 0) -
     return rows.filter(uniform(seed, F.col(key)) < fraction)
 
 
-def sample_with_replacement(rows: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    return rows.sample(True, fraction, seed)
+def sample_with_replacement(rows: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
+    """rows, each as often as a Poisson draw of mean `fraction` from its key says."""
+    edges, term = [], math.exp(-fraction)
+    while 1 - sum(edges[-1:]) > 1e-15 and len(edges) < 200:
+        edges.append(sum(edges[-1:]) + term)
+        term *= fraction / len(edges)
+    times = F.size(F.filter(F.array(*[F.lit(x) for x in edges]), lambda x: x <= even(seed, F.col(key))))
+    return rows.withColumn("_times", times).filter("_times > 0").withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
 
 
 def weighted_sample(rows: DataFrame, group: str, key: str, weight: str, n: int, seed: int = 0, skip: DataFrame | None = None) -> DataFrame:
@@ -45,7 +59,7 @@ def weighted_sample(rows: DataFrame, group: str, key: str, weight: str, n: int,
     short = pool.filter(F.col(weight) > 0).groupBy(group).agg(F.count("*").alias("c")).filter(F.col("c") < n)
     if not short.isEmpty():
         raise ValueError(f"a group has fewer than {n} candidates")
-    order = -F.log(uniform(seed, F.col(group), F.col(key))) / F.col(weight)
+    order = -F.log(even(seed, F.col(group), F.col(key))) / F.col(weight)
     w = W.partitionBy(group).orderBy(order, key)
     return pool.filter(F.col(weight) > 0).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
@@ -113,7 +127,7 @@ def with_low_share(rows: DataFrame, key: str, value: str, low: float, high: floa
 def transition_map(transition: DataFrame, seed: int = 0) -> DataFrame:
     """(src_id, dst_id): for each source one target by its probability: the first whose running sum exceeds a hash's share."""
     w = W.partitionBy("src_cond", "dst_cond", "src_id").orderBy("dst_id").rowsBetween(W.unboundedPreceding, 0)
-    t = transition.withColumn("_cdf", F.sum("p").over(w)).withColumn("_u", uniform(seed, F.col("src_cond"), F.col("dst_cond"), F.col("src_id")))
+    t = transition.withColumn("_cdf", F.sum("p").over(w)).withColumn("_u", even(seed, F.col("src_cond"), F.col("dst_cond"), F.col("src_id")))
     total = W.partitionBy("src_cond", "dst_cond", "src_id")
     t = t.withColumn("_u", F.col("_u") * F.sum("p").over(total)).filter(F.col("_cdf") > F.col("_u"))
     return t.groupBy("src_cond", "dst_cond", "src_id").agg(F.min_by("dst_id", F.struct("_cdf", "dst_id")).alias("dst_id"))

@@ -12,7 +12,7 @@ from locuslake.functions import sequences as Q
 from locuslake.functions import values as V
 from locuslake.operators import checks, coverage, evaluate, genome, grouping, intervals, motif, pseudobulk, sampling, structure
 from locuslake.plans import rows as P
-from locuslake.plans.queries import query, r6, seqs
+from locuslake.plans.queries import _SEQ, query, r6, seqs
 from locuslake.plans.stream_queries import shared_folder
 from locuslake.sources import files
 
@@ -105,11 +105,11 @@ def p12(t):
     return sampling.with_low_share(t.customer, "c_custkey", "c_acctbal", 5000, 9000, 0.1).select("c_custkey")
 
 
-@query("p25_array_delta", "SELECT a.vec_id, list_transform(range(1, 65), lambda i: round(CAST(b.embedding[i] AS DOUBLE) - CAST(a.embedding[i] AS DOUBLE), 6)) AS delta FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query("p25_array_delta", "SELECT a.vec_id, list_transform(range(1, 65), lambda i: CAST(b.embedding[i] AS DOUBLE) - CAST(a.embedding[i] AS DOUBLE)) AS delta FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def p25(t):
     e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     j = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
-    return j.select("vec_id", F.transform(pseudobulk.array_delta(F.col("x"), F.col("y")), lambda v: F.round(v, 6)).alias("delta"))
+    return j.select("vec_id", pseudobulk.array_delta(F.col("x"), F.col("y")).alias("delta"))  # differences of single floats are exact
 
 
 @query("p32_pad_or_cut", "SELECT cell, list_concat(v[1:3], list_transform(range(0, greatest(0, 3 - len(v))), lambda i: [0.0::DOUBLE, 0.0::DOUBLE])) AS v FROM (SELECT cell, list([CAST(feature AS DOUBLE), CAST(n AS DOUBLE)] ORDER BY feature) AS v FROM v_counts GROUP BY 1) x")
@@ -213,7 +213,7 @@ SELECT locus, round(greatest(coalesce(avg(v) FILTER (i < locus AND j < locus), 0
 FROM m JOIN l ON i >= locus - 4 AND i < locus + 4 AND j >= locus - 4 AND j < locus + 4 GROUP BY 1""")
 def a29(t):
     m = t.lineitem.groupBy((F.col("l_suppkey") % 20).alias("i"), (F.col("l_partkey") % 20).alias("j")).agg(F.sum("l_quantity").alias("v"))
-    loci = m.select(F.col("i").alias("locus")).distinct().filter("locus between 4 and 16")
+    loci = t.spark.range(4, 17).withColumnRenamed("id", "locus")
     return evaluate.insulation(m, loci, 4).select("locus", r6("score").alias("score"))
 
 
@@ -243,7 +243,7 @@ def a39(t):
 @query("a41_block_means", """WITH m AS (SELECT l_suppkey % 20 AS i, l_partkey % 20 AS j, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2) SELECT concat('s', i // 5) AS segment, concat('s', j // 5) AS segment_b, round(avg(v), 6) AS mean FROM m GROUP BY 1, 2""")
 def a41(t):
     m = t.lineitem.groupBy((F.col("l_suppkey") % 20).alias("i"), (F.col("l_partkey") % 20).alias("j")).agg(F.sum("l_quantity").alias("v"))
-    segments = m.select((F.floor(F.col("i") / 5)).alias("k")).distinct().select(F.concat(F.lit("s"), "k").alias("segment"), (F.col("k") * 5).alias("start"), (F.col("k") * 5 + 5).alias("end"))
+    segments = t.spark.range(4).withColumnRenamed("id", "k").select(F.concat(F.lit("s"), "k").alias("segment"), (F.col("k") * 5).alias("start"), (F.col("k") * 5 + 5).alias("end"))
     return structure.block_means(m, segments).withColumn("mean", r6("mean"))
 
 
@@ -312,18 +312,21 @@ def f8(t):
     return seqs(t).filter(F.length("seq") >= 10).select("doc_id", Q.snv_by_genotype(F.col("seq"), F.lit(3), F.lit("A"), F.lit("G"), F.col("doc_id") % 2).alias("seq"))
 
 
-@query("f10_mutated_positions", "SELECT doc_id, 5 AS changed FROM documents WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 60")
+@query("f10_mutated_positions", "SELECT doc_id, CAST(least(5, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))) AS INT) AS changed FROM documents WHERE text IS NOT NULL")
 def f10(t):
-    s = seqs(t).filter(F.length("seq") >= 60)  # the rows of the SQL
+    s = seqs(t).filter("seq is not null")
     m = s.withColumn("m", Q.mutate(F.col("seq"), 5, F.col("doc_id")))
     return m.select("doc_id", F.size(F.filter(F.zip_with(F.split("seq", ""), F.split("m", ""), lambda a, b: a != b), lambda x: x)).alias("changed"))
 
 
-@query("f11_shuffled_bases", "SELECT doc_id, true AS same FROM documents WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 60")
+@query("f11_shuffled_bases", f"""SELECT doc_id, substr(s, 1, 10) AS head, length(s) AS n, length(s) - length(replace(s, 'A', '')) AS n_a, length(s) - length(replace(s, 'C', '')) AS n_c, length(s) - length(replace(s, 'G', '')) AS n_g,
+length(s) > 200 AS moved FROM (SELECT doc_id, {_SEQ} AS s FROM documents) x WHERE s IS NOT NULL""")
 def f11(t):
-    s = seqs(t).filter(F.length("seq") >= 60).withColumn("m", Q.shuffle_window(F.col("seq"), 10, 50, F.col("doc_id")))
-    ordered = lambda c: F.array_join(F.sort_array(F.split(c, "")), "")
-    return s.select("doc_id", (ordered("seq") == ordered("m")).alias("same"))
+    """All bases after the first ten are shuffled; a long sequence never comes out as it was."""
+    s = seqs(t).filter("seq is not null").withColumn("m", Q.shuffle_window(F.col("seq"), 10, (1 << 31) - 2, F.col("doc_id")))
+    held = lambda b: F.length("m") - F.length(F.replace("m", F.lit(b), F.lit("")))
+    moved = F.when(F.length("seq") > 200, F.col("m") != F.col("seq")).otherwise(F.lit(False))
+    return s.select("doc_id", F.substring("m", 1, 10).alias("head"), F.length("m").cast("long").alias("n"), *[held(b).cast("long").alias(f"n_{b.lower()}") for b in "ACG"], moved.alias("moved"))
 
 
 @query("f13_iupac", "SELECT doc_id, len(regexp_extract_all(translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC'), 'C[ACT]G')) AS n FROM documents")
@@ -342,14 +345,15 @@ def m8(t):
     return motif.top_matches(m, "item", 0.03).select("item", "motif_id")
 
 
-@query("l10_with_replacement")
+@query("l10_with_replacement", """WITH u AS (SELECT cell, grp, (('0x' || substr(md5(concat(cell, '|', 7)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM v_cells),
+k AS (SELECT unnest(range(0, 20)) AS k), c AS (SELECT k, sum(exp(-0.5) * pow(0.5, k) / factorial(CAST(k AS INT))) OVER (ORDER BY k) AS edge FROM k) SELECT cell, grp FROM u JOIN c ON c.edge <= u.u""")
 def l10(t):
-    return sampling.sample_with_replacement(t.v_cells, 0.5, 7).select("cell", "grp")
+    return sampling.sample_with_replacement(t.v_cells, "cell", 0.5, 7).select("cell", "grp")
 
 
-@query("j27_transition")
+@query("j27_transition", """WITH tr AS (SELECT CAST(l_orderkey AS VARCHAR) AS src_id, CAST(l_suppkey AS VARCHAR) AS dst_id, sum(l_quantity) AS p FROM lineitem GROUP BY 1, 2),
+c AS (SELECT *, sum(p) OVER (PARTITION BY src_id ORDER BY dst_id ROWS UNBOUNDED PRECEDING) AS cdf, sum(p) OVER (PARTITION BY src_id) AS total, (('0x' || substr(md5(concat('a|b|', src_id, '|', 0)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM tr)
+SELECT 'a' AS src_cond, 'b' AS dst_cond, src_id, min_by(dst_id, cdf) AS dst_id FROM c WHERE cdf > u * total GROUP BY src_id""")
 def j27(t):
-    w = W.partitionBy("grp")
-    tr = t.v_cells.select("grp", F.col("cell").cast("string").alias("dst_id"), (1 / F.count("*").over(w)).alias("p"))
-    src = t.supplier.select(F.col("s_suppkey").cast("string").alias("src_id"), F.element_at(F.array(F.lit("BUILDING"), F.lit("MACHINERY")), (F.col("s_suppkey") % 2 + 1).cast("int")).alias("grp"))
-    return sampling.transition_map(src.join(tr, "grp").select(F.lit("a").alias("src_cond"), F.lit("b").alias("dst_cond"), "src_id", "dst_id", "p"))
+    tr = t.lineitem.groupBy(F.col("l_orderkey").cast("string").alias("src_id"), F.col("l_suppkey").cast("string").alias("dst_id")).agg(F.sum("l_quantity").alias("p"))
+    return sampling.transition_map(tr.select(F.lit("a").alias("src_cond"), F.lit("b").alias("dst_cond"), "src_id", "dst_id", "p"))

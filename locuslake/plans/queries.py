@@ -295,7 +295,7 @@ def j7(t):
     return intervals.without_leakage(t.v_peak.withColumn("split", F.col("pid") % 3)).select("pid", "split")
 
 
-@query("j8_nearby")
+@query("j8_nearby", """SELECT a.name, min_by(b.name, concat(md5(concat(a.name, '|', b.name, '|', 0)), b.name)) AS partner FROM v_peak a JOIN v_peak b ON a.chrom = b.chrom AND greatest(a.st - 5000, 0) < b.en AND b.st < a.en + 5000 GROUP BY 1""")
 def j8(t):
     return intervals.nearby(t.v_peak, 5000, "name")
 
@@ -669,7 +669,8 @@ def l8(t):
     return sampling.sample_n(t.v_cells, "cell", 25, 0, "grp").select("grp", "cell")
 
 
-@query("l9_weighted_sample")
+@query("l9_weighted_sample", """WITH u AS (SELECT grp, cell, (('0x' || substr(md5(concat(grp, '|', cell, '|', 0)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u, cell % 5 + 1 AS w FROM v_cells)
+SELECT grp, cell, CAST(row_number() OVER (PARTITION BY grp ORDER BY -ln(u) / w, cell) AS INT) AS rank FROM u QUALIFY rank <= 10""")
 def l9(t):
     return sampling.weighted_sample(t.v_cells.withColumn("w", F.col("cell") % 5 + 1), "grp", "cell", "w", 10).select("grp", "cell", "rank")
 
@@ -751,11 +752,13 @@ def f12(t):
     return t.v_qtl.select("qtl_id", Q.parse_mutation_name(name).alias("m")).select("qtl_id", "m.region", "m.pos", "m.ref", "m.alt")
 
 
-@query("f4_fetch", f"""WITH s AS (SELECT doc_id, {_SEQ} AS s FROM documents) SELECT doc_id, substr(s, CAST(length(s) // 3 + 1 AS INT), 300) AS seq FROM s WHERE length(s) >= 900""")
+@query("f4_fetch", f"""WITH s AS (SELECT doc_id, {_SEQ} AS s FROM documents) SELECT doc_id, concat(substr(s, CAST(length(s) // 3 + 1 AS INT)), 'NNNNN') AS seq FROM s WHERE length(s) > 0""")
 def f4(t):
-    whole = seqs(t).filter(F.length("seq") >= 900).withColumn("chrom", F.col("doc_id").cast("string"))
-    regions = whole.select("chrom", F.floor(F.length("seq") / 3).alias("start"), (F.floor(F.length("seq") / 3) + 300).alias("end"), F.col("doc_id").alias("name"))
-    return genome.fetch(regions, genome.tile_sequence(whole, 128)).select(F.col("name").alias("doc_id"), "seq")
+    """Each sequence from its first third on, and five positions past its end."""
+    whole = seqs(t).filter(F.length("seq") > 0).withColumn("chrom", F.col("doc_id").cast("string"))
+    n = F.length("seq").cast("long")
+    regions = whole.select("chrom", F.floor(n / 3).alias("start"), (n + 5).alias("end"), F.col("doc_id").alias("name"))
+    return genome.fetch(regions, genome.tile_sequence(whole, 512)).select(F.col("name").alias("doc_id"), "seq")
 
 
 @query("a20_gc", f"""SELECT doc_id, length(s) - length(replace(s, 'A', '')) AS n_a, length(s) - length(replace(s, 'C', '')) AS n_c, length(s) - length(replace(s, 'G', '')) AS n_g, length(s) - length(replace(s, 'T', '')) AS n_t,
@@ -777,13 +780,13 @@ def m5(t):
 
 # --- deviation scores ----------------------------------------------------------------------------------------------
 
-_BG = """m AS (SELECT p_partkey AS feature, p_size % 5 AS motif FROM part WHERE p_partkey % 3 = 0), b AS (SELECT feature, iter, (feature * (iter + 3) + 17) % (SELECT max(p_partkey) FROM part) AS bg FROM (SELECT DISTINCT feature FROM m), (SELECT unnest(range(0, 10)) AS iter))"""
+_BG = """m AS (SELECT p_partkey AS feature, p_size % 5 AS motif FROM part), b AS (SELECT feature, iter, (feature * (iter + 3) + 17) % (SELECT max(p_partkey) FROM part) AS bg FROM (SELECT DISTINCT feature FROM m), (SELECT unnest(range(0, 250)) AS iter))"""
 
 
 def matches_and_background(t: Tables):
-    m = t.part.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("feature"), (F.col("p_size") % 5).alias("motif"))
+    m = t.part.select(F.col("p_partkey").alias("feature"), (F.col("p_size") % 5).alias("motif"))
     top = t.part.agg(F.max("p_partkey")).first()[0]
-    b = m.select("feature").distinct().withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("bg_feature", (F.col("feature") * (F.col("iter") + 3) + 17) % top)
+    b = m.select("feature").distinct().withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(249)))).withColumn("bg_feature", (F.col("feature") * (F.col("iter") + 3) + 17) % top)
     return m, b
 
 
@@ -800,7 +803,7 @@ def a22(t):
 @query("a23_background")
 def a23(t):
     peaks = t.v_counts.groupBy("feature").agg(F.log10(F.sum("n").cast("double")).alias("log_depth"), F.avg(F.col("cell") % 17).alias("gc"))
-    return deviation.background_peaks(peaks, 5, bins=20)
+    return deviation.background_peaks(peaks, 250)
 
 
 @query("a24_standardize", "SELECT cell, feature, round((n - avg(n) OVER w) / nullif(stddev_pop(n) OVER w, 0), 5) AS standard FROM v_counts WINDOW w AS (PARTITION BY cell)")

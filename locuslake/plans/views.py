@@ -21,7 +21,7 @@ VIEWS = {
     "v_cells": """SELECT c_custkey AS cell, c_mktsegment AS grp, n_name AS subclass, r_name AS class, c_acctbal AS bal FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
     "v_counts": """SELECT l_suppkey AS cell, l_partkey AS feature, CAST(sum(l_quantity) AS BIGINT) AS n FROM {lineitem} GROUP BY l_suppkey, l_partkey""",
     "v_eval": """SELECT l_partkey AS peak, concat('g', l_suppkey % 10) AS pid, CAST(sum(l_quantity) AS DOUBLE) AS ytrue, round(sum(l_extendedprice), 2) / 2000 AS ypred FROM {lineitem} GROUP BY l_partkey, concat('g', l_suppkey % 10)""",
-    "v_qtl": """SELECT concat(l_orderkey, '_', l_linenumber, '_', p_partkey) AS qtl_id, concat('chr', l_linenumber) AS chrom, p_partkey * 100 AS st, CAST(p_partkey * 100 + p_size * 20 AS BIGINT) AS en,
+    "v_qtl": """SELECT concat(l_orderkey, '_', l_linenumber, '_', p_partkey, '_', l_suppkey) AS qtl_id, concat('chr', l_linenumber) AS chrom, p_partkey * 100 AS st, CAST(p_partkey * 100 + p_size * 20 AS BIGINT) AS en,
   l_partkey * 100 + l_suppkey * 7 AS pos, substr('ACGT', CAST(l_orderkey % 4 + 1 AS INT), 1) AS ref, substr('ACGT', CAST((l_orderkey + 1 + l_suppkey % 3) % 4 + 1 AS INT), 1) AS alt, CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand, l_quantity AS q
   FROM {lineitem} JOIN {part} ON l_partkey = p_partkey AND l_linenumber = p_partkey % 7 + 1 WHERE l_suppkey * 7 < p_size * 20""",
 }

@@ -37,7 +37,7 @@ def test_random_choices_do_not_depend_on_partitions(spark):
 
 def test_background_peaks_are_alike(spark):
     got = QUERIES["a23_background"](spark, SF)
-    assert got.groupBy("feature").count().filter("count <> 5").count() == 0
+    assert got.groupBy("feature").count().filter("count <> 250").count() == 0
 
 
 def test_metacells_and_groups_cover_all_cells(spark):
