@@ -43,3 +43,26 @@ def require_folds(rows: DataFrame, fold: str, least: int = 1, warn: int = 10) ->
     if bad or counts.isEmpty():
         raise ValueError(f"too few rows in a fold: {bad}")
     return counts.withColumn("few", F.col("n") < warn)
+
+
+def require_columns(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """rows, if they have the named columns with the named types (a type may start with the name given)."""
+    found = dict(rows.dtypes)
+    wrong = {c: found.get(c, "missing") for c, kind in kinds.items() if not found.get(c, "missing").startswith(kind)}
+    if wrong:
+        raise ValueError(f"columns of another kind than asked for: {wrong}")
+    return rows
+
+
+def merge_config(defaults: dict, given: dict) -> dict:
+    """defaults with the values given; a name that has no default is an error, and so is a default of REQUIRED that is not given."""
+    unknown = sorted(set(given) - set(defaults))
+    out = {**defaults, **given}
+    absent = sorted(k for k, v in out.items() if v is REQUIRED)
+    if unknown or absent:
+        raise ValueError(f"unknown settings {unknown}, missing settings {absent}")
+    return out
+
+
+#: A setting without a default.
+REQUIRED = object()

@@ -176,3 +176,65 @@ def manifest(spark: SparkSession, path: str, key: str) -> DataFrame:
 def by_expression(coverage: DataFrame, keys: list[str], cov_func: Column) -> DataFrame:
     """Aggregates coverage by keys with any aggregate expression."""
     return coverage.groupBy(*keys).agg(cov_func.alias("value"))
+
+
+def write_folds(store: DataFrame, path: str) -> None:
+    """Writes rows with a fold as a directory per fold."""
+    store.repartitionByRange("fold", "chrom", "bin").sortWithinPartitions("fold", "chrom", "bin").write.mode("overwrite").partitionBy("fold").parquet(path)
+
+
+def read_folds(spark: SparkSession, path: str, folds: list, chroms: list[str]) -> DataFrame:
+    """The rows of some folds of a store that has a directory per fold; of a store that has none, those of some
+    chromosomes. Other directories are not read."""
+    store = spark.read.parquet(path)
+    if "fold" in store.columns:
+        return store.filter(F.col("fold").isin(list(folds))).drop("fold")
+    return store.filter(F.col("chrom").isin(list(chroms)))
+
+
+def numbered_regions(store: DataFrame, order: list[str]) -> DataFrame:
+    """store with `ordinal`, from 0, in an order; for region arrays, a row for each region."""
+    return store.withColumn("ordinal", F.row_number().over(W.orderBy(*order)).cast("long") - 1)
+
+
+def select_regions(store: DataFrame, wanted: str | int | slice | list, name: str = "name", ordinal: str = "ordinal") -> DataFrame:
+    """Rows of a region array by a name, a list of names, a place or a slice of places; unknown names are an error.
+
+    Places may count from the end, as in lists; steps in slices must be positive.
+    """
+    if isinstance(wanted, (int, slice)):
+        n = store.agg(F.max(ordinal)).first()[0]
+        count = 0 if n is None else n + 1
+        if isinstance(wanted, int):
+            if not -count <= wanted < count:
+                raise IndexError(f"no region {wanted} among {count}")
+            return store.filter(F.col(ordinal) == wanted % max(count, 1))
+        first, end, step = wanted.indices(count)
+        if step < 1:
+            raise ValueError("steps must be positive")
+        return store.filter((F.col(ordinal) >= first) & (F.col(ordinal) < end) & (F.pmod(F.col(ordinal) - first, F.lit(step)) == 0))
+    names = [wanted] if isinstance(wanted, str) else list(wanted)
+    found = store.filter(F.col(name).isin(names))
+    if found.select(name).distinct().count() != len(set(names)):
+        raise KeyError("a region is not in the store")
+    return found
+
+
+def cell_matrix(points: DataFrame, whitelist: DataFrame | None = None, chroms: list[str] | None = None) -> DataFrame:
+    """A cell x base matrix as rows (cell, chrom, pos, n): whitelisted cells only, and of the chromosomes asked for those
+    with data; repeated entries are summed."""
+    rows = points if chroms is None else points.filter(F.col("chrom").isin(list(chroms)))
+    rows = rows if whitelist is None else rows.join(whitelist.select("cell").distinct(), "cell", "left_semi")
+    return rows.groupBy("cell", "chrom", "pos").agg(F.sum("n").alias("n"))
+
+
+def group_matrix(merged: DataFrame, groups: list[str] | None = None, chroms: list[str] | None = None) -> DataFrame:
+    """A pre-merged group x base matrix as coverage rows (pid, chrom, pos, n) of some groups and chromosomes; a group that
+    is not there is an error."""
+    rows = merged if chroms is None else merged.filter(F.col("chrom").isin(list(chroms)))
+    if groups is None:
+        return rows
+    missing = set(groups) - {r["pid"] for r in merged.filter(F.col("pid").isin(list(groups))).select("pid").distinct().collect()}
+    if missing:
+        raise KeyError(f"groups not in the matrix: {sorted(missing)}")
+    return rows.filter(F.col("pid").isin(list(groups)))

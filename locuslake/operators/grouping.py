@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locuslake.sources.store import park
+
 
 def majority(rows: DataFrame, group: str, value: str) -> DataFrame:
     """(group, value): the commonest value of each group, the smallest on ties; nulls don't vote."""
@@ -193,29 +195,44 @@ def apply_groups(cells: DataFrame, saved: DataFrame, levels: list[str]) -> DataF
     return cells.join(table.select(*levels, "group"), levels)
 
 
-def metacells(cells: DataFrame, group: str, key: str, vector: str, size: int, most: int = 20_000, seed: int = 0) -> DataFrame:
-    """cells with `metacell`: about `size` near cells each. Groups of more than `most` cells are bisected along
-    random directions of the embedding first, so that one Python task never holds a larger one."""
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key, ignore_index=True)
-        x = np.array(rows[vector].tolist(), float)
-        k = max(1, len(rows) // size)
-        centre = x[np.linspace(0, len(x) - 1, k).astype(int)]
-        at = np.zeros(len(x), int)
-        for _ in range(15):
-            at = ((x * x).sum(1)[:, None] - 2 * x @ centre.T + (centre * centre).sum(1)[None, :]).argmin(1)
-            centre = np.array([x[at == j].mean(axis=0) if (at == j).any() else centre[j] for j in range(k)])
-        rows["metacell"] = [f"{g}_{p}_{j}" for g, p, j in zip(rows[group], rows["_part"], at, strict=True)]
-        return rows[[key, "metacell"]]
-
-    counts = cells.groupBy(group).agg(F.ceil(F.log2(F.greatest(F.count("*") / most, F.lit(1.0)))).cast("int").alias("_cuts"))
-    side = lambda k: (F.aggregate(F.transform(F.col(vector), lambda v, i: v.cast("double") * (F.pmod(F.xxhash64(i, k, F.lit(seed)), F.lit(2)) * 2 - 1)), F.lit(0.0), lambda a, b: a + b) > 0).cast("int")
-    part = F.when(F.col("_cuts") == 0, F.lit("0")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest("_cuts", F.lit(1))), lambda k: side(k).cast("string")), ""))
-    rows = cells.join(counts, group).withColumn("_part", part)
-    kind = dict(cells.dtypes)[key]
-    assigned = rows.select(group, key, vector, "_part").groupBy(group, "_part").applyInPandas(assign, f"{key} {kind}, metacell string")
-    return cells.join(assigned, key)
+def metacells(cells: DataFrame, group: str, key: str, vector: str, size: int, seed: int = 0) -> DataFrame:
+    """cells with `metacell`: near cells of a group together, fewer than 2 * size of them, by one rule at every size.
+
+    Each part with 2 * size cells or more is cut at the median of the one of four seeded projections that spreads it
+    most; cells at the median itself, copies above all, are dealt to both sides by a hash of the key. A cut is one
+    aggregation over all cells, with a row for each part; no part is gathered anywhere. A side gets three quarters of
+    its part at most, but for the error of approximate medians, so that the number of rounds grows with the logarithm
+    of the largest group. Small groups stay whole; null groups are a group, null vectors stand at the origin.
+    """
+    x = F.coalesce(F.col(vector).cast("array<double>"), F.array().cast("array<double>"))
+
+    def projected(turn: int) -> Column:
+        """Four sums of the vector's entries with seeded signs."""
+
+        def one(k: int) -> Column:
+            signed = F.transform(x, lambda v, i: v * (F.pmod(F.xxhash64(i, F.lit(turn), F.lit(k), F.lit(seed)), F.lit(2)) * 2 - 1))
+            return F.aggregate(signed, F.lit(0.0), lambda s, v: s + v)
+
+        return F.array(*[one(k) for k in range(4)])
+
+    parts = park(cells.select(group, key, vector, F.lit(1).cast("decimal(38,0)").alias("_part")))
+    turn = 0
+    while True:
+        turn += 1
+        rows = parts.withColumn("_p", projected(turn))
+        spread = [F.struct(F.coalesce(F.stddev_pop(F.col("_p")[k]), F.lit(0.0)).alias("s"), F.lit(k).alias("k"), F.percentile_approx(F.col("_p")[k], 0.5, 1000).alias("m")) for k in range(4)]
+        cuts = park(rows.groupBy(group, "_part").agg(F.count("*").alias("_n"), F.array_max(F.array(*spread)).alias("_cut")).filter(F.col("_n") >= 2 * size))
+        if cuts.isEmpty():
+            break
+        at = F.get("_p", F.col("_cut.k"))
+        coin = F.pmod(F.xxhash64(F.col(key), F.lit(turn), F.lit(seed)), F.lit(2))
+        side = F.when(at > F.col("_cut.m"), 1).when(at < F.col("_cut.m"), 0).otherwise(coin)
+        cut = cuts.select(F.col(group).alias("_g"), F.col("_part").alias("_q"), "_cut")
+        joined = rows.join(cut, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_q")), "left")
+        moved = F.when(F.col("_cut").isNull(), F.col("_part")).otherwise((F.col("_part") * 2 + side).cast("decimal(38,0)"))
+        parts = park(joined.select(group, key, vector, moved.alias("_part")))
+    named = parts.select(F.col(key).alias("_key"), F.concat_ws("_", F.col(group).cast("string"), F.col("_part").cast("string")).alias("metacell"))
+    return cells.join(named, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def bisect(cells: DataFrame, vector: str, most: int, seed: int = 0) -> DataFrame:

@@ -36,6 +36,11 @@ def _touching(a: DataFrame, b: DataFrame, how: str, within: bool, width: int, lo
     """Semi- or anti-join: b is repeated for every bin in which an interval of a that meets it can start."""
     if longest is None:
         longest = a.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 1
+        if longest > 8 * width:
+            # long intervals apart, so that they do not widen the bins of the others
+            size = F.col("end") - F.col("start")
+            short, long = a.filter(F.coalesce(size <= 8 * width, F.lit(True))), a.filter(size > 8 * width)
+            return _touching(short, b, how, within, width, 8 * width).unionByName(_touching(long, b, how, within, width, longest))
     width = max(width, longest // 8)
     right = b.filter("end > start").select(F.col("chrom").alias("_chrom"), F.col("start").alias("_start"), F.col("end").alias("_end"))
     right = right.withColumn("_bin", _bins(F.col("_start") - longest, F.col("_end"), width))
@@ -183,21 +188,25 @@ def nearby(regions: DataFrame, most: int, key: str, seed: int = 0, width: int =
 def minimum_cover(regions: DataFrame) -> DataFrame:
     """Few regions that cover each cluster: from the first on, jump to the last one that overlaps the current one.
 
-    One cluster is one group in a Python task; clusters are runs of overlapping windows, whose number of rows is
-    the number of windows that overlap in a chain.
+    One cluster is one group in a Python task; clusters are runs of overlapping windows, whose number of rows is the
+    number of windows that overlap in a chain. The jumps are binary searches.
     """
+    import numpy as np
     import pandas as pd
 
     def cover(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["start", "end"], ignore_index=True)
-        chosen, k = [], 0
-        while True:
-            chosen.append(k)
-            after = rows.index[(rows.index > k) & (rows["start"] < rows["end"][k])]
-            if k + 1 >= len(rows):
-                break
-            k = max(int(after.max()) if len(after) else k + 1, k + 1)
+        last = np.searchsorted(rows["start"].to_numpy(), rows["end"].to_numpy(), "left") - 1  # the last that starts before each end
+        chosen = [0]
+        while chosen[-1] + 1 < len(rows):
+            chosen.append(max(int(last[chosen[-1]]), chosen[-1] + 1))
         return rows.iloc[chosen]
 
     clustered = cluster(regions)
     return clustered.groupBy("chrom", "cluster").applyInPandas(cover, clustered.schema)
+
+
+def covered_positions(points: DataFrame, regions: DataFrame, width: int = BIN) -> DataFrame:
+    """(chrom, pos, value): the distinct positions inside some region, with value 1."""
+    at = points.select("chrom", "pos").distinct().withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + 1)
+    return overlapping(at, regions, width, longest=1).select("chrom", "pos", F.lit(1).alias("value"))

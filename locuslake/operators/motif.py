@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuslake.operators.checks import require_unique
-from locuslake.operators.sampling import uniform
+from locuslake.operators.sampling import hash_order, uniform
 
 PSEUDO = 0.8
 #: Steps of the discretised score of one position.
@@ -95,9 +95,8 @@ for _k, _b in enumerate("ACGT"):
     _CODE[ord(_b)] = _CODE[ord(_b.lower())] = _k
 
 
-def _scores(seq: bytes, matrix: np.ndarray) -> np.ndarray:
-    """Score of every window; windows with an unknown base score minus infinity."""
-    code = _CODE[np.frombuffer(seq, np.uint8)]
+def _scores(code: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Score of every window of base numbers; windows with an unknown base score minus infinity."""
     n = len(code) - len(matrix) + 1
     if n <= 0:
         return np.empty(0)
@@ -112,13 +111,17 @@ def scan(seqs: DataFrame, motifs: dict[str, tuple[np.ndarray, float]], key: str
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for name, s in zip(batch[key], batch[seq], strict=True):
-                data = (s or "").encode("ascii", "replace")
+            for row, s in enumerate(batch[seq]):
+                code = _CODE[np.frombuffer((s or "").encode("ascii", "replace"), np.uint8)]
                 for motif, (matrix, least) in motifs.items():
                     for strand, m in (("+", matrix), ("-", matrix[::-1, ::-1])):
-                        score = _scores(data, m)
-                        found += [(name, motif, strand, int(i), int(i) + len(m), round(float(score[i]), 4)) for i in np.nonzero(score >= least - 1e-9)[0]]
-            yield pd.DataFrame(found, columns=[key, "motif_id", "strand", "start", "end", "score"])
+                        score = _scores(code, m)
+                        at = np.nonzero(score >= least - 1e-9)[0]
+                        if len(at):
+                            found.append((np.full(len(at), row), [motif] * len(at), [strand] * len(at), at, at + len(m), np.round(score[at], 4)))
+            if found:
+                row, *parts = ([x for part in column for x in part] if k in (1, 2) else np.concatenate(column) for k, column in enumerate(zip(*found, strict=True)))
+                yield pd.DataFrame({key: batch[key].to_numpy()[row], **dict(zip(["motif_id", "strand", "start", "end", "score"], parts, strict=True))})
 
     return seqs.select(key, seq).mapInPandas(find, f"{key} {kind}, {HIT}")
 
@@ -184,7 +187,7 @@ def top_matches(matches: DataFrame, item: str, cutoff: float) -> DataFrame:
 def by_cluster_and_sign(items: DataFrame, clusters: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Up to n items of each motif cluster and sign of contribution, by hash order."""
     j = items.join(clusters, "motif_id").withColumn("sign", F.signum("contribution").cast("int"))
-    w = W.partitionBy("cluster", "sign").orderBy(F.xxhash64("item", F.lit(seed)), "item")
+    w = W.partitionBy("cluster", "sign").orderBy(hash_order(F.col("item"), seed), "item")
     return j.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
 
 
@@ -209,3 +212,8 @@ def seqlet_flanks(seqlets: DataFrame, parents: DataFrame, flank: int) -> DataFra
     centre = F.floor((F.col("start") + F.col("end")) / 2)
     s = seqlets.withColumn("_c", centre).join(p, "parent").withColumn("start", F.col("_ps") + F.col("_c") - flank).withColumn("end", F.col("_ps") + F.col("_c") + flank)
     return s.filter("start >= _ps and end <= _pe").drop("_c", "_ps", "_pe")
+
+
+def bound_over(attributions: DataFrame, cutoff: float, scores: str = "scores") -> DataFrame:
+    """Rows of an attribution table whose greatest binding score exceeds the cutoff; null scores and empty lists do not."""
+    return attributions.filter(F.array_max(scores) > cutoff)

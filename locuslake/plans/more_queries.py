@@ -13,8 +13,8 @@ from locuslake.functions import values as V
 from locuslake.operators import checks, coverage, evaluate, genome, grouping, intervals, motif, pseudobulk, sampling, structure
 from locuslake.plans import rows as P
 from locuslake.plans.queries import _SEQ, query, r6, seqs
-from locuslake.plans.stream_queries import shared_folder
 from locuslake.sources import files
+from locuslake.sources.store import shared_folder
 
 
 def scratch(t, name: str) -> str:

@@ -767,7 +767,9 @@ def a20(t):
     return deviation.composition(seqs(t).filter(F.length("seq") > 0), "doc_id", "seq").withColumn("gc", r6("gc"))
 
 
-@query("m3_motif_scan")
+@query("m3_motif_scan", f"""WITH s AS (SELECT doc_id, {_SEQ} AS s FROM documents), p AS (SELECT doc_id, s, unnest(range(0, length(s) - 7)) AS i FROM s WHERE length(s) >= 8),
+w AS (SELECT * FROM (VALUES ('a', '+', 'ACGTACGT'), ('a', '-', 'ACGTACGT'), ('b', '+', 'GGCATTAC'), ('b', '-', 'GTAATGCC')) v(motif_id, strand, word))
+SELECT doc_id, motif_id, strand, i AS st, i + 8 AS en, round(8 * log2(10.2 / 10.8 / 0.25), 4) AS score FROM p JOIN w ON substr(s, CAST(i + 1 AS INT), 8) = word""")
 def m3(t):
     pwm = t.spark.createDataFrame([(m, k, *[10.0 if b == c else 0.0 for b in "ACGT"]) for m, word in (("a", "ACGTACGT"), ("b", "GGCATTAC")) for k, c in enumerate(word)], "motif_id string, pos int, a double, c double, g double, t double")
     return motif.scan(seqs(t), motif.models(pwm, 1e-4), "doc_id")

@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locuslake.plans import views
+from locuslake.sources.store import shared_folder
 from locuslake.streaming import incremental
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new folder where it is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder.rstrip("/") if folder else tempfile.mkdtemp(prefix="locuslake-")
-
-
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a file stream, whether it is one file or a folder; ts is a timestamp of the session's zone."""
     out = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema).parquet(f"{sf_dir}/{name}.parque[t]")

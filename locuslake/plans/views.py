@@ -56,4 +56,6 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not defs:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(defs)}, {body[15:]}"
     return f"WITH {', '.join(defs)}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {', '.join(defs)} {body}"

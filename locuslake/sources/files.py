@@ -161,3 +161,37 @@ def write_results(rows: DataFrame, path: str, wide_by: str | None = None, key: s
     """A result table, long, or wide with a column for each value of wide_by."""
     out = rows if wide_by is None else rows.groupBy(key).pivot(wide_by).agg(F.first(value))
     out.write.mode("overwrite").parquet(path)
+
+
+def write_sidecars(path: str, names: DataFrame, config: DataFrame) -> None:
+    """Writes the row names (dataset, prefix, row_id, name) and the settings (dataset, key, value) beside a store."""
+    names.write.mode("overwrite").parquet(f"{path}/row_names")
+    config.coalesce(1).write.mode("overwrite").json(f"{path}/config")
+
+
+def read_row_names(spark: SparkSession, path: str, prefix: str | None = None) -> DataFrame:
+    """(dataset, prefix, row_id, name) of a store, of one prefix if that is given."""
+    names = spark.read.parquet(f"{path}/row_names")
+    return names if prefix is None else names.filter(F.col("prefix") == prefix)
+
+
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """(dataset, key, value) of a store's settings."""
+    return spark.read.schema("dataset string, key string, value string").json(f"{path}/config")
+
+
+#: Readers of coverage by name: (spark, options) -> rows with the columns of COVERAGE.
+READERS: dict = {}
+COVERAGE = {"prefix": "string", "chrom": "string", "bin": "bigint", "row_id": "", "value": ""}
+
+
+def register_reader(name: str, reader) -> None:
+    """Adds a source: a function of (spark, options) that gives coverage rows."""
+    READERS[name] = reader
+
+
+def read_source(spark: SparkSession, name: str, **options) -> DataFrame:
+    """Coverage of a registered source; rows of another form are an error."""
+    from locuslake.operators.checks import require_columns
+
+    return require_columns(READERS[name](spark, options), COVERAGE).select(*COVERAGE)
