@@ -347,8 +347,7 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The rows of docs that stay when one of each group does: the one with the smallest id, all its columns kept.
 
     Rows with equal ids in a group are told apart by a hash of their text, and of rows equal in both one stays. Null
-    ids stay only in groups without another; an empty table gives none. The rows to be left out are the smaller
-    side: where Spark finds their table small enough to broadcast, no text is shuffled.
+    ids stay only in groups without another; an empty table gives none. The texts are shuffled once.
     """
     digest = F.xxhash64(F.lit(6), F.col(text))
     own = park(docs.select(F.col(doc_id).alias("doc_id"), digest.alias("digest"), fingerprints(F.col(text)).alias("bits")))
@@ -356,8 +355,8 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = grouped(own, limit, block_rows).groupBy("root").agg(F.min(order).alias("first"))
     keep = park(first.select(F.col("first.doc_id").alias("keep_id"), F.col("first.digest").alias("keep_digest")).distinct())
     same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest"))
-    lost = park(own.join(keep, same, "left_anti").select(F.col("doc_id").alias("lost_id"), F.col("digest").alias("lost_digest")).distinct())
     rows = docs.select(F.col(doc_id).alias("doc_id"), digest.alias("digest"), F.struct("*").alias("row"))
-    kept = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("digest") == F.col("lost_digest")), "left_anti")
+    # the ids that stay grow with the documents: merged at every size, never broadcast
+    kept = rows.join(keep.hint("merge"), same, "left_semi")
     repeated = own.join(keep, same, "left_semi").count() > keep.count()
     return (kept.dropDuplicates(["doc_id", "digest"]) if repeated else kept).select("row.*")
