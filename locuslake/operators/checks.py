@@ -8,6 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Most rows of a table that is broadcast where its size is not bounded by what it holds.
+MAX_BROADCAST = 500_000
+
+
+def small(rows: DataFrame, n: int | None = None, most: int = MAX_BROADCAST) -> DataFrame:
+    """rows marked for broadcast if there are at most `most` of them, else as they are, for joins by shuffle.
+
+    n: their number, or of their array entries, if known; else they are counted, as far as `most`.
+    """
+    return F.broadcast(rows) if (rows.limit(most + 1).count() if n is None else n) <= most else rows
+
+
 def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
     """Keys that occur more than once, with n."""
     return rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")

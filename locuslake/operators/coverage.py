@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locuslake.operators.checks import small
 from locuslake.operators.intervals import BIN, densify, overlap
 
 
@@ -79,7 +80,7 @@ def region_query(regions: DataFrame, coverage: DataFrame, members: DataFrame, re
     out = merge_rows(hits, members, ["name", "bin"])
     if not dense:
         return out
-    keys = regions.select("name").crossJoin(F.broadcast(members.select("pid").distinct()))  # groups asked for, for each region asked for
+    keys = regions.select("name").crossJoin(small(members.select("pid").distinct()))  # groups asked for, for each region asked for
     return densify(out, keys, ["name", "pid"], region_bins)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuslake.functions.sequences import base_counts
+from locuslake.operators.checks import small
 from locuslake.operators.sampling import uniform
 
 
@@ -85,8 +86,8 @@ def background_peaks(peaks: DataFrame, iterations: int, bins: int = 50, width: f
     """(feature, iter, bg_feature): peaks alike in depth and GC, drawn with replacement.
 
     A peak's partner comes from a grid bin drawn by a Gaussian of the bins' distance times the bin's count, then
-    evenly from that bin. Bins (at most bins^2) are weighed on the driver; draws are hash joins. The broadcast table has
-    a row for each bin, of the bins within some eight widths of it.
+    evenly from that bin. Bins (at most bins^2) are weighed on the driver; draws are equi-joins. The table of weights has
+    a row for each bin, of the bins within some eight widths of it, and is broadcast where its entries are few enough.
     """
     g = grid_bins(whiten(peaks, x, y), bins).select("feature", "wx", "wy", "bin")
     held = g.groupBy("bin").agg(F.count("*").alias("n"), F.avg("wx").alias("x"), F.avg("wy").alias("y")).orderBy("bin").toPandas()
@@ -97,14 +98,14 @@ def background_peaks(peaks: DataFrame, iterations: int, bins: int = 50, width: f
     seen = np.diff(cdf, axis=1, prepend=0.0) > 0
     rows = [(int(held["bin"][i]), cdf[i][seen[i]].tolist(), [int(b) for b in held["bin"][seen[i]]]) for i in range(len(held))]
     table = peaks.sparkSession.createDataFrame(rows, "bin int, cdf array<double>, to array<int>")
-    draws = g.select("feature", "bin", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iter")).join(F.broadcast(table), "bin")
+    draws = g.select("feature", "bin", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iter")).join(small(table, n=int(seen.sum())), "bin")
     u = uniform(seed, F.col("feature"), F.col("iter"))
     at = F.least(F.size(F.filter("cdf", lambda c: c <= F.col("u"))), F.size("cdf") - 1)
     draws = draws.withColumn("u", u).withColumn("to_bin", F.get("to", at)).select("feature", "iter", "to_bin")
     ranked = g.select(F.col("bin").alias("to_bin"), F.col("feature").alias("bg_feature"), (F.row_number().over(W.partitionBy("bin").orderBy("feature")) - 1).alias("k"))
     sizes = ranked.groupBy("to_bin").agg(F.count("*").alias("m"))
     k = F.floor(uniform(seed + 1, F.col("feature"), F.col("iter")) * F.col("m"))
-    return draws.join(F.broadcast(sizes), "to_bin").withColumn("k", k.cast("int")).join(ranked, ["to_bin", "k"]).select("feature", "iter", "bg_feature")
+    return draws.join(small(sizes, n=len(held)), "to_bin").withColumn("k", k.cast("int")).join(ranked, ["to_bin", "k"]).select("feature", "iter", "bg_feature")
 
 
 def standardize_scores(scores: DataFrame, group: list[str], value: str = "z") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locuslake.operators.checks import small
 from locuslake.sources.store import park
 
 
@@ -184,7 +185,7 @@ def categorical_groups(cells: DataFrame, levels: list[str], vector: str, least:
     label = {k: f"group{i}" for i, leaf in enumerate(leaves) for k in leaf}
     table = pd.DataFrame({**{c: centroids[c].astype(str) for c in levels}, "group": [label[k] for k in range(len(centroids))]})
     names = cells.sparkSession.createDataFrame(table, ", ".join(f"{c} string" for c in [*levels, "group"]))
-    return rows.join(F.broadcast(names), levels)  # one row for each combination of categories
+    return rows.join(small(names, n=len(table)), levels)  # one row for each combination of categories
 
 
 def apply_groups(cells: DataFrame, saved: DataFrame, levels: list[str]) -> DataFrame:

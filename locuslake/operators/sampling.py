@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locuslake.sources.store import park
+
 
 def hash_order(key: Column, seed: int = 0) -> Column:
     """md5 of key|seed: the same order in any engine."""
@@ -67,8 +68,8 @@ def weighted_sample(rows: DataFrame, group: str, key: str, weight: str, n: int,
 def every_nth(rows: DataFrame, order: list[str], n: int, offset: int = 0) -> DataFrame:
     """Every n-th row of the ordered table from an offset on. Ranks are found without a single sorted partition:
     rows are range partitioned, and each partition's rows are numbered from the counts of those before. The dealt rows
-    are persisted, since a second dealing may cut the ranges elsewhere."""
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    are written to the shared folder, since a second dealing, after a lost executor, may cut the ranges elsewhere."""
+    ordered = park(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
     counts = {r["_p"]: r["c"] for r in ordered.groupBy("_p").agg(F.count("*").alias("c")).collect()}
     before, run = {}, 0
     for p in sorted(counts):

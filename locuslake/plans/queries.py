@@ -322,7 +322,7 @@ def j11(t):
 def j14(t):
     v = t.v_counts.groupBy(F.concat(F.lit("g"), F.col("cell") % 10).alias("pid"), "feature").agg(F.sum("n").alias("value"))
     genes = t.v_gene.select("gene_id", F.col("pk").alias("feature"))
-    pairs = genes.crossJoin(F.broadcast(t.v_members.select("pid").distinct()))
+    pairs = genes.crossJoin(checks.small(t.v_members.select("pid").distinct()))
     return genome.gene_values(pairs, v.join(genes, "feature").select("pid", "gene_id", "value")).select("pid", "gene_id", "value")
 
 

@@ -233,3 +233,11 @@ def test_mutation_runs_over_whole_sequences(spark):
 
     plan = queries.QUERIES["f10_mutated_positions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert ", 1, 60)" not in plan  # no prefix
+
+
+def test_broadcast_only_below_a_size(spark):
+    few = spark.range(10)
+    hinted = lambda df: "broadcast" in spark.range(5).join(df, "id")._jdf.queryExecution().logical().toString()
+    assert hinted(checks.small(few, most=10)) and not hinted(checks.small(few, most=9))
+    assert hinted(checks.small(few, n=3, most=3)) and not hinted(checks.small(few, n=4, most=3))
+    assert rows(spark.range(5).join(checks.small(few, most=9), "id"), "id") == [(k,) for k in range(5)]
