@@ -251,3 +251,20 @@ def test_pipeline_against_brute_force(spark, docs):
     rows = out.collect()
     assert len({(r["shard"], r["slot"]) for r in rows}) == len(rows) > 0 and not leaks & {r["doc_id"] for r in rows}
     assert max(Counter(r["doc_id"] for r in rows).values()) <= 2
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, empty):
+    """Nulls in every column, empty and long texts, ties, repeated rows and clashing names, in each stage by itself."""
+    ids = lambda x: Counter(r["doc_id"] for r in x.collect())
+    everything = ids(odd)
+    kept = {name: stage(spark, odd, SF) for name, stage in corpus_pipeline.STAGES}
+    assert ids(kept["language_id"]) == Counter({4: 1, None: 1, 5: 1, 6: 2, 7: 1})
+    assert ids(kept["simhash_dedup"]) == Counter([1, 4, 5, 7, 8])
+    assert ids(kept["decontaminate"]) == everything
+    taken = ids(kept["mix_sources"])
+    assert all(n <= 2 * everything[k] for k, n in taken.items()) and {1, 2, 3} <= taken.keys()
+    slots = kept["shard"].collect()
+    assert Counter(r["doc_id"] for r in slots) == everything and len({(r["shard"], r["slot"]) for r in slots}) == len(slots)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, empty, SF)
+        assert none.count() == 0 and (name == "shard" or none.columns == kept[name].columns == odd.columns), name
