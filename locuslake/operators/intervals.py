@@ -162,9 +162,11 @@ def from_global(regions: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def inner_windows(regions: DataFrame) -> DataFrame:
-    """All but the first and the last window of each chromosome; a lone one is both."""
-    up, down = W.partitionBy("chrom").orderBy("start", "end"), W.partitionBy("chrom").orderBy(F.desc("start"), F.desc("end"))
-    return regions.withColumn("_a", F.row_number().over(up)).withColumn("_b", F.row_number().over(down)).filter("_a > 1 and _b > 1").drop("_a", "_b")
+    """All but the first and the last window of each chromosome, by start and end; a lone one is both, and windows with
+    the same ends as one of them go with it. Chromosomes aren't sorted: their first and last windows are aggregates."""
+    place = F.struct("start", "end")
+    ends = regions.groupBy("chrom").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
+    return regions.join(ends, "chrom").filter((place > F.col("_first")) & (place < F.col("_last"))).select(regions.columns)
 
 
 def without_leakage(regions: DataFrame, split: str = "split", width: int = BIN) -> DataFrame:
@@ -186,10 +188,12 @@ def nearby(regions: DataFrame, most: int, key: str, seed: int = 0, width: int =
 
 
 def minimum_cover(regions: DataFrame) -> DataFrame:
-    """Few regions that cover each cluster: from the first on, jump to the last one that overlaps the current one.
+    """Few regions that cover each cluster: from the first on, jump to the last one that overlaps the current one, or
+    to the next one if none does. Of regions with equal ends one stands for all: the least by its other columns.
 
-    One cluster is one group in a Python task; clusters are runs of overlapping windows, whose number of rows is the
-    number of windows that overlap in a chain. The jumps are binary searches.
+    A cluster's jumps are binary searches in one Python task, which gets the shortest and the longest region of each
+    start and no other column: 32 bytes for a start, so that the chromosome's length bounds it and repeated or hot
+    regions don't.
     """
     import numpy as np
     import pandas as pd
@@ -202,8 +206,14 @@ def minimum_cover(regions: DataFrame) -> DataFrame:
             chosen.append(max(int(last[chosen[-1]]), chosen[-1] + 1))
         return rows.iloc[chosen]
 
-    clustered = cluster(regions)
-    return clustered.groupBy("chrom", "cluster").applyInPandas(cover, clustered.schema)
+    place = ["chrom", "start", "end"]
+    # a jump ends at the longest region of a start, a step to the next one at its shortest
+    edges = regions.groupBy("chrom", "start").agg(F.array_distinct(F.array(F.min("end"), F.max("end"))).alias("_ends"))
+    clustered = cluster(edges.select("chrom", "start", F.explode("_ends").alias("end")))
+    chosen = clustered.groupBy("chrom", "cluster").applyInPandas(cover, clustered.schema).withColumnRenamed("cluster", "_cluster")
+    rest = [c for c in regions.columns if c not in place]
+    one = regions.join(chosen, place, "left_semi").groupBy(*place).agg(F.min(F.struct(*rest) if rest else F.lit(0)).alias("_rest"))
+    return one.join(chosen, place).select(*place, *[F.col(f"_rest.{c}").alias(c) for c in rest], F.col("_cluster").alias("cluster"))
 
 
 def covered_positions(points: DataFrame, regions: DataFrame, width: int = BIN) -> DataFrame:

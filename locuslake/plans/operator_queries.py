@@ -105,10 +105,10 @@ def u4(t):
     return out.select("peak", "pid", r6("value").alias("value"))
 
 
-@query("u5_source", "SELECT 'p' AS prefix, chrom, bin, row_id, value FROM v_cov WHERE row_id % 3 = 1")
+@query("u5_source", "SELECT 'p' AS prefix, chrom, bin, row_id, value FROM v_cov")
 def u5(t):
-    files.register_reader("third", lambda spark, options: options["rows"].filter(f"row_id % 3 = {options['rest']}").withColumn("prefix", F.lit("p")))
-    return files.read_source(t.spark, "third", rows=t.v_cov, rest=1)
+    files.register_reader("prefixed", lambda spark, options: options["rows"].withColumn("prefix", F.lit(options["prefix"])))
+    return files.read_source(t.spark, "prefixed", rows=t.v_cov, prefix="p")
 
 
 # --- covers, draws, features -----------------------------------------------------------------------------------------

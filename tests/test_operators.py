@@ -50,6 +50,28 @@ def test_minimum_cover_advances(iv):
     assert rows(got, "start") == [(0,), (50,), (140,), (500,)]
 
 
+def test_minimum_cover_against_a_walk_over_all_regions(spark):
+    """Random regions, a third of them one region over and over: the greedy walk over the distinct ones."""
+    import random
+
+    r = random.Random(5)
+    places = [(c, s, s + r.choice([5, 20, 20, 60])) for c in "cd" for s in (r.randrange(3000) for _ in range(150))] + [("c", 40, 90)] * 150
+    got = intervals.minimum_cover(spark.createDataFrame([(c, s, e, i) for i, (c, s, e) in enumerate(places)], "chrom string, start long, end long, id long"))
+    want = []
+    for c in "cd":
+        own, k = sorted({(s, e) for x, s, e in places if x == c}), 0
+        while k < len(own):
+            want.append((c, *own[k], places.index((c, *own[k]))))
+            later = [j for j in range(k + 1, len(own)) if own[j][0] < own[k][1]]
+            k = later[-1] if later else k + 1
+    assert rows(got, "chrom", "start", "end", "id") == sorted(want)
+
+
+def test_inner_windows(iv):
+    a = iv(("c", 0, 10), ("c", 0, 10), ("c", 0, 20), ("c", 5, 15), ("c", 30, 40), ("d", 0, 9))
+    assert rows(intervals.inner_windows(a), "chrom", "start", "end") == [("c", 0, 20), ("c", 5, 15)]
+
+
 def test_bad_regions(spark, iv):
     sizes = spark.createDataFrame([("c", 100)], "chrom string, size long")
     with pytest.raises(ValueError, match="past_end"):
