@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuslake.llm import decontaminate, langid, licenses, mixing, ordinal, quality_rules, sharding, simhash, toxicity, warc
+from locuslake.llm import decontaminate, filter_audit, langid, licenses, mixing, ordinal, quality_rules, sharding, simhash, token_counts, toxicity, warc
 from locuslake.llm.shared import fold
 
 
@@ -69,6 +69,14 @@ def op10_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.select(docs, model, model.grades[-1]).withColumn("held_out", held_out)
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
@@ -80,6 +88,8 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_quality_grade": op10_quality_grade,
+    "op12_token_counts": op12_token_counts,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _BITS = "CAST(from_hex(sha1(coalesce(html, ''))) AS BIT)::VARCHAR"
@@ -87,6 +97,7 @@ _LETTER = " + ".join(f"CAST(substr(b, 5 * i + {k + 1}, 1) AS INTEGER) * {16 >> k
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.sql(),
+    "op13_filter_audit": filter_audit.sql(),
     "op7_warc_index": f"""
 WITH bits AS (SELECT page_id, strlen(coalesce(html, '')) AS n, {_BITS} AS b, split_part(lower(trim(coalesce(url, 'about:blank'))), '#', 1) AS u FROM pages),
 own AS (SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, strftime(make_timestamp(({warc.EPOCH} + page_id % 1000000000) * 1000000), '%Y%m%d%H%M%S') AS timestamp,
