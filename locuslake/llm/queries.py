@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuslake.llm import decontaminate, filter_audit, langid, licenses, mixing, ordinal, quality_rules, sharding, simhash, token_counts, toxicity, warc
+from locuslake.llm import decontaminate, filter_audit, hard_negatives, langid, licenses, mixing, ordinal, quality_rules, sharding, simhash, token_counts, toxicity, warc
 from locuslake.llm.shared import fold
 
 
@@ -69,6 +69,11 @@ def op10_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.select(docs, model, model.grades[-1]).withColumn("held_out", held_out)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), relabel=F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -88,6 +93,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_quality_grade": op10_quality_grade,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_token_counts": op12_token_counts,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -97,6 +103,7 @@ _LETTER = " + ".join(f"CAST(substr(b, 5 * i + {k + 1}, 1) AS INTEGER) * {16 >> k
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.sql(),
+    "op11_hard_negatives": hard_negatives.sql(),
     "op13_filter_audit": filter_audit.sql(),
     "op7_warc_index": f"""
 WITH bits AS (SELECT page_id, strlen(coalesce(html, '')) AS n, {_BITS} AS b, split_part(lower(trim(coalesce(url, 'about:blank'))), '#', 1) AS u FROM pages),

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locuslake.llm import filter_audit, token_counts
+from locuslake.llm import filter_audit, hard_negatives, token_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -117,3 +119,78 @@ def test_fields_do_not_overflow():
     steps = filter_audit.unpack(n * filter_audit.outcomes(0b00001, True, True))
     assert set(steps.ravel().tolist()) == {0, n} and filter_audit.unpack(0).sum() == 0
     assert steps[:, 3].tolist() == [n if letter == "A" else 0 for order in filter_audit.ORDERS for letter in order]
+
+
+def plain_negatives(rows: list[tuple], every: int = 5, positives: int = 5, negatives: int = 3) -> Counter:
+    """(vec_id, vector, label) of rows that take part: every anchor against every row."""
+    found: Counter = Counter()
+    q = [[math.floor(256 * float(np.float32(x))) for x in v] for _, v, _ in rows]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    by_score = lambda x: (-x[0], x[1] is None, x[1] or 0)
+    for k, (anchor, _, label) in enumerate(rows):
+        if anchor is None or anchor % every:
+            continue
+        scored = [(dot(q[k], q[j]), rows[j][0], rows[j][2] == label) for j in range(len(rows)) if j != k]
+        for score, positive, _ in sorted((x for x in scored if x[2]), key=by_score)[:positives]:
+            window = sorted((x for x in scored if not x[2] and 50 * score <= 100 * x[0] <= 95 * score), key=by_score)
+            found.update((anchor, positive, rank, x[1], score, x[0]) for rank, x in enumerate(window[:negatives], 1))
+    return found
+
+
+def vectors(seed: int, n: int, dims: int, spread: float) -> list[tuple]:
+    """Rows around a few centres, with copies of one vector, repeated rows and null ids."""
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(6, dims))
+    rows = [(k, (centres[k % 6] + spread * r.normal(size=dims)).tolist(), int(r.choice([0, 0, 0, 1, 2, -3]))) for k in range(n)]
+    same = rows[3][1]
+    rows += [(n + k, same, k % 2) for k in range(40)] + [rows[5]] * 3 + [rows[7]] * 2 + [(None, rows[11][1], 1), (None, rows[11][1], 0), (n + 60, [1.0], 0)]
+    return rows
+
+
+@pytest.mark.parametrize("seed,spread,block", [(1, 1.0, 8), (2, 0.1, 16), (3, 0.02, 4)])
+def test_negatives_against_all_pairs(spark, monkeypatch, seed, spread, block):
+    for name, value in {"BLOCK": block, "SHELF": 2, "GROUP": 6, "BAND": 2, "PAGE": 3}.items():
+        monkeypatch.setattr(hard_negatives, name, value)
+    rows = vectors(seed, 260, 7, spread)
+    bad = [(900, None, 1), (905, [1.0, None], 1), (910, [float("nan")], 1), (915, [float("inf")], 0), (920, [1.0], None)]
+    frame = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, label int").withColumn("key", F.lit("x")).withColumn("a.b", F.lit(1))
+    got = Counter(tuple(r) for r in hard_negatives.mine(frame, every=5).collect())
+    assert got == plain_negatives(rows)
+    assert hard_negatives.mine(frame.limit(0)).count() == 0
+
+
+def test_zones_keep_blocks_unread(spark, monkeypatch):
+    """Tight clusters: most pairs of a group and a shelf are ruled out by their bounds."""
+    for name, value in {"BLOCK": 8, "SHELF": 1, "GROUP": 4}.items():
+        monkeypatch.setattr(hard_negatives, name, value)
+    seen, inner = [], hard_negatives.found_in
+
+    def spy(pairs, groups, blocks, *rest):
+        seen.append((pairs.count(), groups.count() * blocks.select("shelf").distinct().count()))
+        return inner(pairs, groups, blocks, *rest)
+
+    monkeypatch.setattr(hard_negatives, "found_in", spy)
+    r = np.random.default_rng(4)
+    centres = 3 * r.normal(size=(20, 6))
+    rows = [(k, (centres[k % 20] + 0.05 * r.normal(size=6)).tolist(), k % 20 % 5) for k in range(600)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert Counter(tuple(x) for x in hard_negatives.mine(frame, every=5).collect()) == plain_negatives(rows)
+    assert len(seen) == 4 and sum(n for n, _ in seen) < 0.35 * sum(n for _, n in seen[1::2])
+
+
+def test_large_components(spark):
+    """Scores beyond 2**53 are exact, those beyond 64 bits an error."""
+    r = random.Random(8)
+    rows = [(k, [r.uniform(-1e5, 1e5), r.uniform(0, 1e5), float(r.randrange(10**5))], k % 3) for k in range(80)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert Counter(tuple(x) for x in hard_negatives.mine(frame, every=5).collect()) == plain_negatives(rows)
+    with pytest.raises(ValueError, match="64 bits"):
+        hard_negatives.mine(frame.withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(1e9).cast("float"))))
+
+
+@pytest.mark.parametrize("axes,bits", [(1, 4), (2, 4), (3, 3), (4, 2)])
+def test_neighbours_on_the_curve_are_neighbours(axes, bits):
+    cells = np.array(list(itertools.product(range(1 << bits), repeat=axes)))
+    keys = hard_negatives.hilbert(cells, bits)
+    assert sorted(keys) == list(range(len(cells)))
+    assert (np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(1) == 1).all()
