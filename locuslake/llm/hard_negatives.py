@@ -391,4 +391,4 @@ s AS (SELECT a.u, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS sa
 p AS (SELECT u, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY u ORDER BY score DESC, id) <= 5)
 SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
 FROM s JOIN p USING (u) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
-QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY u, positive_id ORDER BY score DESC, id)"""
+WINDOW w AS (PARTITION BY u, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3"""
