@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -33,7 +33,7 @@ from pyspark.sql.functions import pandas_udf
 from locuslake.llm.shared import park
 
 #: Characters from one chunk's start to the next one's, characters that neighbours share, and how much wider an overlap gets.
-CHUNK, OVERLAP, WIDER = 1 << 14, 512, 8
+CHUNK, OVERLAP, WIDER = 1 << 15, 512, 8
 #: The pattern looks three characters ahead at most; special tokens add their length.
 MARGIN = 4
 LIMIT = 1024
@@ -71,13 +71,17 @@ def cuts(length: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
     return [(s, min(length, s + chunk + overlap)) for s in starts]
 
 
-def boundaries(encoding) -> list[tuple[int, int]]:
-    """(character, tokens before it) of each start of a pre-token in an encoded chunk, and its end."""
-    words, offsets, found = encoding.word_ids, encoding.offsets, []
-    for k, (start, _) in enumerate(offsets):
-        if k == 0 or (words[k] != words[k - 1] and offsets[k - 1][1] == start):
+def boundaries(encoding, indexes: Iterable[int], beyond: Callable[[int], bool]) -> list[tuple[int, int]]:
+    """(character, tokens before it) of the starts of pre-tokens among the tokens asked for, up to a character beyond
+    what is wanted. Tokens are looked up one by one, since lists of all of them take longer than encoding."""
+    found = []
+    for k in indexes:
+        start = encoding.token_to_chars(k)[0]
+        if beyond(start):
+            break
+        if k == 0 or (encoding.token_to_word(k) != encoding.token_to_word(k - 1) and encoding.token_to_chars(k - 1)[1] == start):
             found.append((start, k))
-    return [*found, (offsets[-1][1], len(offsets))] if offsets else [(0, 0)]
+    return found
 
 
 def count_tokens(text: Column, vocabulary: str) -> Column:
@@ -122,10 +126,10 @@ def _encoded(pieces: DataFrame, vocabulary: str, overlap: int) -> DataFrame:
             out = []
             for key, k, start, final, piece in batch.itertuples(index=False, name=None):
                 encoding = tokenizer.encode(piece, add_special_tokens=False)
-                found = [(start + at, before) for at, before in boundaries(encoding)]
-                left = [x for x in found if start and x[0] <= start + overlap]
-                right = [x for x in found if not final and start + len(piece) - overlap <= x[0] <= start + len(piece) - margin]
-                out.append((key, k, final, len(encoding), [x[0] for x in left], [x[1] for x in left], [x[0] for x in right], [x[1] for x in right]))
+                n, shared, safe = len(encoding), len(piece) - overlap, len(piece) - margin
+                left = boundaries(encoding, range(n), lambda at: at > overlap) if start else []
+                right = [] if final else [x for x in reversed(boundaries(encoding, range(n - 1, -1, -1), lambda at: at < shared)) if x[0] <= safe]  # noqa: B023
+                out.append((key, k, final, n, [start + x[0] for x in left], [x[1] for x in left], [start + x[0] for x in right], [x[1] for x in right]))
             yield pd.DataFrame(out, columns=["key", "chunk", "final", "n", "left_at", "left_n", "right_at", "right_n"])
 
     schema = "key binary, chunk long, final boolean, n long, left_at array<long>, left_n array<long>, right_at array<long>, right_n array<long>"
