@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from locuslake.operators.checks import small
 from locuslake.operators.intervals import BIN, densify, overlap
+from locuslake.operators.ordered import ordinals
 
 
 def insertions(fragments: DataFrame, keys: list[str], plus: int = 0, minus: int = 0, paired: bool = True) -> DataFrame:
@@ -146,8 +147,8 @@ def assemble_track(outputs: DataFrame, resolution: int, trim: int = 0) -> DataFr
 
 def reference_bulk(coverage: DataFrame, members: DataFrame, n: int, target: float, seed: int = 0) -> DataFrame:
     """Bulk coverage of up to n members chosen by hash, scaled to a total of target."""
-    order = W.orderBy(F.md5(F.concat_ws("|", F.col("row_id").cast("string"), F.lit(str(seed)))), "row_id")
-    chosen = members.select("row_id").distinct().withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= n)
+    drawn = F.md5(F.concat_ws("|", F.col("row_id").cast("string"), F.lit(str(seed))))
+    chosen = members.select("row_id").distinct().orderBy(drawn, "row_id").limit(n)
     bulk = coverage.join(chosen, "row_id", "left_semi").groupBy("chrom", "bin").agg(F.sum("value").alias("value"))
     total = bulk.agg(F.sum("value").alias("_total"))
     return bulk.crossJoin(F.broadcast(total)).withColumn("value", F.col("value") * target / F.col("_total")).drop("_total")  # the total is one row
@@ -170,8 +171,34 @@ def read_store(spark: SparkSession, path: str, chroms: list[str] | None = None,
 
 
 def manifest(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """(key, file): which file of a stored table holds each key."""
-    return spark.read.parquet(path).select(key, F.col("_metadata.file_name").alias("file")).distinct()
+    """(key, file, row): where a stored table holds each key, the file and the row in it from 0. Only the key is read."""
+    return spark.read.parquet(path).select(key, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def rows_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
+    """The rows of a stored table at places (file, row) of its manifest. Places are few beside the table: where they are, they
+    are broadcast to its scan."""
+    store = spark.read.parquet(path)
+    placed = store.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return placed.join(small(places.select(F.col("file").alias("_file"), F.col("row").alias("_row")).distinct()), ["_file", "_row"], "left_semi").select(store.columns)
+
+
+def read_in_order(spark: SparkSession, path: str, out: str = "row_order") -> DataFrame:
+    """A stored table with the place of each row in it, from 0: files in order of their names, rows as they stand in them.
+
+    Nothing is sorted or shuffled: a row's place is its file's first place and its index in the file, and the table of
+    files' first places has a row for each file.
+    """
+    store = spark.read.parquet(path)
+    placed = store.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = placed.groupBy("_file").agg(F.count("*").alias("_n"))
+    starts = counts.select("_file", F.coalesce(F.sum("_n").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return placed.join(small(starts), "_file").withColumn(out, F.col("_start") + F.col("_row")).select(*store.columns, out)
+
+
+def in_row_order(rows: DataFrame, order: str = "row_order") -> DataFrame:
+    """rows sorted back into the order they were read in, whatever operators came between, without the place."""
+    return rows.orderBy(order).drop(order)
 
 
 def by_expression(coverage: DataFrame, keys: list[str], cov_func: Column) -> DataFrame:
@@ -195,7 +222,7 @@ def read_folds(spark: SparkSession, path: str, folds: list, chroms: list[str]) -
 
 def numbered_regions(store: DataFrame, order: list[str]) -> DataFrame:
     """store with `ordinal`, from 0, in an order; for region arrays, a row for each region."""
-    return store.withColumn("ordinal", F.row_number().over(W.orderBy(*order)).cast("long") - 1)
+    return ordinals(store, order)
 
 
 def select_regions(store: DataFrame, wanted: str | int | slice | list, name: str = "name", ordinal: str = "ordinal") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locuslake.operators.ordered import quantiles
+
 EPS = 1e-7
 
 
@@ -122,8 +124,9 @@ def gather(parts: list[DataFrame], key: list[str], order: list, names: DataFrame
 
 def top_by_quantile(rows: DataFrame, key: str, value: str, q: float) -> DataFrame:
     """rows with all but the top share q of |value| in each key set to 0."""
-    edge = F.percentile(F.abs(F.col(value)), F.lit(1 - q)).over(W.partitionBy(key))
-    return rows.withColumn(value, F.when(F.abs(F.col(value)) >= edge, F.col(value)).otherwise(F.lit(0.0)))
+    edges = quantiles(rows.select(key, F.abs(F.col(value)).alias("_abs")), [key], "_abs", [1 - q]).select(F.col(key).alias("_key"), "q0")
+    joined = rows.join(edges, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return joined.withColumn(value, F.when(F.abs(F.col(value)) >= F.col("q0"), F.col(value)).otherwise(F.lit(0.0))).drop("_key", "q0")
 
 
 def around(signal: DataFrame, centres: DataFrame, radius: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuslake.operators.checks import small
+from locuslake.operators.ordered import quantiles, running
 from locuslake.sources.store import park
 
 
@@ -66,7 +67,8 @@ def representatives(rows: DataFrame, group: str, key: str, vector: str) -> DataF
 def rare_weights(rows: DataFrame, group: str) -> DataFrame:
     """(group, n, weight): 1 / sqrt(n), adding up to 1."""
     n = rows.groupBy(group).agg(F.count("*").alias("n")).withColumn("_w", 1 / F.sqrt("n"))
-    return n.withColumn("weight", F.col("_w") / F.sum("_w").over(W.partitionBy())).drop("_w")
+    whole = n.agg(F.sum("_w").alias("_all"))
+    return n.crossJoin(F.broadcast(whole)).withColumn("weight", F.col("_w") / F.col("_all")).drop("_w", "_all")  # the sum is one row
 
 
 def share(rows: DataFrame, group: list[str], value: str, out: str = "share") -> DataFrame:
@@ -76,7 +78,7 @@ def share(rows: DataFrame, group: list[str], value: str, out: str = "share") ->
 
 def dataset_draws(datasets: DataFrame, n: int, weight: str = "weight") -> DataFrame:
     """datasets with weight / the largest weight, and draws = max(1, whole part of n times it)."""
-    top = datasets.withColumn("relative", F.col(weight) / F.max(weight).over(W.partitionBy()))
+    top = datasets.crossJoin(F.broadcast(datasets.agg(F.max(weight).alias("_top")))).withColumn("relative", F.col(weight) / F.col("_top")).drop("_top")  # one row
     return top.withColumn("draws", F.greatest(F.lit(1).cast("long"), F.floor(F.lit(n) * F.col("relative"))))
 
 
@@ -102,8 +104,8 @@ def split_by_cap(rows: DataFrame, group: str, size: str, cap: float, key: str, s
     """rows with part: a group is dealt in hash order to ceil(total / cap) parts, round robin."""
     h = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
     total = rows.groupBy(group).agg(F.ceil(F.sum(size) / cap).cast("long").alias("_parts"))
-    w = W.partitionBy(group).orderBy(h, key)
-    return rows.join(total, group).withColumn("part", F.pmod(F.row_number().over(w) - 1, F.greatest("_parts", F.lit(1)))).drop("_parts")
+    ranked = running(rows.withColumns({"_h": h, "_one": F.lit(1)}), [group], ["_h", key], "_one", "_rank", "_n")
+    return ranked.join(total, group).withColumn("part", F.pmod(F.col("_rank"), F.greatest("_parts", F.lit(1)))).drop("_parts", "_h", "_one", "_rank", "_n")
 
 
 def log_normalize(counts: DataFrame, cell: str, n: str, total: float = 1e4) -> DataFrame:
@@ -114,8 +116,9 @@ def log_normalize(counts: DataFrame, cell: str, n: str, total: float = 1e4) -> D
 def feature_filter(counts: DataFrame, feature: str, n: str, low: float = 0.05, high: float = 0.997) -> DataFrame:
     """(feature, total) of features whose total lies strictly between two quantiles of the totals."""
     totals = counts.groupBy(feature).agg(F.sum(n).alias("total"))
-    edges = totals.agg(F.percentile("total", F.lit(low)).alias("lo"), F.percentile("total", F.lit(high)).alias("hi"))
-    return totals.crossJoin(F.broadcast(edges)).filter("total > lo and total < hi").drop("lo", "hi")  # edges is one row
+    totals = park(totals)
+    edges = quantiles(totals, [], "total", [low, high])
+    return totals.crossJoin(F.broadcast(edges)).filter("total > q0 and total < q1").drop("q0", "q1")  # edges is one row
 
 
 def top_features(counts: DataFrame, feature: str, n: str, least: float, most: int) -> DataFrame:
@@ -126,11 +129,11 @@ def top_features(counts: DataFrame, feature: str, n: str, least: float, most: in
 
 def without_outliers(rows: DataFrame, columns: list[str], quantile: float = 0.99, factor: float = 2.0) -> DataFrame:
     """rows below factor times the quantile in each column."""
-    edges = rows.agg(*[(F.percentile(c, F.lit(quantile)) * factor).alias(f"_{c}") for c in columns])
-    keep = F.lit(True)
-    for c in columns:
-        keep = keep & (F.col(c) < F.col(f"_{c}"))
-    return rows.crossJoin(F.broadcast(edges)).filter(keep).select(rows.columns)  # edges is one row
+    kept = rows
+    for k, c in enumerate(columns):
+        edge = quantiles(rows.select(c), [], c, [quantile]).select((F.col("q0") * factor).alias(f"_edge{k}"))
+        kept = kept.crossJoin(F.broadcast(edge)).filter(F.col(c) < F.col(f"_edge{k}"))  # one row
+    return kept.select(rows.columns)
 
 
 def _split(points: np.ndarray, weight: np.ndarray) -> np.ndarray:

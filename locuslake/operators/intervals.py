@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locuslake.operators.ordered import asof, ordinals, running
+from locuslake.sources.store import park
+
 BIN = 20_000
 #: Positions in a segment within which intervals are merged first, before whole chromosomes are.
 SEGMENT = 1 << 20
@@ -151,14 +154,15 @@ def to_global(regions: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def from_global(regions: DataFrame, offsets: DataFrame) -> DataFrame:
-    """chrom, start, end from gstart and gend; the chromosome is the start's. An offset table has a row for each
-    chromosome, so that the range condition compares every region with those few rows."""
-    o = offsets.select("chrom", "global_start", "global_end")
-    edges = o.agg(F.sort_array(F.collect_list(F.struct("global_start", "global_end", "chrom"))).alias("_edges")).first()["_edges"]
-    array = F.array(*[F.struct(F.lit(r["global_start"]).alias("s"), F.lit(r["global_end"]).alias("e"), F.lit(r["chrom"]).alias("c")) for r in edges])
-    hit = F.get(F.filter(array, lambda x: (F.col("gstart") >= x["s"]) & (F.col("gstart") < x["e"])), F.lit(0))
-    out = regions.withColumn("_at", F.when(F.col("gstart") < 0, F.raise_error(F.lit("negative global position")).cast("struct<s:bigint,e:bigint,c:string>")).otherwise(hit))
-    return out.withColumn("chrom", F.col("_at.c")).withColumn("start", F.col("gstart") - F.col("_at.s")).withColumn("end", F.col("gend") - F.col("_at.s")).drop("_at")
+    """chrom, start, end from gstart and gend; the chromosome is the last one that begins at or before the start, null past
+    the genome's end. An as-of join, so that there may be any number of chromosomes; empty ones own nothing."""
+    marks = offsets.filter("global_end > global_start").select(F.col("global_start").alias("_g"), "global_start", "global_end", "chrom")
+    negative = F.raise_error(F.lit("negative global position")).cast("long")
+    points = regions.drop("chrom", "start", "end").withColumn("_g", F.when(F.col("gstart") < 0, negative).otherwise(F.col("gstart")).cast("long"))
+    hit = asof(points, marks.withColumns({"_g": F.col("_g").cast("long"), "_s": F.col("global_start"), "_e": F.col("global_end"), "_c": F.col("chrom")}), [], "_g", ["_s", "_e", "_c"])
+    inside = F.col("gstart") < F.col("_e")
+    out = hit.withColumns({"chrom": F.when(inside, F.col("_c")), "start": F.when(inside, F.col("gstart") - F.col("_s")), "end": F.when(inside, F.col("gend") - F.col("_s"))})
+    return out.drop("_g", "_s", "_e", "_c")
 
 
 def inner_windows(regions: DataFrame) -> DataFrame:
@@ -181,37 +185,50 @@ def densify(sparse: DataFrame, regions: DataFrame, keys: list[str], n_bins: int,
     return grid.join(sparse.select(*keys, "bin", value), [*keys, "bin"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
-def nearby(regions: DataFrame, most: int, key: str, seed: int = 0, width: int = BIN) -> DataFrame:
-    """For each region one on the same chromosome at most `most` away, itself included, chosen by hash."""
-    pairs = overlap(extend(regions, most), regions, width)
-    return pairs.groupBy(key).agg(F.min_by(F.col(f"{key}_b"), F.struct(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col(f"{key}_b").cast("string"), F.lit(str(seed)))), f"{key}_b")).alias("partner"))
+def nearby(regions: DataFrame, most: int, key: str, seed: int = 0) -> DataFrame:
+    """(key, partner): for each region one of its chromosome whose start is less than `most` away, itself included; each
+    is as likely as any other. Regions are of one length, so that ends are as far apart as starts; key is unique.
+
+    The regions in reach follow each other in the order of starts: two as-of lookups give the first and the last rank, a
+    hash picks one between them, and an equi-join fetches it. As many rows are joined as there are regions.
+    """
+    placed = running(regions.select("chrom", F.col("start").cast("long").alias("start"), F.col(key).alias("_key")).withColumn("_one", F.lit(1)), ["chrom"], ["start", "_key"], "_one", "_rank", "_n")
+    placed = park(placed.select("chrom", "start", "_key", "_rank"))
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), (F.col("start") - most).alias("at")), F.struct(F.lit(1).alias("side"), (F.col("start") + most - 1).alias("at")))).alias("_e")
+    points = placed.select("chrom", "_key", ends).select("chrom", "_key", "_e.side", F.col("_e.at").alias("start"))
+    ranked = asof(points, placed.select("chrom", "start", F.col("_rank").alias("_last")), ["chrom"], "start", ["_last"])
+    of_side = lambda side: F.max(F.when(F.col("side") == side, F.col("_last")))
+    reach = ranked.groupBy("chrom", "_key").agg((F.coalesce(of_side(0), F.lit(-1)) + 1).alias("_lo"), of_side(1).alias("_hi"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("_key").cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("long")
+    wanted = reach.select("chrom", F.col("_key").alias(key), (F.col("_lo") + F.pmod(drawn, F.col("_hi") - F.col("_lo") + 1)).alias("_rank"))
+    return wanted.join(placed.select("chrom", "_rank", F.col("_key").alias("partner")), ["chrom", "_rank"]).select(key, "partner")
 
 
 def minimum_cover(regions: DataFrame) -> DataFrame:
     """Few regions that cover each cluster: from the first on, jump to the last one that overlaps the current one, or
     to the next one if none does. Of regions with equal ends one stands for all: the least by its other columns.
 
-    A cluster's jumps are binary searches in one Python task, which gets the shortest and the longest region of each
-    start and no other column: 32 bytes for a start, so that the chromosome's length bounds it and repeated or hot
-    regions don't.
+    Where a jump ends is an as-of lookup of the current end among the starts. Which regions the jumps reach is found by
+    pointer doubling: tables of 1, 2, 4, ... jumps are joined with themselves, and what is reached from the clusters' first
+    regions grows by the tables from the longest jumps down. Rounds grow with the logarithm of the longest chain.
     """
-    import numpy as np
-    import pandas as pd
-
-    def cover(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start", "end"], ignore_index=True)
-        last = np.searchsorted(rows["start"].to_numpy(), rows["end"].to_numpy(), "left") - 1  # the last that starts before each end
-        chosen = [0]
-        while chosen[-1] + 1 < len(rows):
-            chosen.append(max(int(last[chosen[-1]]), chosen[-1] + 1))
-        return rows.iloc[chosen]
-
     place = ["chrom", "start", "end"]
+    rest = [c for c in regions.columns if c not in place]
     # a jump ends at the longest region of a start, a step to the next one at its shortest
     edges = regions.groupBy("chrom", "start").agg(F.array_distinct(F.array(F.min("end"), F.max("end"))).alias("_ends"))
-    clustered = cluster(edges.select("chrom", "start", F.explode("_ends").alias("end")))
-    chosen = clustered.groupBy("chrom", "cluster").applyInPandas(cover, clustered.schema).withColumnRenamed("cluster", "_cluster")
-    rest = [c for c in regions.columns if c not in place]
+    clustered = cluster(edges.select("chrom", F.col("start").cast("long").alias("start"), F.explode(F.col("_ends").cast("array<long>")).alias("end")))
+    placed = park(ordinals(clustered, place, "_at"))
+    last = asof(placed.select("chrom", F.col("end").alias("start"), "cluster", "_at"), placed.select("chrom", "start", F.col("_at").alias("_to")), ["chrom"], "start", ["_to"], strict=True)
+    ends = placed.groupBy("chrom", "cluster").agg(F.min("_at").alias("_first"), F.max("_at").alias("_end"))
+    jump = last.join(ends, ["chrom", "cluster"]).select("_at", F.greatest("_to", F.col("_at") + 1).alias("_to"), "_end").filter("_to <= _end")
+    jumps = [park(jump.select("_at", "_to"))]
+    while not jumps[-1].isEmpty():
+        then = jumps[-1].select(F.col("_at").alias("_to"), F.col("_to").alias("_then"))
+        jumps.append(park(jumps[-1].join(then, "_to").select("_at", F.col("_then").alias("_to"))))
+    reached = park(ends.select(F.col("_first").alias("_at")))
+    for table in reversed(jumps[:-1]):
+        reached = park(reached.unionByName(reached.join(table, "_at").select(F.col("_to").alias("_at"))).distinct())
+    chosen = placed.join(reached, "_at").select(*place, F.col("cluster").alias("_cluster"))
     one = regions.join(chosen, place, "left_semi").groupBy(*place).agg(F.min(F.struct(*rest) if rest else F.lit(0)).alias("_rest"))
     return one.join(chosen, place).select(*place, *[F.col(f"_rest.{c}").alias(c) for c in rest], F.col("_cluster").alias("cluster"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from locuslake.operators import checks, coverage, deviation, genome, grouping, intervals, motif, pseudobulk, structure
+from locuslake.operators.ordered import ordinals
 from locuslake.plans import rows as P
 from locuslake.plans.more_queries import scratch
 from locuslake.plans.queries import _ISLANDS, _SEQ, query, r6, seqs
@@ -33,11 +34,25 @@ def s4b(t):
     return coverage.read_folds(t.spark, path, ["fold0"], ["chr2", "chr5"]).select("chrom", "bin", "row_id", "value")
 
 
-@query("s7_manifest", "SELECT name, 1 AS files FROM v_peak")
+@query("s7_manifest", "SELECT pid, name, chrom, st, en, 1 AS places FROM v_peak WHERE pid % 3 = 0")
 def s7(t):
+    """The rows read back at the places that the manifest names."""
     path = scratch(t, "peaks")
     t.v_peak.repartitionByRange(8, "chrom", "start").write.parquet(path)
-    return coverage.manifest(t.spark, path, "name").groupBy("name").agg(F.count("*").alias("files"))
+    places = coverage.manifest(t.spark, path, "pid").filter("pid % 3 = 0")
+    counted = places.groupBy("pid").agg(F.countDistinct("file", "row").cast("int").alias("places"))
+    return coverage.rows_at(t.spark, path, places).join(counted, "pid").select("pid", "name", "chrom", "start", "end", "places")
+
+
+@query("w12_row_order", "SELECT CAST(row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS BIGINT) AS k, name, n FROM (SELECT p_partkey, p_size, concat('p', p_partkey) AS name, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2, 3) x")
+def w12(t):
+    """Rows as they were stored, after a join has dealt them anew."""
+    path = scratch(t, "ordered")
+    t.part.select("p_partkey", "p_size").repartitionByRange(6, F.desc("p_size"), "p_partkey").sortWithinPartitions(F.desc("p_size"), "p_partkey").write.parquet(path)
+    read = coverage.read_in_order(t.spark, path)
+    counted = read.join(t.lineitem, F.col("p_partkey") == F.col("l_partkey"), "left").groupBy("row_order", "p_partkey").agg(F.count("l_partkey").alias("n"))
+    # the order that the rows come in is part of the result
+    return coverage.in_row_order(counted).select(F.monotonically_increasing_id().alias("id"), F.concat(F.lit("p"), "p_partkey").alias("name"), "n").transform(lambda x: ordinals(x, ["id"], "k")).select("k", "name", "n")
 
 
 @query("s8_sidecars", "SELECT prefix, row_id, name, value AS resolution FROM (SELECT concat('p', s_suppkey % 2) AS prefix, s_suppkey AS row_id, s_name AS name FROM supplier) x, (SELECT '100' AS value) y WHERE prefix = 'p1'")
@@ -92,6 +107,16 @@ def s26(t):
     return checks.union({k: coverage.select_regions(store, w).select("name") for k, w in got.items()}, "how")
 
 
+@query("s15_fasta_tiles", f"""WITH s AS (SELECT CAST(doc_id AS VARCHAR) AS chrom, {_SEQ} AS s FROM documents), t AS (SELECT chrom, s, unnest(range(0, length(s), 500)) AS tile_start FROM s WHERE length(s) > 0)
+SELECT chrom, tile_start, least(tile_start + 500, length(s)) AS tile_end, greatest(tile_start - 20, 0) AS seq_start, substr(s, CAST(greatest(tile_start - 20, 0) + 1 AS INT), CAST(tile_start + 520 - greatest(tile_start - 20, 0) AS INT)) AS seq FROM t""")
+def s15(t):
+    """Every document a record, in several files, read back in splits."""
+    path = scratch(t, "fasta")
+    wrapped = F.regexp_replace("seq", "(.{60})", "$1\n")
+    seqs(t).select(F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit(" a sequence\n"), wrapped)).repartition(6).write.text(path)
+    return files.read_fasta(t.spark, path, 500, 20)
+
+
 @query("p39_legal_columns", "SELECT p_partkey, p_size FROM part")
 def p39(t):
     setting = checks.merge_config({"key": checks.REQUIRED, "size": "p_size"}, {"key": "p_partkey"})

@@ -82,31 +82,55 @@ def read_gtf(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("chrom", "source", "feature_type", (F.col("start") - 1).alias("start"), "end", "strand", of("gene_id").alias("gene_id"), of("gene_name").alias("gene_name"), of("transcript_id").alias("transcript_id"), F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])).alias("attributes"))
 
 
-def read_fasta(spark: SparkSession, path: str, tile: int = 1_000_000) -> DataFrame:
-    """(chrom, tile_start, tile_end, seq): a FASTA file as tiles that each hold the bases they own.
+def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, at, seq): the sequence lines of FASTA files, each with its first base's place in its record.
 
-    Lines get their positions by running sums over the file's lines; a line is cut where it crosses a tile's border,
-    so that no task ever holds a whole chromosome. The file is read in order by one reader per split of its lines.
+    However the files are split over tasks, a line has a file, the byte at which its split begins and an ascending id in
+    it. Places are sums over two levels: inside a split, and over a file's splits, of which only the bases after the last
+    header and that header's name are carried on. Headers are names up to a space; each should occur once.
     """
-    lines = spark.read.option("maxPartitionBytes", 1 << 30).text(path).withColumn("line", F.monotonically_increasing_id())
-    header = F.when(F.col("value").startswith(">"), F.struct("line", F.split_part(F.substring("value", 2, 1000), F.lit(" "), F.lit(1)).alias("name")))
-    heads = lines.select(header.alias("h")).filter("h is not null").select("h.line", "h.name").orderBy("line").collect()  # one row for each chromosome
-    if not heads:
-        return spark.createDataFrame([], "chrom string, tile_start long, tile_end long, seq string")
-    table = F.array(*[F.struct(F.lit(r["line"]).alias("line"), F.lit(r["name"]).alias("name")) for r in heads])
-    owner = F.element_at(F.filter(table, lambda x: x["line"] <= F.col("line")), -1)
-    bases = lines.filter(~F.col("value").startswith(">")).withColumn("chrom", owner["name"]).select("chrom", "line", F.trim("value").alias("s"))
-    block = bases.withColumn("block", F.floor(F.col("line") / 4096))
-    sizes = block.groupBy("chrom", "block").agg(F.sum(F.length("s")).alias("n"))
-    before = sizes.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("chrom").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    within = F.coalesce(F.sum(F.length("s")).over(W.partitionBy("chrom", "block").orderBy("line").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = block.withColumn("_in", within).join(before, ["chrom", "block"]).select("chrom", (F.col("base") + F.col("_in")).alias("at"), "s").filter(F.length("s") > 0)
-    cut = placed.withColumn("t", F.explode(F.sequence(F.floor(F.col("at") / tile), F.floor((F.col("at") + F.length("s") - 1) / tile))))
-    first = F.greatest(F.col("at"), F.col("t") * tile)
-    piece = F.substr("s", (first - F.col("at") + 1).cast("int"), (F.least(F.col("at") + F.length("s"), (F.col("t") + 1) * tile) - first).cast("int"))
-    return cut.groupBy("chrom", "t").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(first.alias("at"), piece.alias("p")))), lambda x: x["p"]), "").alias("seq")).select(
-        "chrom", (F.col("t") * tile).alias("tile_start"), (F.col("t") * tile + F.length("seq")).alias("tile_end"), "seq"
-    )
+    block = ["_file", "_block"]
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), F.rtrim("value").alias("value")
+    )
+    is_head = F.col("value").startswith(">")
+    name = F.when(is_head, F.regexp_extract("value", r"^>\s*(\S*)", 1))
+    here = W.partitionBy(*block).orderBy("_line")
+    lines = lines.withColumns({"_name": F.last(name, ignorenulls=True).over(here), "_heads": F.sum(is_head.cast("long")).over(here), "_n": F.when(is_head, 0).otherwise(F.length("value"))})
+    record = W.partitionBy(*block, "_heads").orderBy("_line").rowsBetween(W.unboundedPreceding, -1)
+    placed = lines.withColumn("_in", F.coalesce(F.sum("_n").over(record), F.lit(0)))
+    ends = lines.groupBy(*block).agg(F.max("_heads").alias("_heads"), F.max_by("_name", "_line").alias("_name"))
+    tails = lines.groupBy(*block, "_heads").agg(F.sum("_n").alias("_tail")).join(ends, [*block, "_heads"])  # a row for each split
+    along = W.partitionBy("_file").orderBy("_block")
+    tails = tails.withColumn("_run", F.sum((F.col("_heads") > 0).cast("long")).over(along))
+    tails = tails.withColumn("_open", F.sum("_tail").over(W.partitionBy("_file", "_run").orderBy("_block"))).withColumn("_owner", F.last("_name", ignorenulls=True).over(along))
+    carried = tails.select(*block, F.lag("_open").over(along).alias("_open"), F.lag("_owner").over(along).alias("_owner"))
+    first = F.col("_heads") == 0
+    out = placed.filter(~is_head & (F.col("_n") > 0)).join(carried, block)
+    return out.select(F.when(first, F.col("_owner")).otherwise(F.col("_name")).alias("chrom"), (F.col("_in") + F.when(first, F.coalesce("_open", F.lit(0))).otherwise(0)).alias("at"), F.col("value").alias("seq"))
+
+
+def read_fasta(spark: SparkSession, path: str, tile: int = 1_000_000, slop: int = 0) -> DataFrame:
+    """(chrom, tile_start, tile_end, seq_start, seq): FASTA files as tiles that each own [tile_start, tile_end) and hold slop
+    bases more on both sides, as far as the chromosome goes.
+
+    A line is cut where it crosses the border of what a tile holds, so that no task ever holds a whole chromosome. Bases
+    before a file's first header are left out.
+    """
+    lines = fasta_lines(spark, path).filter("chrom is not null")
+    end = F.col("at") + F.length("seq")
+    t = F.explode(F.sequence(F.greatest(F.floor((F.col("at") - slop) / tile), F.lit(0)), F.floor((end - 1 + slop) / tile)))
+    cut = lines.withColumn("t", t)
+    lo, hi = F.col("t") * tile - slop, (F.col("t") + 1) * tile + slop
+    first, last = F.greatest(F.col("at"), lo), F.least(end, hi)
+    piece = F.substr("seq", (first - F.col("at") + 1).cast("int"), (last - first).cast("int"))
+    found = cut.groupBy("chrom", "t").agg(F.array_sort(F.collect_list(F.struct(first.alias("at"), piece.alias("p")))).alias("pieces"))
+    seq = F.array_join(F.transform("pieces", lambda x: x["p"]), "")
+    begin = F.get("pieces", F.lit(0))["at"]
+    tiles = found.select("chrom", (F.col("t") * tile).alias("tile_start"), begin.alias("seq_start"), seq.alias("seq"))
+    stop = F.least(F.col("tile_start") + tile, F.col("seq_start") + F.length("seq"))
+    # past the chromosome's end there is slop only
+    return tiles.select("chrom", "tile_start", stop.alias("tile_end"), "seq_start", "seq").filter("tile_end > tile_start")
 
 
 def read_motifs(spark: SparkSession, path: str) -> DataFrame:
