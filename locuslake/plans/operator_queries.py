@@ -9,7 +9,7 @@ from locuslake.operators.ordered import ordinals
 from locuslake.plans import rows as P
 from locuslake.plans.more_queries import scratch
 from locuslake.plans.queries import _ISLANDS, _SEQ, query, r6, seqs
-from locuslake.sources import files
+from locuslake.sources import blob_source, files
 
 # --- stores and matrices -----------------------------------------------------------------------------------------------
 
@@ -136,6 +136,23 @@ def u5(t):
     return files.read_source(t.spark, "prefixed", rows=t.v_cov, prefix="p")
 
 
+@query("u5_blob_source", "SELECT 'cov' AS prefix, chrom, bin, row_id, CAST(value AS DOUBLE) AS value FROM v_cov")
+def u5b(t):
+    """All coverage written as blobs and read through the data source."""
+    path = scratch(t, "blobs")
+    blob_source.write_blobs(t.v_cov, path, "cov", 100, 500, 6)
+    return blob_source.read_blobs(t.spark, path, "cov", 100).drop("region")
+
+
+@query("s3b_blob_regions", "SELECT concat(chrom, ':', bin // 500 * 50000, '-', (bin // 500 + 1) * 50000) AS region, count(*) AS n, CAST(sum(value) AS DOUBLE) AS total FROM v_cov WHERE chrom = 'chr2' OR (chrom = 'chr5' AND bin < 500) GROUP BY 1")
+def s3b(t):
+    """Blobs of one chromosome and of one region alone."""
+    path = scratch(t, "blobs")
+    blob_source.write_blobs(t.v_cov, path, "cov", 100, 500, 6)
+    wanted = blob_source.read_blobs(t.spark, path, "cov", 100).filter("chrom = 'chr2'").unionByName(blob_source.read_blobs(t.spark, path, "cov", 100).filter("region = 'chr5:0-50000'"))
+    return wanted.groupBy("region").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
 # --- covers, draws, features -----------------------------------------------------------------------------------------
 
 _COVER = """, r AS (SELECT *, row_number() OVER (PARTITION BY chrom, cluster ORDER BY st, en) AS k FROM c),
