@@ -299,7 +299,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         # ids travel as text: pandas would turn a column of numbers with a null among them into floats
         part = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text")).mapInPandas(search, f"doc_id string, {LEAK}")
         found = part if found is None else found.union(part)
-    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
 
 
 def leak_test(index: Index) -> Callable[[Column], Column]:

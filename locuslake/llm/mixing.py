@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locuslake.llm.shared import attach, null_safe, park, ranks, sorted_parts, starts, unit_hash, word_count
+from locuslake.llm.shared import attach, null_safe, park, ranks, row_hash, sorted_parts, starts, unit_hash, word_count
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -111,7 +111,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """
     own = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), null_safe(F.col(source)).alias("key"),
-        unit_hash(seed, F.col(doc_id).cast("string"), F.xxhash64(text)).alias("at"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("tie"),
+        unit_hash(seed, F.col(doc_id).cast("string"), F.xxhash64(text)).alias("at"), row_hash(docs).alias("tie"),
     )
     own = park(own)
     classes = park(own.groupBy("key", "size").agg(F.first("source").alias("source"), F.count("*").alias("n")))
@@ -136,7 +136,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     taken = mix(docs, doc_id, text, source, weights, budget, cap, seed).groupBy("doc_id", "tie").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows"))
     taken = park(taken.withColumnsRenamed({"doc_id": "taken_id", "tie": "taken_tie"}))
     # wholly repeated rows are interchangeable: one of them stands for all, with their copies added up
-    rows = docs.dropDuplicates() if taken.filter("rows > 1").limit(1).count() else docs
-    rows = rows.select(F.col(doc_id).alias("own_id"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("own_tie"), F.struct("*").alias("row"))
+    rows = docs.select(F.col(doc_id).alias("own_id"), row_hash(docs).alias("own_tie"), F.struct("*").alias("row"))
+    rows = rows.dropDuplicates(["own_id", "own_tie"]) if taken.filter("rows > 1").limit(1).count() else rows
     joined = rows.join(taken.filter("copies > 0"), F.col("own_id").eqNullSafe(F.col("taken_id")) & (F.col("own_tie") == F.col("taken_tie")))
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

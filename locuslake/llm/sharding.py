@@ -1,9 +1,9 @@
 """Proportional stratified interleaving of a corpus into shards.
 
-Within each source the rows are put in a seeded random order; a row's fractional rank is (rank - 1/2) / n.
-Sorting all rows by fractional rank spreads every source evenly over the whole order, so that cutting the
-order into equal runs gives shards that each hold the mixture. The law that holds is `rows`: shard sizes
-differ by one row at most.
+Within each source the rows are put in a seeded random order; a row's fractional rank is (rank - 1 + phase) / n, with a
+phase in [0, 1) for each source, a seeded hash of its name. Sorting all rows by fractional rank spreads every source
+evenly over the whole order, and sources with the same few rows over all of it, so that cutting the order into equal runs
+gives shards that each hold the mixture. The law that holds is `rows`: shard sizes differ by one row at most.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locuslake.llm.shared import attach, null_safe, park, ranks, unit_hash
+from locuslake.llm.shared import attach, named, null_safe, park, ranks, unit_hash
 
 SHARDS = 40
 SEED = 3
@@ -43,13 +43,13 @@ def interleave(rows: DataFrame, source: str, keys: list[str], shards: int = SHAR
     """
     kept = [c for c in rows.columns if c not in ("shard", "slot")]
     inner = rows.select(
-        F.struct(*[F.col(c) for c in kept]).alias("_row"), null_safe(F.col(source)).alias("_source"),
+        F.struct(*map(named, kept)).alias("_row"), null_safe(F.col(source)).alias("_source"),
         unit_hash(seed, *[F.col(k) for k in keys]).alias("_at"), F.xxhash64(*[F.col(k) for k in keys]).alias("_tie"),
     )
     counts = park(inner.groupBy("_source").agg(F.count("*").alias("_n")))
     total = inner.count()
     placed = attach(ranks(inner, ["_source"], "_at", ["_tie"], "_rank"), counts, ["_source"], "_n", total, "_at")
-    placed = placed.withColumn("_fraction", (F.col("_rank") - 0.5) / F.col("_n")).drop("_n", "_rank")
+    placed = placed.withColumn("_fraction", (F.col("_rank") - 1 + unit_hash(seed + 1, F.col("_source"))) / F.col("_n")).drop("_n", "_rank")
     placed = park(placed)
     shard, slot = cut(F.col("_position") - 1, total, shards)
     return ranks(placed, [], "_fraction", ["_source", "_at", "_tie"], "_position").select("_row.*", shard.alias("shard"), slot.alias("slot"))

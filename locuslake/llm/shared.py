@@ -33,6 +33,16 @@ def park(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def named(column: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
+def row_hash(frame: DataFrame) -> Column:
+    """A hash of a whole row; maps, which have no hash, count by their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(named(f.name))) if "map<" in f.dataType.simpleString() else named(f.name) for f in frame.schema.fields])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -75,7 +85,7 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total
     cold = packed.filter("not _is_hot").select(*keys, F.col("_own").alias("_cold"), F.least(F.col("_own")[count], F.lit(-1)).cast("long").alias("_salt"))
     flagged = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.floor(F.col(salt) * 4096)).otherwise(-1))
     found = flagged.join(cold, [*keys, "_salt"], "left").withColumn("_own", F.coalesce("_hot", "_cold"))
-    return found.select(*[F.col(c) for c in rows.columns], *[F.col(f"_own.{c}").alias(c) for c in own])
+    return found.select(*map(named, rows.columns), *[F.col(f"_own.{c}").alias(c) for c in own])
 
 
 def starts(counts: DataFrame, group: list[str], order: str, n: str, out: str, run: int = 64) -> DataFrame:

@@ -27,7 +27,7 @@ def odd(spark):
         from pyspark.sql import functions as F
 
         df = df.withColumn(c, F.lit("x"))
-    return df
+    return df.withColumns({"a.b": F.lit(1), "a": F.struct(F.lit(2).alias("b")), "m": F.create_map(F.lit("k"), F.lit("v")), "m`s": F.array(F.create_map(F.lit(1), F.lit(2)))})
 
 
 @pytest.fixture(scope="session")

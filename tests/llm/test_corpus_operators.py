@@ -46,6 +46,39 @@ def test_shard_edge_cases(spark, odd, empty):
     assert sharding.mixture(got, "source").count() > 0
 
 
+def test_small_sources_reach_all_shards(spark):
+    """2000 sources of one row and 200 of two beside a large one: every shard holds its share of each kind."""
+    rows = [(k, "large") for k in range(2000)] + [(2000 + k, f"s{k}") for k in range(2000)] + [(4000 + k, f"t{k // 2}") for k in range(400)]
+    got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, source string"), "source", ["doc_id"], 40).collect()
+    for kind, share in (("l", 50), ("s", 50), ("t", 10)):
+        n = Counter(r["shard"] for r in got if r["source"][0] == kind)
+        assert len(n) == 40 and max(abs(n[k] - share) for k in range(40)) <= 4.5 * share**0.5, kind
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(k, j) for k in range(40) for j in range(110)]
+
+
+def test_shards_are_cuts_of_the_fractional_order(spark, docs):
+    """The method over again in plain Python, from the hashes alone."""
+    from locuslake.llm.shared import null_safe, unit_hash
+
+    own = docs.select("doc_id", "source", unit_hash(3, F.col("doc_id")).alias("at"), unit_hash(4, null_safe(F.col("source"))).alias("phase")).collect()
+    order = []
+    for source in {r["source"] for r in own}:
+        rows = sorted((r for r in own if r["source"] == source), key=lambda r: r["at"])
+        order += [((k + r["phase"]) / len(rows), r["doc_id"]) for k, r in enumerate(rows)]
+    order, n = [i for _, i in sorted(order)], len(own)
+    sizes = [n // 7 + (k < n % 7) for k in range(7)]
+    want = {i: (k, j) for k in range(7) for j, i in enumerate(order[sum(sizes[:k]) : sum(sizes[: k + 1])])}
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.interleave(docs.select("doc_id", "source"), "source", ["doc_id"], 7).collect()}
+    assert got == want
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("doc-a", "what is the capital of the old northern kingdom on the river. it is the city of stone and glass by the sea."), ("doc-b", "nothing of it")], "doc_id string, text string")
+    items = docs.filter("doc_id = 'doc-a'").select(F.lit(1).cast("long").alias("item_id"), "text")
+    got = decontaminate.leaks(docs, items).collect()
+    assert [r["doc_id"] for r in got] == ["doc-a"]
+
+
 def test_targets_against_refilling(spark):
     sizes = [("a", 100), ("b", 10), ("c", 1000), (None, 50), ("d", 5)]
     df = spark.createDataFrame([("n" if s is None else f"s{s}", s, n) for s, n in sizes], "key string, source string, source_size long")
