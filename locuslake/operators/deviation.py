@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuslake.functions.sequences import base_counts
 from locuslake.operators.checks import small
 from locuslake.operators.sampling import uniform
+from locuslake.sources.store import park
 
 
 def composition(seqs: DataFrame, key: str, seq: str) -> DataFrame:
@@ -27,6 +33,10 @@ def expected_counts(counts: DataFrame) -> DataFrame:
     return cells.crossJoin(F.broadcast(total)).join(features, F.lit(True)).select("cell", "feature", (F.col("c") * F.col("f") / F.col("t")).alias("expected"))
 
 
+#: Most cells, features and motifs of a tile, and tiles' rows handed to Python at once (some hundred kilobytes each).
+CELLS, FEATURES, MOTIFS, TILES_AT_ONCE = 4096, 1024, 16, 32
+
+
 def deviations(counts: DataFrame, matches: DataFrame, background: DataFrame) -> DataFrame:
     """(cell, motif, z): how far a cell's counts in a motif's peaks exceed those in background peaks.
 
@@ -34,35 +44,128 @@ def deviations(counts: DataFrame, matches: DataFrame, background: DataFrame) ->
     (observed - expected) / expected, 0 without expectation; z subtracts the mean of the background's scores and
     divides by their population deviation; with no deviation (under 1e-7) it is 0 for a difference of 0, else null.
 
-    A cell without counts in a set scores -1 there, so that only observed (cell, motif, iter) are rows: mean and
-    deviation come from their sums and from how many iterations saw nothing. The only product formed is the result's
-    own, of cells and motifs.
+    Observed counts are a product of sparse matrices: cells by features times features by sets, a set being a motif and
+    an iteration. It is made in blocks: a task has some cells and some motifs, gets the blocks of both matrices feature
+    block by feature block, and keeps its sums, so that neither counts nor products are repeated for each set in any
+    shuffle. Rows that are shuffled are the entries of both matrices, and their blocks once for each task that needs them.
     """
-    cells = counts.groupBy("cell").agg(F.sum("n").alias("c"))
-    totals = counts.groupBy("feature").agg(F.sum("n").alias("f"))
-    all_counts = counts.agg(F.sum("n").alias("t"))
-    drawn = matches.join(background, "feature").select("motif", "iter", F.col("bg_feature").alias("feature"))
-    sets = matches.select("motif", F.lit(-1).alias("iter"), "feature").unionByName(drawn).groupBy("motif", "iter", "feature").agg(F.count("*").alias("times"))
-    of_set = sets.join(totals, "feature", "left").groupBy("motif", "iter").agg(F.sum(F.col("times") * F.coalesce("f", F.lit(0))).alias("set_total"))
-    bg = F.col("iter") >= 0
-    of_motif = of_set.groupBy("motif").agg(
-        F.count(F.when(bg, 1)).alias("n_bg"), F.count(F.when(bg & (F.col("set_total") > 0), 1)).alias("n_live"), F.max(F.when(~bg, F.col("set_total"))).alias("own_total")
-    )
-    seen = sets.join(counts, "feature").groupBy("cell", "motif", "iter").agg(F.sum(F.col("times") * F.col("n")).alias("obs"))
-    sized = cells.crossJoin(F.broadcast(all_counts))  # the total is one row
-    scored = seen.join(of_set, ["motif", "iter"]).join(sized, "cell").withColumn("exp", F.col("c") * F.col("set_total") / F.col("t")).withColumn("d", (F.col("obs") - F.col("exp")) / F.col("exp"))
-    sums = scored.groupBy("cell", "motif").agg(
-        F.max(F.when(~bg, F.col("d"))).alias("own"), F.coalesce(F.sum(F.when(bg, F.col("d"))), F.lit(0.0)).alias("s1"),
-        F.coalesce(F.sum(F.when(bg, F.col("d") * F.col("d"))), F.lit(0.0)).alias("s2"), F.count(F.when(bg, 1)).alias("n_seen"),
-    )
-    grid = cells.select("cell").crossJoin(of_motif).join(sums, ["cell", "motif"], "left")
-    unseen = F.col("n_live") - F.coalesce("n_seen", F.lit(0))
-    own = F.coalesce("own", F.when(F.col("own_total") > 0, F.lit(-1.0)).otherwise(0.0))
-    mean = F.try_divide(F.coalesce("s1", F.lit(0.0)) - unseen, F.col("n_bg"))
-    square = F.try_divide(F.coalesce("s2", F.lit(0.0)) + unseen, F.col("n_bg"))
-    spread = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
-    diff = own - mean
-    return grid.select("cell", "motif", F.when(spread > 1e-7, diff / spread).when(F.abs(diff) < 1e-7, 0.0).alias("z"))
+    spark = counts.sparkSession
+    counts = counts.filter("cell is not null and feature is not null").groupBy("cell", "feature").agg(F.sum("n").cast("double").alias("n"))
+    counts = park(counts, "counts")
+    size = counts.agg(F.approx_count_distinct("cell").alias("cells"), F.approx_count_distinct("feature").alias("features"), F.sum("n").alias("all")).first()
+    # features outside the counts stand in sets, too
+    n_motifs, iterations = matches.agg(F.approx_count_distinct("motif")).first()[0], (background.agg(F.max("iter")).first()[0] or 0) + 1
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_cells = max(1, -(-size["cells"] // CELLS), min(tasks, size["cells"] // 64))
+    n_features, n_motif_blocks = max(1, -(-size["features"] // FEATURES)), max(1, -(-n_motifs // MOTIFS))
+    block = lambda c, n, name: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias(name)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+
+    own = matches.select("motif", F.lit(0).alias("set"), "feature")
+    drawn = matches.join(background, "feature").select("motif", (F.col("iter") + 1).cast("int").alias("set"), F.col("bg_feature").alias("feature"))
+    entry = F.struct("feature", "motif", "set")
+    sets = own.unionByName(drawn).groupBy(block("feature", n_features, "fb"), block("motif", n_motif_blocks, "mb")).agg(F.collect_list(entry).alias("x"))
+    sets = sets.select(every(n_cells, "cb"), "mb", "fb", F.lit(2).alias("kind"), F.col("x.feature").alias("feature"), F.col("x.motif").alias("motif"), F.col("x.set").alias("set"))
+    totals = counts.groupBy("feature").agg(F.sum("n").alias("n")).groupBy(block("feature", n_features, "fb")).agg(F.collect_list(F.struct("feature", "n")).alias("x"))
+    totals = totals.select(every(n_cells, "cb"), "fb", "x").select("cb", every(n_motif_blocks, "mb"), "fb", F.lit(1).alias("kind"), F.col("x.feature").alias("feature"), F.col("x.n").alias("n"))
+    cells = counts.groupBy("cell").agg(F.sum("n").alias("n")).groupBy(block("cell", n_cells, "cb")).agg(F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("x"))
+    cells = cells.select("cb", every(n_motif_blocks, "mb"), F.lit(-1).alias("fb"), F.lit(0).alias("kind"), F.col("x.cell").alias("cell"), F.col("x.n").alias("n"))
+    tiles = counts.groupBy(block("cell", n_cells, "cb"), block("feature", n_features, "fb")).agg(F.collect_list(F.struct("cell", "feature", "n")).alias("x"))
+    tiles = tiles.select("cb", every(n_motif_blocks, "mb"), "fb", F.lit(3).alias("kind"), F.col("x.cell").alias("cell"), F.col("x.feature").alias("feature"), F.col("x.n").alias("n"))
+    parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [cells, totals, sets, tiles])
+    parts = parts.repartition(4 * min(tasks, n_cells * n_motif_blocks), "cb", "mb").sortWithinPartitions("cb", "mb", "fb", "kind")
+    schema = f"cell {dict(counts.dtypes)['cell']}, motif {dict(matches.dtypes)['motif']}, z double"
+    scored = parts.select("cb", "mb", "kind", "cell", "feature", "motif", "set", "n").mapInPandas(_scorer(iterations + 1, size["all"] or 0.0), schema)
+    with batches_of(spark, TILES_AT_ONCE):
+        return park(scored, "deviations")
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Within it Python tasks get so many rows at once; for rows that hold whole blocks. Results must be stored inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class _Sums:
+    """What a task adds up for its cells: for each motif the counts of cells in sets, the sets' totals, and which sets there are."""
+
+    def __init__(self, cells: np.ndarray, totals: np.ndarray, n_sets: int):
+        self.cells, self.totals, self.n_sets = cells, totals, n_sets
+        self.observed: dict = {}
+        self.set_totals: dict = {}
+        self.present: dict = {}
+        self.features, self.weights = np.empty(0), {}
+
+    def open_block(self, features: np.ndarray, n: np.ndarray) -> None:
+        order = np.argsort(features)
+        self.features, self.feature_totals, self.weights = features[order], n[order], {}
+
+    def add_sets(self, features: np.ndarray, motifs: np.ndarray, sets: np.ndarray) -> None:
+        at = np.minimum(np.searchsorted(self.features, features), max(len(self.features) - 1, 0))
+        counted = self.features[at] == features if len(self.features) else np.zeros(len(features), bool)
+        for motif in dict.fromkeys(motifs.tolist()):
+            own = motifs == motif
+            if motif not in self.observed:
+                self.observed[motif] = np.zeros((len(self.cells), self.n_sets))
+                self.set_totals[motif], self.present[motif] = np.zeros(self.n_sets), np.zeros(self.n_sets, bool)
+            self.present[motif][sets[own]] = True
+            own &= counted
+            weights = np.bincount(at[own] * self.n_sets + sets[own], minlength=len(self.features) * self.n_sets).reshape(-1, self.n_sets).astype(float)
+            self.weights[motif] = weights
+            self.set_totals[motif] += self.feature_totals @ weights
+
+    def add_counts(self, cells: np.ndarray, features: np.ndarray, n: np.ndarray) -> None:
+        order = np.argsort(cells, kind="stable")
+        row, at, n = np.searchsorted(self.cells, cells[order]), np.searchsorted(self.features, features[order]), n[order]
+        for k in range(0, len(n), 4096):
+            r, a, v = row[k : k + 4096], at[k : k + 4096], n[k : k + 4096, None]
+            starts = np.flatnonzero(np.diff(r, prepend=-1))
+            for motif, weights in self.weights.items():
+                self.observed[motif][r[starts]] += np.add.reduceat(weights[a] * v, starts)
+
+    def scores(self, all_counts: float) -> Iterator[pd.DataFrame]:
+        for motif, observed in self.observed.items():
+            expected = self.totals[:, None] * self.set_totals[motif] / all_counts
+            with np.errstate(divide="ignore", invalid="ignore"):
+                d = np.where(expected > 0, (observed - expected) / expected, 0.0)
+                drawn = d[:, 1:][:, self.present[motif][1:]]
+                diff = d[:, 0] - (drawn.mean(1) if drawn.shape[1] else np.nan)
+                spread = drawn.std(1) if drawn.shape[1] else np.zeros(len(d))
+                z = np.where(spread > 1e-7, diff / spread, np.where(np.abs(diff) < 1e-7, 0.0, np.nan))
+            yield pd.DataFrame({"cell": self.cells, "motif": motif, "z": pd.array(z, "Float64")})
+
+
+def _scorer(n_sets: int, all_counts: float):
+    """The task: blocks in the order of cells, then for each feature block its totals, sets and counts."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, sums = None, None
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if at != (row.cb, row.mb):
+                    if sums is not None:
+                        yield from sums.scores(all_counts)
+                    at, sums = (row.cb, row.mb), None
+                if row.kind == 0:
+                    sums = _Sums(np.asarray(row.cell), np.asarray(row.n), n_sets)
+                elif sums is None:
+                    continue  # no cell has this block
+                elif row.kind == 1:
+                    sums.open_block(np.asarray(row.feature), np.asarray(row.n))
+                elif row.kind == 2:
+                    sums.add_sets(np.asarray(row.feature), np.asarray(row.motif), np.asarray(row.set))
+                else:
+                    sums.add_counts(np.asarray(row.cell), np.asarray(row.feature), np.asarray(row.n))
+        if sums is not None:
+            yield from sums.scores(all_counts)
+
+    return score
 
 
 def whiten(peaks: DataFrame, x: str, y: str) -> DataFrame:
