@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuslake.operators.checks import small
-from locuslake.operators.intervals import BIN, densify, overlap
+from locuslake.operators.intervals import BIN, densify, fitting_width, overlap
 from locuslake.operators.ordered import ordinals
 
 
@@ -64,18 +64,20 @@ def normalize(merged: DataFrame, depths: DataFrame, group: str = "pid") -> DataF
     return merged.join(depths.select(group, "cov_scale"), group).withColumn("value", F.col("value") / F.pow(F.lit(2.0), F.col("cov_scale"))).drop("cov_scale")
 
 
-def region_totals(regions: DataFrame, points: DataFrame, keys: list[str], pos: str = "pos", value: str = "n", width: int = BIN) -> DataFrame:
-    """Sum of point values inside each region, per keys (columns of either side)."""
+def region_totals(regions: DataFrame, points: DataFrame, keys: list[str], pos: str = "pos", value: str = "n", width: int | None = None) -> DataFrame:
+    """Sum of point values inside each region, per keys (columns of either side). width: by default from the regions' lengths."""
+    width = width or fitting_width(regions)
     p = points.withColumn("start", F.col(pos)).withColumn("end", F.col(pos) + 1)
     return overlap(regions, p, width, "_p").groupBy(*keys).agg(F.sum(f"{value}_p").alias("value"))
 
 
-def region_query(regions: DataFrame, coverage: DataFrame, members: DataFrame, resolution: int, region_bins: int, dense: bool = False, width: int = BIN) -> DataFrame:
+def region_query(regions: DataFrame, coverage: DataFrame, members: DataFrame, resolution: int, region_bins: int, dense: bool = False, width: int | None = None) -> DataFrame:
     """(name, pid, bin, value): the coverage of each region for each group, bins relative to the region.
 
     coverage: chrom, bin, row_id, value, at the resolution; only chromosomes of the regions are read.
     """
-    part = coverage.join(F.broadcast(regions.select("chrom").distinct()), "chrom", "left_semi")  # one row for each chromosome; prunes partitions
+    width = width or fitting_width(regions, resolution)
+    part = coverage.join(small(regions.select("chrom").distinct()), "chrom", "left_semi")  # prunes partitions
     spans = part.withColumn("start", F.col("bin") * resolution).withColumn("end", (F.col("bin") + 1) * resolution)
     hits = overlap(spans, regions, width, "_r").select(F.col("name_r").alias("name"), "row_id", (F.col("bin") - F.floor(F.col("start_r") / resolution)).alias("bin"), "value")
     out = merge_rows(hits, members, ["name", "bin"])

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuslake.operators.ordered import quantiles
+from locuslake.sources.store import park
 
 EPS = 1e-7
 
@@ -43,16 +44,16 @@ def sparse_pearson(signal: DataFrame, keys: list[str], n: Column, eps: float = E
 def multi_level_stats(signal: DataFrame, peak: str = "peak", sample: str = "pid", levels: int = 5) -> DataFrame:
     """(level, metric, mean, std, n): correlation and R2 along samples ('profile') and along peaks ('sample'), over
     peaks of at least each quantile class of their deviation across samples."""
-    spread = signal.groupBy(peak).agg(F.stddev_samp("ytrue").alias("_std"))
-    edges = spread.agg(F.percentile("_std", F.array(*[F.lit(k / levels) for k in range(1, levels)])).alias("e")).first()["e"] or []
-    level = sum(((F.col("_std") > F.lit(e)).cast("int") for e in edges), F.lit(0))
+    spread = park(signal.groupBy(peak).agg(F.stddev_samp("ytrue").alias("_std")), "spread")
+    edges = quantiles(spread, [], "_std", [k / levels for k in range(1, levels)]).first()
+    level = sum(((F.col("_std") > F.lit(e)).cast("int") for e in edges if e is not None), F.lit(0))
     rows = signal.join(spread.withColumn("_level", level).filter("_std is not null"), peak).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_level"))))
     out = None
     for name, key in (("profile", peak), ("sample", sample)):
         s = score_groups(rows, ["level", key])
-        for metric in ("corr", "r2"):
-            part = s.groupBy("level").agg(F.lit(f"{name}_{metric}").alias("metric"), F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std"), F.count(metric).alias("n"))
-            out = part if out is None else out.unionByName(part)
+        of = lambda m: F.struct(F.lit(f"{name}_{m}").alias("metric"), F.avg(m).alias("mean"), F.stddev_samp(m).alias("std"), F.count(m).alias("n"))  # noqa: B023, E731
+        part = s.groupBy("level").agg(F.array(of("corr"), of("r2")).alias("_m")).select("level", F.inline("_m"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

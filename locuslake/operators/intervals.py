@@ -22,6 +22,13 @@ def _bins(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor((end - 1) / width)))
 
 
+def fitting_width(regions: DataFrame, least: int = 64) -> int:
+    """A width of bins in which regions stand in one or two bins each and meet little beside what they hold: their mean
+    length, rounded up to a power of two, BIN at most."""
+    mean = regions.filter("end > start").agg(F.avg(F.col("end") - F.col("start"))).first()[0] or BIN
+    return min(BIN, max(least, 1 << (int(mean) - 1).bit_length()))
+
+
 def overlap(a: DataFrame, b: DataFrame, width: int = BIN, suffix: str = "_b", within: bool = False) -> DataFrame:
     """Pairs of overlapping intervals: a's columns, and b's with a suffix. Touching is not overlapping; empty
     intervals overlap nothing. within: only pairs where a lies inside b."""

@@ -13,6 +13,7 @@ from locuslake.functions import values as V
 from locuslake.operators import checks, coverage, deviation, evaluate, genome, grouping, intervals, motif, pseudobulk, sampling
 from locuslake.plans import rows as P
 from locuslake.plans import views
+from locuslake.sources.store import park
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -399,7 +400,7 @@ def a6(t):
 @query("a7_normalized", """WITH g AS (SELECT pid, chrom, bin, sum(value) AS v FROM v_cov JOIN v_members USING (row_id) GROUP BY 1, 2, 3), d AS (SELECT pid, sum(v) AS n FROM g GROUP BY 1)
 SELECT pid, chrom, bin, round(v / (n / 100000.0), 6) AS value FROM g JOIN d USING (pid)""")
 def a7(t):
-    m = coverage.merge_rows(t.v_cov, t.v_members, ["chrom", "bin"])
+    m = park(coverage.merge_rows(t.v_cov, t.v_members, ["chrom", "bin"]), "merged")
     return coverage.normalize(m, coverage.depth(m, 1e5)).withColumn("value", r6("value"))
 
 
@@ -756,10 +757,10 @@ def f12(t):
 @query("f4_fetch", f"""WITH s AS (SELECT doc_id, {_SEQ} AS s FROM documents) SELECT doc_id, concat(substr(s, CAST(length(s) // 3 + 1 AS INT)), 'NNNNN') AS seq FROM s WHERE length(s) > 0""")
 def f4(t):
     """Each sequence from its first third on, and five positions past its end."""
-    whole = seqs(t).filter(F.length("seq") > 0).withColumn("chrom", F.col("doc_id").cast("string"))
+    whole = park(seqs(t).filter(F.length("seq") > 0).withColumn("chrom", F.col("doc_id").cast("string")), "sequences")
     n = F.length("seq").cast("long")
     regions = whole.select("chrom", F.floor(n / 3).alias("start"), (n + 5).alias("end"), F.col("doc_id").alias("name"))
-    return genome.fetch(regions, genome.tile_sequence(whole, 512)).select(F.col("name").alias("doc_id"), "seq")
+    return genome.fetch(regions, genome.tile_sequence(whole, 2048), size=2048).select(F.col("name").alias("doc_id"), "seq")
 
 
 @query("a20_gc", f"""SELECT doc_id, length(s) - length(replace(s, 'A', '')) AS n_a, length(s) - length(replace(s, 'C', '')) AS n_c, length(s) - length(replace(s, 'G', '')) AS n_g, length(s) - length(replace(s, 'T', '')) AS n_t,
