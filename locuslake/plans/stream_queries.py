@@ -71,6 +71,12 @@ def t5a(spark, sf_dir):
     return run(spark, incremental.windowed(stream(spark, sf_dir, "events"), "1 hour"), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("t5_closed_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('hour', any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def t5d(spark, sf_dir):
+    """Append mode: the windows that the watermark has closed, each written once."""
+    return run(spark, incremental.windowed(stream(spark, sf_dir, "events"), "1 hour"), "append").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 @query("t5_sliding", "SELECT time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL (15 * k) MINUTE AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, (SELECT unnest(range(0, 4)) AS k) x GROUP BY 1, 2")
 def t5b(spark, sf_dir):
     return run(spark, incremental.windowed(stream(spark, sf_dir, "events"), "1 hour", "15 minutes"), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -23,20 +23,34 @@ def correlation(sums: DataFrame) -> DataFrame:
     return sums.withColumn("corr", c)
 
 
-def moving_state(stream: DataFrame, key: str, order: str, value: str, size: int = 100) -> DataFrame:
-    """(key, n, mean, std) of each key's last `size` values by order, after every batch. The state of a key is those values."""
+def moving_state(stream: DataFrame, key: str, order: str, value: str, size: int = 100, ts: str | None = None, expiry: str = "1 day") -> DataFrame:
+    """(key, n, mean, std) of each key's last `size` values by order, after every batch that has rows of the key.
+
+    The state of a key is those values. With an event time `ts` a key is forgotten once the watermark has passed its last
+    row by `expiry`, so that keys that stop leave nothing behind; rows later than that are dropped.
+    """
+    wait = int(pd.Timedelta(expiry).total_seconds() * 1000)
 
     def update(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, last = list(zip(*state.get[:2], strict=True)) if state.exists else [], state.get[2] if state.exists else 0
         for batch in batches:
-            held += list(zip(batch["order"].astype(float), batch["value"].astype(float), strict=True))
-        held = sorted(held)[-size:]
-        state.update(([x for x, _ in held], [x for _, x in held]))
+            # never more than what stays and one batch
+            held = sorted([*held, *zip(batch["order"].astype(float), batch["value"].astype(float), strict=True)])[-size:]
+            last = max(last, int(batch["ms"].max()))
+        if ts is not None:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + wait)
+        state.update(([x for x, _ in held], [x for _, x in held], last))
         v = pd.Series([x for _, x in held], dtype=float)
         yield pd.DataFrame({"key": [str(name[0])], "n": [len(v)], "mean": [v.mean()], "std": [v.std()]})
 
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(order).cast("double").alias("order"), F.col(value).cast("double").alias("value"))
-    return rows.groupBy("key").applyInPandasWithState(update, "key string, n long, mean double, std double", "orders array<double>, recent array<double>", "update", GroupStateTimeout.NoTimeout)
+    rows = stream if ts is None else stream.withWatermark(ts, expiry)
+    ms = F.lit(0).cast("long") if ts is None else F.unix_millis(F.col(ts))
+    rows = rows.select(F.col(key).cast("string").alias("key"), F.col(order).cast("double").alias("order"), F.col(value).cast("double").alias("value"), ms.alias("ms"), *([] if ts is None else [F.col(ts)]))
+    timeout = GroupStateTimeout.NoTimeout if ts is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("key").applyInPandasWithState(update, "key string, n long, mean double, std double", "orders array<double>, recent array<double>, last long", "update", timeout)
 
 
 def grow_store(stream: DataFrame, path: str, checkpoint: str, resolution: int):
@@ -73,7 +87,11 @@ def process_once(stream: DataFrame, key: list[str], path: str, checkpoint: str):
 
 
 def windowed(events: DataFrame, length: str, slide: str | None = None, delay: str = "10 minutes", key: str = "event_type") -> DataFrame:
-    """(start, key, n, total) per tumbling or sliding window; rows later than the delay are dropped in a stream."""
+    """(start, key, n, total) per tumbling or sliding window.
+
+    In a stream run in append mode a window is given out once, when the watermark (the latest ts so far less the delay) has
+    passed its end; its state is dropped then, and so are rows that come for it later. In complete mode all windows stay.
+    """
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
     rows = events.withWatermark("ts", delay) if events.isStreaming else events
     return rows.groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), key, "n", "total")
