@@ -80,14 +80,29 @@ def threshold(matrix: np.ndarray, p_value: float, background: tuple[float, float
     return float(at * unit + low.sum())
 
 
+def log_odds_rows(pwm: DataFrame, background: tuple[float, float, float, float] = (0.25,) * 4, pseudo: float = PSEUDO) -> DataFrame:
+    """(motif_id, pos, a, c, g, t): log_odds() of every position, as columns."""
+    total = F.col("a") + F.col("c") + F.col("g") + F.col("t") + pseudo
+    return pwm.select("motif_id", "pos", *[F.log2((F.col(x) + pseudo * b) / total / b).alias(x) for x, b in zip("acgt", background, strict=True)])
+
+
+def thresholds(pwm: DataFrame, p_value: float = 1e-4, background: tuple[float, float, float, float] = (0.25,) * 4) -> DataFrame:
+    """(motif_id, length, matrix, threshold): log-odds matrix (row by row) and threshold of each motif.
+
+    A motif's score distribution is a convolution in a task of its own; its group is its positions.
+    """
+
+    def model(rows: pd.DataFrame) -> pd.DataFrame:
+        m = log_odds(rows.sort_values("pos")[["a", "c", "g", "t"]].to_numpy(float), background)
+        return pd.DataFrame({"motif_id": [rows["motif_id"].iloc[0]], "length": [len(m)], "matrix": [m.ravel().tolist()], "threshold": [threshold(m, p_value, background)]})
+
+    return pwm.groupBy("motif_id").applyInPandas(model, f"motif_id {dict(pwm.dtypes)['motif_id']}, length int, matrix array<double>, threshold double")
+
+
 def models(pwm: DataFrame, p_value: float = 1e-4, background: tuple[float, float, float, float] = (0.25,) * 4) -> dict[str, tuple[np.ndarray, float]]:
-    """Log-odds matrix and threshold of each motif. A motif library is a small, fixed table."""
-    rows = pwm.orderBy("motif_id", "pos").toPandas()
-    out = {}
-    for name, part in rows.groupby("motif_id"):
-        m = log_odds(part[["a", "c", "g", "t"]].to_numpy(float), background)
-        out[name] = (m, threshold(m, p_value, background))
-    return out
+    """Log-odds matrix and threshold of each motif, as every task of a scan needs them: a motif library is a small table."""
+    found = thresholds(pwm, p_value, background).orderBy("motif_id").collect()
+    return {r["motif_id"]: (np.array(r["matrix"]).reshape(-1, 4), r["threshold"]) for r in found}
 
 
 _CODE = np.full(256, 4, np.uint8)
@@ -194,7 +209,7 @@ def by_cluster_and_sign(items: DataFrame, clusters: DataFrame, n: int, seed: int
 def hit_correlation(hits: DataFrame, values: DataFrame, pwm: DataFrame) -> DataFrame:
     """(hit, r): correlation of a hit's contributions (hit, pos, a, c, g, t) with its motif over all positions and
     bases, positions that a hit lacks counting 0; the minus strand is read reverse complemented, and the sign of the
-    hit's sum is taken off. hits: hit, motif_id, strand."""
+    hit's sum is taken off. hits: hit, motif_id, strand. Null where either side is the same everywhere."""
     size = pwm.groupBy("motif_id").agg(F.max("pos").alias("last"))
     h = hits.join(size, "motif_id").join(pwm, "motif_id")
     v = values.select("hit", F.col("pos").alias("vpos"), *[F.col(b).alias(f"v{b}") for b in "acgt"])
@@ -202,7 +217,10 @@ def hit_correlation(hits: DataFrame, values: DataFrame, pwm: DataFrame) -> DataF
     j = h.withColumn("vpos", at).join(v, ["hit", "vpos"], "left")
     pick = lambda plus, minus: F.coalesce(F.when(F.col("strand") == "-", F.col(f"v{minus}")).otherwise(F.col(f"v{plus}")), F.lit(0.0))
     cells = j.select("hit", F.explode(F.array(*[F.struct(F.col(p).alias("m"), pick(p, q).alias("x")) for p, q in zip("acgt", "tgca", strict=True)])).alias("c"))
-    return cells.groupBy("hit").agg((F.corr("c.m", "c.x") * F.signum(F.sum("c.x"))).alias("r"))
+    m, x = F.col("c.m"), F.col("c.x")
+    sums = cells.groupBy("hit").agg(F.covar_pop(m, x).alias("mx"), F.var_pop(m).alias("mm"), F.var_pop(x).alias("xx"), F.sum(x).alias("sum"))
+    even = (F.col("mm") < 1e-12) | (F.col("xx") < 1e-12)
+    return sums.select("hit", F.when(~even, F.col("mx") / F.sqrt(F.col("mm") * F.col("xx")) * F.signum("sum")).alias("r"))
 
 
 def seqlet_flanks(seqlets: DataFrame, parents: DataFrame, flank: int) -> DataFrame:

@@ -28,7 +28,8 @@ def even(seed: int, *keys: Column) -> Column:
 
 
 def shuffle(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    """rows in hash order of the key, the same for a seed wherever it is run."""
+    return rows.orderBy(hash_order(F.col(key), seed), key)
 
 
 def sample_n(rows: DataFrame, key: str, n: int, seed: int = 0, group: str | None = None) -> DataFrame:

@@ -134,15 +134,15 @@ def read_fasta(spark: SparkSession, path: str, tile: int = 1_000_000, slop: int
 
 
 def read_motifs(spark: SparkSession, path: str) -> DataFrame:
-    """(motif_id, name, pos, a, c, g, t) of a PFM text file: '>id name', then four rows of counts in order ACGT."""
-    text = "\n".join(r["value"] for r in spark.read.text(path).collect())  # a motif library is small
-    rows = []
-    for part in text.split(">")[1:]:
-        head, *body = part.strip().split("\n")
-        name = head.split()
-        matrix = [[float(x) for x in line.replace("[", " ").replace("]", " ").split() if x not in "ACGT"] for line in body if line.strip()]
-        rows += [(name[0], name[1] if len(name) > 1 else name[0], k, *map(float, column)) for k, column in enumerate(zip(*matrix, strict=True))]
-    return spark.createDataFrame(rows, "motif_id string, name string, pos int, a double, c double, g double, t double")
+    """(motif_id, name, pos, a, c, g, t) of PFM text files: '>id name', then four rows of counts in order ACGT, with or
+    without the base's letter and brackets. A record is a row, so that files of any number and size are read in parallel."""
+    records = spark.read.option("lineSep", ">").text(path).select(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines")).filter(F.size("lines") > 0)
+    head = F.split(F.trim(F.get("lines", F.lit(0))), r"\s+")
+    numbers = lambda k: F.regexp_extract_all(F.get("lines", F.lit(k)), F.lit(r"[-+]?[0-9][-+.eE0-9]*"), F.lit(0)).cast("array<double>")
+    rows = records.select(F.get(head, F.lit(0)).alias("motif_id"), F.coalesce(F.get(head, F.lit(1)), F.get(head, F.lit(0))).alias("name"), *[numbers(k + 1).alias(b) for k, b in enumerate("acgt")])
+    same = (F.size("a") == F.size("c")) & (F.size("a") == F.size("g")) & (F.size("a") == F.size("t"))
+    checked = rows.withColumn("a", F.when(same, F.col("a")).otherwise(F.raise_error(F.concat(F.lit("rows of unequal length in motif "), "motif_id")).cast("array<double>")))
+    return checked.select("motif_id", "name", F.posexplode(F.arrays_zip("a", "c", "g", "t")).alias("pos", "x")).select("motif_id", "name", "pos", "x.a", "x.c", "x.g", "x.t")
 
 
 def instances(hits: DataFrame, chrom: str, start: int, end: int, genes: list[str] | None = None) -> DataFrame:

@@ -25,4 +25,4 @@ def test_entry(spark):
     assert rows.count() > 0 and rows.columns == ["name", "pid", "value", "n_frags", "normalized"]
     if (ROOT / "locuslake" / "llm").exists():
         names = __spark_entry__.queries()
-        assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
+        assert "pipeline" in names and sum(n.startswith("op") for n in names) == 13

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from compare import compare
 
-from locuslake.plans import more_queries, operator_queries, queries, stream_queries  # noqa: F401
+from locuslake.plans import feature_queries, more_queries, operator_queries, queries, stream_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 QUERIES = {**queries.QUERIES, **stream_queries.QUERIES}
