@@ -17,6 +17,19 @@ from pyspark.sql import functions as F
 
 #: Identifier and pattern of known sentences, after normalisation, tried in this order.
 SENTENCES = [
+    ("negated", "(^| )(not|never|no longer) (be |been )?(licensed|released|distributed|available|covered) under"),
+    ("mitOrApacheRef", "under (either )?(the )?(terms of )?(either )?(of )?(the )?(mit( license)? or (the )?apache( software)?( license)?( version)?( 2 0)?|apache( software)?( license)?( version)?( 2 0)? or (the )?mit)"),
+    ("spdxMitOrApache", "spdx license identifier (mit or apache 2 0|apache 2 0 or mit)$"),
+    ("spdxGplClasspath", "spdx license identifier gpl 2 0 (only |or later )?with classpath exception 2 0$"),
+    ("spdxApacheLlvm", "spdx license identifier apache 2 0 with llvm exception$"),
+    ("mitTitle", "^(the )?mit license( mit)?$"),
+    ("mitPlain", "((licensed|released|distributed) under mit|(is|are) mit licensed)$"),
+    ("apacheTitle", "^apache license version 2 0 january 2004"),
+    ("gpl2Title", "^gnu general public license version 2 june 1991"),
+    ("gpl3Title", "^gnu general public license version 3 29 june 2007"),
+    ("lgplTitle", "^gnu lesser general public license version (2 1 february 1999|3 29 june 2007)"),
+    ("agplTitle", "^gnu affero general public license version 3 19 november 2007"),
+    ("mplTitle", "^mozilla public license version 2 0$"),
     ("mitGrant", "^permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mitNotice", "^the above copyright notice and this permission notice"),
     ("mitWarranty", "^the software is provided as is without warranty of any kind"),
@@ -30,6 +43,8 @@ SENTENCES = [
     ("apacheCopy", "^you may obtain a copy of the license at"),
     ("apacheWarranty", "^unless required by applicable law or agreed to in writing software"),
     ("apacheRef", "(licensed|released|distributed) under the (terms of the )?apache (software )?license version 2 0"),
+    ("gplFree2", "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation (either )?version 2 of the license"),
+    ("gplFree3", "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation (either )?version 3 of the license"),
     ("gplFree", "is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("gplWarranty", "^this program is distributed in the hope that it will be useful but without any warranty"),
     ("gplCopy", "^you should have received a copy of the gnu general public license"),
@@ -80,15 +95,24 @@ SENTENCES = [
 ]
 #: Licence rules in order; a rule is a run of identifiers.
 RULES = [
+    ("MIT", ["mitTitle", "copyright", "mitGrant", "mitNotice", "mitWarranty", "mitLiability"]),
     ("MIT", ["mitGrant", "mitNotice", "mitWarranty", "mitLiability"]),
     ("MIT", ["mitGrant", "mitNotice", "mitWarranty"]),
     ("BSD-3-Clause", ["bsdGrant", "bsdSource", "bsdBinary", "bsdEndorse", "bsdWarranty"]),
     ("BSD-2-Clause", ["bsdGrant", "bsdSource", "bsdBinary", "bsdWarranty"]),
     ("Apache-2.0", ["apacheGrant", "apacheCopy", "apacheWarranty"]),
+    ("GPL-2.0", ["gplFree", "gplFree2", "gplWarranty", "gplCopy"]),
+    ("GPL-3.0", ["gplFree", "gplFree3", "gplWarranty", "gplCopy"]),
+    ("GPL-2.0", ["gplFree2", "gplWarranty", "gplCopy"]),
+    ("GPL-3.0", ["gplFree3", "gplWarranty", "gplCopy"]),
     ("GPL", ["gplFree", "gplWarranty", "gplCopy"]),
     ("Zlib", ["zlibWarranty", "zlibLiability", "zlibGrant"]),
     ("ISC", ["iscGrant", "iscWarranty"]),
     ("0BSD", ["zeroBsdGrant", "iscWarranty"]),
+    ("GPL-2.0", ["gplFree", "gplFree2"]),
+    ("GPL-3.0", ["gplFree", "gplFree3"]),
+    ("GPL-2.0", ["gplFree2"]),
+    ("GPL-3.0", ["gplFree3"]),
     ("GPL", ["gplFree"]),
     ("LGPL", ["lgplFree"]),
     ("AGPL", ["agplFree"]),
@@ -129,6 +153,18 @@ RULES = [
     ("MIT", ["mitRef"]),
     ("BSD", ["bsdRef"]),
     ("All-Rights-Reserved", ["allRights"]),
+    ("Apache-2.0 OR MIT", ["mitOrApacheRef"]),
+    ("Apache-2.0 OR MIT", ["spdxMitOrApache"]),
+    ("GPL-2.0 WITH Classpath-exception-2.0", ["spdxGplClasspath"]),
+    ("Apache-2.0 WITH LLVM-exception", ["spdxApacheLlvm"]),
+    ("MIT", ["mitTitle"]),
+    ("MIT", ["mitPlain"]),
+    ("Apache-2.0", ["apacheTitle"]),
+    ("GPL-2.0", ["gpl2Title"]),
+    ("GPL-3.0", ["gpl3Title"]),
+    ("LGPL", ["lgplTitle"]),
+    ("AGPL", ["agplTitle"]),
+    ("MPL-2.0", ["mplTitle"]),
 ]
 #: Sentences with one of these look like licensing: they are 'unknown' where no known sentence matches.
 HINT = "(?i)licen[sc]e|permission|redistribut|copyright|warrant|liable|all rights reserved|free software|endorse"
@@ -221,7 +257,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """One row for each input row: doc_id, sentence_ids, licenses and n_unknown.
 
     sentence_ids: identifiers in order, joined by spaces. licenses: the licences found, sorted, each once,
-    joined by ' AND '; 'NONE' without any. n_unknown: license-like sentences that no known one matches. Null
+    joined by ' AND ', a choice between two as one name with ' OR '; 'NONE' without any. A sentence that denies a license gives none. n_unknown: license-like sentences that no known one matches. Null
     and empty texts have none of these; repeated rows get equal results; other columns are ignored; an empty table
     gives none. A text's sentences are held in one row, a few times its length.
     """

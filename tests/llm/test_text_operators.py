@@ -92,7 +92,7 @@ def test_whole_license_texts(spark):
     cc = ["Released under CC BY 4.0.", "Released under Creative Commons Attribution 4.0.", "Released under CC BY-NC 4.0.", "This work is released under a\nCreative Commons\nAttribution-ShareAlike 4.0 International text."]
     other = ["This is distributed under the\nMIT License.", "A is licensed under the MIT License\nB is licensed under the Apache License, Version 2.0", "A is under no terms\nCopyright (c) 2020 Some Body\nAll rights reserved."]
     whole = [MIT, BSD2, BSD3, APACHE, GPL]
-    names = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL"]
+    names = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0"]
     marked = ["\n".join(f" * {line}".rstrip() for line in x.split("\n")) for x in whole]
     texts = [*whole, *[x.upper() for x in whole], *marked, *[x.replace("\n", "\r\n") for x in whole], *cc, *other]
     got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
@@ -119,12 +119,28 @@ MPL = """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0."""
 
 
+def test_choices_denials_titles_and_expressions(spark):
+    cases = {
+        "Licensed under the MIT license or the Apache License, Version 2.0.": "Apache-2.0 OR MIT",
+        "Licensed under either of the Apache License, Version 2.0 or the MIT license at your option.": "Apache-2.0 OR MIT",
+        "This is not licensed under the MIT license.": "NONE", "It is no longer distributed under the Apache License, Version 2.0.": "NONE",
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0 OR MIT", "// SPDX-License-Identifier: (Apache-2.0 OR MIT)": "Apache-2.0 OR MIT",
+        "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": "GPL-2.0 WITH Classpath-exception-2.0", "SPDX-License-Identifier: MIT": "MIT",
+        "Licensed under MIT.": "MIT", "This project is MIT licensed.": "MIT", "MIT License": "MIT", "The MIT License (MIT)": "MIT",
+        "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS": "Apache-2.0",
+        "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Some Foundation\n Everyone is permitted to copy": "GPL-3.0",
+        GPL.replace("version 3", "version 2"): "GPL-2.0", GPL.replace("either version 3 of the License, or\n(at your option) any later version", "as given elsewhere"): "GPL",
+    }
+    got = licenses.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()
+    assert {list(cases)[r["doc_id"]]: r["licenses"] for r in got} == cases
+
+
 def test_licenses_against_containment(spark):
     """Whole texts put together at random, wrapped anew, marked and in capitals; what is found must be what was put in."""
     import textwrap
 
     r = random.Random(12)
-    whole = {"MIT": MIT, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "Apache-2.0": APACHE, "GPL": GPL, "ISC": ISC, "Zlib": ZLIB, "Unlicense": UNLICENSE, "MPL-2.0": MPL}
+    whole = {"MIT": MIT, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "Apache-2.0": APACHE, "GPL-3.0": GPL, "ISC": ISC, "Zlib": ZLIB, "Unlicense": UNLICENSE, "MPL-2.0": MPL}
     plain = lambda x: "".join(c if c.isalnum() else " " for c in x.lower()).split()
     texts = []
     for _ in range(120):
