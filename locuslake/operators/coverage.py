@@ -203,6 +203,23 @@ def in_row_order(rows: DataFrame, order: str = "row_order") -> DataFrame:
     return rows.orderBy(order).drop(order)
 
 
+def write_lookup(rows: DataFrame, path: str, table: str, key: str, buckets: int) -> None:
+    """Writes rows as an external table for lookups by key: dealt to buckets by the key and sorted by it in each, with bloom
+    filters, so that one key reads few row groups and a join on the key moves the other side only."""
+    n = rows.agg(F.approx_count_distinct(key)).first()[0]
+    (rows.repartition(buckets, key).write.mode("overwrite").option("path", path).option(f"parquet.bloom.filter.enabled#{key}", "true")
+        .option(f"parquet.bloom.filter.expected.ndv#{key}", str(max(1, n // buckets))).bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+
+
+def look_up(spark: SparkSession, table: str, wanted: DataFrame | list, key: str) -> DataFrame:
+    """The rows of a lookup table whose key is wanted, each once however often it is: a few keys as a filter that reaches row
+    groups' bloom filters and buckets, a table of keys by a join that deals only the keys to the table's buckets."""
+    store = spark.table(table)
+    if isinstance(wanted, list):
+        return store.filter(F.col(key).isin(wanted))
+    return store.join(wanted.select(key).distinct(), key, "left_semi")
+
+
 def by_expression(coverage: DataFrame, keys: list[str], cov_func: Column) -> DataFrame:
     """Aggregates coverage by keys with any aggregate expression."""
     return coverage.groupBy(*keys).agg(cov_func.alias("value"))

@@ -25,8 +25,18 @@ def scratch(t, name: str) -> str:
 
 @query("s5_region_lookup", "SELECT name, chrom, st, en FROM v_peak WHERE name IN (SELECT concat('p', l_partkey) FROM lineitem WHERE l_quantity >= 49)")
 def s5(t):
+    """Regions stored in buckets of their names, looked up by a table of names."""
     wanted = t.lineitem.filter("l_quantity >= 49").select(F.concat(F.lit("p"), "l_partkey").alias("name"))
-    return t.v_peak.join(wanted, "name", "left_semi").select("name", "chrom", "start", "end")
+    table = f"regions_{uuid.uuid4().hex}"
+    coverage.write_lookup(t.v_peak, scratch(t, "regions"), table, "name", 8)
+    return coverage.look_up(t.spark, table, wanted, "name").select("name", "chrom", "start", "end")
+
+
+@query("s5_point_lookup", "SELECT name, chrom, st, en FROM v_peak WHERE name IN ('p7', 'p19', 'p150')")
+def s5b(t):
+    table = f"regions_{uuid.uuid4().hex}"
+    coverage.write_lookup(t.v_peak, scratch(t, "regions"), table, "name", 8)
+    return coverage.look_up(t.spark, table, ["p7", "p19", "p150", "none"], "name").select("name", "chrom", "start", "end")
 
 
 @query("s6_store_round_trip", "SELECT chrom, bin, row_id, value FROM v_cov WHERE chrom IN ('chr1', 'chr4') AND bin >= 50")

@@ -77,3 +77,39 @@ def test_manifest_and_order(spark, tmp_path):
     assert [r["x"] for r in coverage.in_row_order(read.repartition(7, "k")).collect()] == list(range(500))
     places = coverage.manifest(spark, path, "x").filter("x in (3, 250, 499)")
     assert places.count() == 3 and sorted(r["x"] for r in coverage.rows_at(spark, path, places).collect()) == [3, 250, 499]
+
+
+def read_rows(frame) -> int:
+    """How many rows the scan of a frame gives out when it is run."""
+    plan = frame._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    return plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_lookups_read_little(spark, tmp_path):
+    """A join moves the keys only; one key reads one bucket, and of it the row groups that its bloom filters leave."""
+    rows = spark.range(20_000).select(F.format_string("n%05d", F.pmod(F.xxhash64("id"), F.lit(100_000))).alias("name"), "id").dropDuplicates(["name"])
+    n = rows.count()
+    coverage.write_lookup(rows, str(tmp_path / "t"), "lookup_test", "name", 4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wanted = rows.filter("id % 7 = 0").select("name").unionByName(rows.filter("id = 0").select("name"))
+        found = coverage.look_up(spark, "lookup_test", wanted, "name")
+        store = found._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[1].split("lookup_test")[0]
+        assert "Exchange" not in store and "Bucketed: true" in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == rows.filter("id % 7 = 0").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        name = rows.first()["name"]
+    one = coverage.look_up(spark, "lookup_test", [name], "name")
+    assert [r["name"] for r in one.collect()] == [name]
+    assert "EqualTo(name," in one._jdf.queryExecution().executedPlan().toString() and read_rows(one) < 0.6 * n
+    # unsorted, in small row groups: without bloom filters every group's range holds the name
+    path = str(tmp_path / "loose")
+    loose = rows.orderBy(F.xxhash64("name")).coalesce(1).write.option("parquet.block.size", 4096).option("parquet.page.row.count.limit", 100)
+    loose.option("parquet.bloom.filter.enabled#name", "true").option("parquet.bloom.filter.expected.ndv#name", 500).parquet(path)
+    scan = spark.read.parquet(path).filter(F.col("name") == name)
+    assert scan.count() == 1
+    assert read_rows(scan) < n / 4
+    spark.sql("DROP TABLE lookup_test")
