@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from locuslake.operators import genome, masks, motif, sampling
+from locuslake.operators import coverage, genome, intervals, masks, motif, sampling
 from locuslake.operators.ordered import ordinals
-from locuslake.plans.more_queries import scratch
+from locuslake.plans import rows as P
+from locuslake.plans.more_queries import dealt_genome, scratch
 from locuslake.plans.operator_queries import _PWM, pwm_rows
 from locuslake.plans.queries import _SEQ, query, r6, seqs
 from locuslake.sources import files
@@ -100,3 +101,28 @@ def a46(t):
     values = w.select("hit", "pos", (s % 11 - 5.0).alias("a"), (s % 7 - 3.0).alias("c"), (q % 5 - 2.0).alias("g"), (q % 3 - 1.0).alias("t"))
     hits = w.select("hit").distinct().select("hit", F.col("hit").alias("motif_id"), F.when(F.col("hit") % 2 == 0, "-").otherwise("+").alias("strand"))
     return motif.hit_correlation(hits, values, pwm_rows(t)).select("hit", F.round("r", 5).alias("r"))
+
+
+@query("c8_multi_dataset_rows", """WITH d AS (SELECT * FROM (VALUES ('a', 0, 4), ('b', 1, 2)) x(dataset, ordinal, draws)),
+g AS (SELECT CASE WHEN row_id % 2 = 0 THEN 'a' ELSE 'b' END AS dataset, pid, chrom, bin, sum(value) AS v FROM v_cov JOIN v_members USING (row_id) GROUP BY 1, 2, 3, 4),
+n AS (SELECT dataset, pid, sum(v) AS n FROM g GROUP BY 1, 2),
+u AS (SELECT n.dataset, v_peak.name, n.pid, (('0x' || substr(md5(concat(v_peak.name, '|', n.pid, '|', 0)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM v_peak, n),
+w AS (SELECT *, row_number() OVER (PARTITION BY dataset, name ORDER BY -ln(u), pid) AS k FROM u),
+r AS (SELECT g.dataset, p.name, g.pid, p.en - p.st AS size, g.v FROM g JOIN v_peak p ON p.chrom = g.chrom AND g.bin * 100 < p.en AND p.st < (g.bin + 1) * 100)
+SELECT r.dataset, CAST(d.ordinal AS INT) AS ordinal, r.name, r.pid, CAST(max(size) AS INT) AS n_bases, count(*) AS n_bins, round(sum(v / (n / 1e6)), 4) AS total
+FROM r JOIN n USING (dataset, pid) JOIN d USING (dataset) JOIN w ON w.dataset = r.dataset AND w.name = r.name AND w.pid = r.pid AND k <= draws GROUP BY 1, 2, 3, 4""")
+def c8(t):
+    """Cells of even and of odd number as two datasets, of which the first weighs twice the second."""
+    tiles, sizes = dealt_genome(seqs(t))
+    regions = t.v_peak.select("chrom", "start", "end", "name")
+    offsets = intervals.chrom_offsets(t.v_chrom)
+
+    def dataset(odd: int) -> dict:
+        store = t.v_cov.filter(F.col("row_id") % 2 == odd)
+        depths = coverage.depth(coverage.merge_rows(store, t.v_members, ["chrom", "bin"]), 1e6)
+        return {"regions": regions, "store": store, "members": t.v_members, "depths": depths, "tiles": tiles, "offsets": offsets, "resolution": 100}
+
+    weights = t.spark.createDataFrame([("a", 1.0), ("b", 0.5)], "key string, weight double")
+    rows = P.multi_dataset_rows({"a": dataset(0), "b": dataset(1)}, weights, 4)
+    total = F.aggregate("bins", F.lit(0.0), lambda s, x: s + x["value"])
+    return rows.select("dataset", "ordinal", "name", "pid", F.length("seq").alias("n_bases"), F.size("bins").cast("long").alias("n_bins"), F.round(total, 4).alias("total"))
