@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locuslake.functions.regions import format_region, meta_bin
 from locuslake.operators.checks import small
 from locuslake.operators.intervals import BIN, densify, fitting_width, overlap
 from locuslake.operators.ordered import ordinals
@@ -285,3 +286,22 @@ def group_matrix(merged: DataFrame, groups: list[str] | None = None, chroms: lis
     if missing:
         raise KeyError(f"groups not in the matrix: {sorted(missing)}")
     return rows.filter(F.col("pid").isin(list(groups)))
+
+
+def meta_regions(regions: DataFrame, width: int) -> DataFrame:
+    """regions with `meta`, the window "chrom:start-end" that spans all regions of their bin on a coarse grid, and their place in
+    it: meta_start, rel_start, rel_end. A region's bin is that of the end of it that more of it lies at (meta_bin)."""
+    own = regions.withColumn("_meta", meta_bin(F.col("start"), F.col("end"), width))
+    spans = own.groupBy("chrom", "_meta").agg(F.min("start").alias("meta_start"), F.max("end").alias("_end"))
+    placed = own.join(spans, ["chrom", "_meta"]).withColumn("meta", format_region(F.col("chrom"), F.col("meta_start"), F.col("_end")))
+    return placed.withColumns({"rel_start": F.col("start") - F.col("meta_start"), "rel_end": F.col("end") - F.col("meta_start")}).select(*regions.columns, "meta", "meta_start", "rel_start", "rel_end")
+
+
+def meta_signal(regions: DataFrame, points: DataFrame, width: int, keys: tuple[str, ...] = (), pos: str = "pos", value: str = "n") -> DataFrame:
+    """(meta, keys, offset, value): the tracks of all regions of a meta-region laid into it; positions that no region covers are
+    not rows, and a position in several of its regions is one. points: chrom, pos, value, and keys that tell tracks apart."""
+    placed = meta_regions(regions.select("chrom", "start", "end").distinct(), width)
+    summed = points.groupBy("chrom", pos, *keys).agg(F.sum(value).alias("value")).withColumns({"start": F.col(pos), "end": F.col(pos) + 1})
+    hits = overlap(placed.select("chrom", "start", "end", "meta", "meta_start"), summed, fitting_width(placed), "_p")
+    columns = ["meta", *[F.col(f"{k}_p").alias(k) for k in keys], (F.col(f"{pos}_p") - F.col("meta_start")).alias("offset"), F.col("value_p").alias("value")]
+    return hits.select(*columns).distinct()

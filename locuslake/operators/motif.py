@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -163,6 +163,11 @@ def merge_hits(hits: DataFrame, key: str = "name") -> DataFrame:
     return runs.groupBy(key, "motif_id", "strand", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score"), F.count("*").alias("n")).drop("_run")
 
 
+def name_of(header: Column) -> Column:
+    """The motif's id in a header like "MA0478.2<tab>FOSL2": what stands before the first tab or space."""
+    return F.split_part(F.split_part(header, F.lit("\t"), F.lit(1)), F.lit(" "), F.lit(1))
+
+
 def split_names(hits: DataFrame, names: str, keep: DataFrame | None = None, out: str = "motif") -> DataFrame:
     """One row per name of a comma-joined list, only the wanted ones."""
     rows = hits.withColumn(out, F.explode(F.split(names, r"\s*,\s*"))).filter(F.col(out) != "")

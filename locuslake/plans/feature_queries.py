@@ -126,3 +126,22 @@ def c8(t):
     rows = P.multi_dataset_rows({"a": dataset(0), "b": dataset(1)}, weights, 4)
     total = F.aggregate("bins", F.lit(0.0), lambda s, x: s + x["value"])
     return rows.select("dataset", "ordinal", "name", "pid", F.length("seq").alias("n_bases"), F.size("bins").cast("long").alias("n_bins"), F.round(total, 4).alias("total"))
+
+
+@query("g8_meta_regions", """WITH b AS (SELECT *, CASE WHEN st // 2000 = en // 2000 OR 2000 - st % 2000 >= en % 2000 THEN st // 2000 ELSE en // 2000 END AS mb FROM v_peak),
+m AS (SELECT chrom, mb, min(st) AS ms, max(en) AS me FROM b GROUP BY 1, 2), i AS (SELECT chrom, pos, CAST(sum(n) AS BIGINT) AS value FROM v_ins GROUP BY 1, 2)
+SELECT DISTINCT concat(m.chrom, ':', ms, '-', me) AS meta, i.pos - ms AS "offset", i.value FROM b JOIN m USING (chrom, mb) JOIN i ON i.chrom = b.chrom AND i.pos >= b.st AND i.pos < b.en""")
+def g8(t):
+    return coverage.meta_signal(t.v_peak, t.v_ins, 2000)
+
+
+@query("g8_meta_places", """WITH b AS (SELECT *, CASE WHEN st // 2000 = en // 2000 OR 2000 - st % 2000 >= en % 2000 THEN st // 2000 ELSE en // 2000 END AS mb FROM v_peak), m AS (SELECT chrom, mb, min(st) AS ms, max(en) AS me FROM b GROUP BY 1, 2)
+SELECT name, concat(chrom, ':', ms, '-', me) AS meta, st - ms AS rel_start, en - ms AS rel_end FROM b JOIN m USING (chrom, mb)""")
+def g8b(t):
+    return coverage.meta_regions(t.v_peak, 2000).select("name", "meta", "rel_start", "rel_end")
+
+
+@query("u6_motif_names", "SELECT p_partkey, concat('MA', p_size) AS motif FROM part")
+def u6(t):
+    header = F.concat(F.lit("MA"), "p_size", F.when(F.col("p_partkey") % 2 == 0, "\t").otherwise(" "), "p_name")
+    return t.part.select("p_partkey", motif.name_of(header).alias("motif"))
