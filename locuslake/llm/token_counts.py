@@ -37,8 +37,8 @@ CHUNK, OVERLAP, WIDER = 1 << 15, 512, 8
 #: The pattern looks three characters ahead at most; special tokens add their length.
 MARGIN = 4
 LIMIT = 1024
-#: Texts handed to the library at once, and words whose tokens it keeps, some 200 bytes each.
-BATCH, WORDS_KEPT = 128, 1 << 18
+#: Texts handed to the library at once.
+BATCH = 128
 
 
 @lru_cache(maxsize=4)
@@ -62,8 +62,6 @@ def load(vocabulary: str):
     tokenizer = Tokenizer.from_file(str(vocabulary))
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    if hasattr(tokenizer.model, "_resize_cache"):
-        tokenizer.model._resize_cache(WORDS_KEPT)
     return tokenizer, MARGIN + max([len(t["content"]) for t in added], default=0) if provable else None
 
 
