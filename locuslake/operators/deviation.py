@@ -56,7 +56,7 @@ def deviations(counts: DataFrame, matches: DataFrame, background: DataFrame) ->
     # features outside the counts stand in sets, too
     n_motifs, iterations = matches.agg(F.approx_count_distinct("motif")).first()[0], (background.agg(F.max("iter")).first()[0] or 0) + 1
     tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_cells = max(1, -(-size["cells"] // CELLS), min(tasks, size["cells"] // 64))
+    n_cells = max(1, -(-size["cells"] // CELLS), min(tasks, size["cells"] // 128))
     n_features, n_motif_blocks = max(1, -(-size["features"] // FEATURES)), max(1, -(-n_motifs // MOTIFS))
     block = lambda c, n, name: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias(name)
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
