@@ -211,6 +211,24 @@ def nearby(regions: DataFrame, most: int, key: str, seed: int = 0) -> DataFrame:
     return wanted.join(placed.select("chrom", "_rank", F.col("_key").alias("partner")), ["chrom", "_rank"]).select(key, "partner")
 
 
+def nearby_of_any_length(regions: DataFrame, most: int, key: str, seed: int = 0) -> DataFrame:
+    """(key, partner): for each region one of its chromosome with a gap of less than `most` between their ends, itself
+    included, of whatever lengths; of all in reach the one with the least hash of both keys.
+
+    With lengths that differ, those in reach don't follow each other in any one order, so that ranks don't find them all:
+    each pair in reach is made once, in an equi-join on (chrom, bin). Empty regions have a place and can be drawn. The
+    join is a shuffled one: sizes of narrow tables are judged too small, and a broadcast would hold all regions.
+    """
+    width = max(BIN, 2 * most)
+    binned = lambda df, s, e: df.withColumn("_bin", _bins(F.col(s), F.greatest(F.col(e), F.col(s) + 1), width))
+    own = regions.select("chrom", F.col(key).alias("_key"), F.greatest(F.col("start") - most, F.lit(0)).alias("_from"), (F.col("end") + most).alias("_to"))
+    other = regions.select("chrom", F.col(key).alias("_other"), "start", "end")
+    meet = (F.col("_from") < F.col("end")) & (F.col("start") < F.col("_to")) & (F.col("_bin") == F.floor(F.greatest("_from", "start") / width))
+    pairs = binned(own, "_from", "_to").join(binned(other, "start", "end").hint("merge"), ["chrom", "_bin"]).filter(meet)
+    drawn = F.md5(F.concat_ws("|", F.col("_key").cast("string"), F.col("_other").cast("string"), F.lit(str(seed))))
+    return pairs.groupBy(F.col("_key").alias(key)).agg(F.min_by("_other", F.struct(drawn, "_other")).alias("partner"))
+
+
 def minimum_cover(regions: DataFrame) -> DataFrame:
     """Few regions that cover each cluster: from the first on, jump to the last one that overlaps the current one, or
     to the next one if none does. Of regions with equal ends one stands for all: the least by its other columns.

@@ -3,6 +3,7 @@ task could not hold a group."""
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -120,6 +121,24 @@ def test_nearby_of_a_dense_chromosome(spark, monkeypatch):
     assert len(got) == n and np.abs(gaps).max() < 5000 and abs(gaps.mean()) < 150 and abs(np.abs(gaps).mean() - 2500) < 100
 
 
+def test_nearby_query_draws_from_all_in_reach(spark, tmp_path):
+    """Regions of many lengths, empty ones and ones longer than a bin among them: the partner is the least by hash of all whose
+    gap is under 5000, those that start further away included."""
+    from locuslake.plans import queries
+
+    r = random.Random(5)
+    sizes = {k: r.choice([0, 1, 10, 50, 50, 300, 3000, None]) for k in r.sample(range(1, 3000), 400)}
+    spark.createDataFrame(list(sizes.items()), "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {x["name"]: x["partner"] for x in queries.QUERIES["j8_nearby"](spark, str(tmp_path)).collect()}
+    place = {f"p{k}": (k % 7, k * 100, k * 100 + n * 20) for k, n in sizes.items() if n is not None}
+    want, far = {}, 0
+    for a, (chrom, start, end) in place.items():
+        reach = [b for b, (c, s, e) in place.items() if c == chrom and max(start - 5000, 0) < e and s < end + 5000]
+        want[a] = min(reach, key=lambda b: (hashlib.md5(f"{a}|{b}|0".encode()).hexdigest(), b))  # noqa: B023
+        far += abs(place[want[a]][1] - start) >= 5000
+    assert got == want and far > 20
+
+
 def test_fasta_in_several_files_and_splits(spark, tmp_path):
     r, want = random.Random(3), {}
     for f in range(3):
