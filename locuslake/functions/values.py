@@ -31,9 +31,17 @@ def unsquash(y: Column, power: float, threshold: float) -> Column:
     return F.pow(x, F.lit(1.0 / power))
 
 
-def one_hot(x: Column, vocabulary: list) -> Column:
-    """0/1 doubles in the order of the vocabulary; all zero for an unknown or null value."""
-    return F.array(*[F.coalesce((x == F.lit(v)).cast("double"), F.lit(0.0)) for v in vocabulary])
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as DuckDB does it: the product with 10^digits half away from zero, and what becomes zero keeps its sign."""
+    scale = float(10**digits)
+    y = F.round(x * scale, 0) / scale
+    return F.when(F.isnan(y) | (F.abs(y) == float("inf")), x).when(y == 0, x * 0.0).otherwise(y)
+
+
+def one_hot(x: Column, vocabulary: list, keep_null: bool = False) -> Column:
+    """0/1 doubles in the order of the vocabulary; all zero for an unknown or null value, or all null for null if that is kept."""
+    hot = [(x == F.lit(v)).cast("double") for v in vocabulary]
+    return F.array(*(hot if keep_null else [F.coalesce(h, F.lit(0.0)) for h in hot]))
 
 
 def pad_or_cut(rows: Column, n: int, width: int) -> Column:
