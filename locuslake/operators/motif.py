@@ -86,17 +86,59 @@ def log_odds_rows(pwm: DataFrame, background: tuple[float, float, float, float]
     return pwm.select("motif_id", "pos", *[F.log2((F.col(x) + pseudo * b) / total / b).alias(x) for x, b in zip("acgt", background, strict=True)])
 
 
+#: Most partial words that best_words() keeps of a motif; where it would take more, scores are convolved.
+WORDS = 256
+
+
+def _few_words(length: int, p_value: float, background: tuple[float, ...]) -> bool:
+    """Whether best_words() serves: it keeps at most WORDS words, and sums of probabilities are exact, as they are with
+    powers of two, so that the order of adding them doesn't matter where they meet p_value."""
+    exact = all(np.frexp(b)[0] == 0.5 for b in background)
+    return exact and p_value < 1 and min(4.0**length, p_value / min(background) ** length + 1) <= WORDS
+
+
+def best_words(matrices: np.ndarray, p_value: float, background: tuple[float, ...], steps: int = STEPS) -> np.ndarray:
+    """threshold() of many motifs of one length (motifs x positions x ACGT): words by how much their rounded score falls
+    short of the best one, up to the first at which more than p_value has come together. A partial word can be left out
+    behind one at which the words before it, with their best ends alone, exceed p_value."""
+    low = matrices.min(axis=2, keepdims=True)
+    unit = np.maximum((matrices.max(axis=2) - low[..., 0]).max(axis=1) / steps, 1e-9)
+    cells = np.rint((matrices - low) / unit[:, None, None]).astype(np.int64)
+    short = cells.max(axis=2, keepdims=True) - cells
+    ends = np.array(background)[cells.argmax(axis=2)]
+    loss, mass = np.zeros((len(cells), 1), np.int64), np.ones((len(cells), 1))
+    for k in range(cells.shape[1]):
+        loss = (loss[:, :, None] + short[:, k, None, :]).reshape(len(cells), -1)
+        mass = (mass[:, :, None] * np.array(background)).reshape(len(cells), -1)
+        order = np.argsort(loss, axis=1, kind="stable")
+        loss, mass = np.take_along_axis(loss, order, 1), np.take_along_axis(mass, order, 1)
+        over = np.cumsum(mass, axis=1) * ends[:, k + 1 :].prod(axis=1)[:, None] > p_value
+        first = np.where(over.any(axis=1), over.argmax(axis=1), loss.shape[1] - 1)
+        loss, mass = loss[:, : first.max() + 1], mass[:, : first.max() + 1]
+    at = cells.max(axis=2).sum(axis=1) - loss[np.arange(len(cells)), first] + 1
+    return at * unit + low.sum(axis=(1, 2))
+
+
 def thresholds(pwm: DataFrame, p_value: float = 1e-4, background: tuple[float, float, float, float] = (0.25,) * 4) -> DataFrame:
     """(motif_id, length, matrix, threshold): log-odds matrix (row by row) and threshold of each motif.
 
-    A motif's score distribution is a convolution in a task of its own; its group is its positions.
+    A motif's positions are gathered into a row; motifs of one length are done together where a few words decide, others by
+    a convolution of their own.
     """
+    gathered = pwm.groupBy("motif_id").agg(F.array_sort(F.collect_list(F.struct("pos", *[F.col(b).cast("double").alias(b) for b in "acgt"]))).alias("x"))
+    flat = gathered.select("motif_id", F.size("x").alias("length"), F.flatten(F.transform("x", lambda x: F.array(*[x[b] for b in "acgt"]))).alias("matrix"))
 
-    def model(rows: pd.DataFrame) -> pd.DataFrame:
-        m = log_odds(rows.sort_values("pos")[["a", "c", "g", "t"]].to_numpy(float), background)
-        return pd.DataFrame({"motif_id": [rows["motif_id"].iloc[0]], "length": [len(m)], "matrix": [m.ravel().tolist()], "threshold": [threshold(m, p_value, background)]})
-
-    return pwm.groupBy("motif_id").applyInPandas(model, f"motif_id {dict(pwm.dtypes)['motif_id']}, length int, matrix array<double>, threshold double")
+    def model(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for length, rows in batch.groupby("length"):
+                m = log_odds(np.concatenate(rows["matrix"].to_numpy()).reshape(-1, 4).astype(float), background).reshape(len(rows), -1, 4)
+                if _few_words(length, p_value, background):
+                    limits = best_words(m, p_value, background)
+                else:
+                    limits = [threshold(x, p_value, background) for x in m]
+                yield pd.DataFrame({"motif_id": rows["motif_id"], "length": rows["length"], "matrix": list(m.reshape(len(rows), -1)), "threshold": limits})
+
+    return flat.mapInPandas(model, f"motif_id {dict(pwm.dtypes)['motif_id']}, length int, matrix array<double>, threshold double")
 
 
 def models(pwm: DataFrame, p_value: float = 1e-4, background: tuple[float, float, float, float] = (0.25,) * 4) -> dict[str, tuple[np.ndarray, float]]:

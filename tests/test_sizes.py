@@ -60,3 +60,26 @@ def test_fragments_past_the_end_of_a_chromosome_are_left_out(spark, tables):
     frame = queries.QUERIES["j3_locate"](spark, d)
     assert compare(frame, d, queries.ORACLES["j3_locate"]) == ""
     assert 0 < frame.count() < line.filter("l_linenumber < 8").count()
+
+
+def test_thresholds_of_many_motifs_are_those_of_one():
+    """Rows of words and the convolution agree to the step, with ties, flat positions and words of equal mass."""
+    import numpy as np
+
+    from locuslake.operators import motif
+
+    r, done = np.random.default_rng(0), 0
+    for background in ((0.25,) * 4, (0.5, 0.25, 0.125, 0.125)):
+        for p_value in (1e-3, 1e-4, 0.02, 0.25, 0.999):
+            for length in (n for n in range(1, 9) if motif._few_words(n, p_value, background)):
+                m = motif.log_odds(r.integers(0, 8, (50 * length, 4)).astype(float), background).reshape(-1, length, 4)
+                m[0], m[1, 0] = 0.0, 1.0
+                assert np.allclose(motif.best_words(m, p_value, background), [motif.threshold(x, p_value, background) for x in m], atol=1e-9, rtol=0)
+                done += 1
+    assert done > 30 and not motif._few_words(4, 0.02, (0.3, 0.2, 0.2, 0.3)) and not motif._few_words(15, 1e-4, (0.25,) * 4)
+
+
+def test_thresholds_start_no_group_in_python(spark):
+    """A motif is a row of a batch; a Python group for each took a millisecond and more."""
+    plan = queries.QUERIES["m2_threshold"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroups" not in plan
