@@ -190,25 +190,43 @@ def background_peaks(peaks: DataFrame, iterations: int, bins: int = 50, width: f
 
     A peak's partner comes from a grid bin drawn by a Gaussian of the bins' distance times the bin's count, then
     evenly from that bin. Bins (at most bins^2) are weighed on the driver; draws are equi-joins. The table of weights has
-    a row for each bin, of the bins within some eight widths of it, and is broadcast where its entries are few enough.
+    a row for each bin and each SLOTS-th of (0, 1), with the few sums of weights that lie in it, of bins within some
+    eight widths; it is broadcast where its entries are few enough. Peaks are dealt out before draws are made of them.
     """
-    g = grid_bins(whiten(peaks, x, y), bins).select("feature", "wx", "wy", "bin")
+    g = park(grid_bins(whiten(park(peaks.select("feature", x, y), "peaks"), x, y), bins).select("feature", "wx", "wy", "bin"), "bins")
     held = g.groupBy("bin").agg(F.count("*").alias("n"), F.avg("wx").alias("x"), F.avg("wy").alias("y")).orderBy("bin").toPandas()
     xy, n = held[["x", "y"]].to_numpy(), held["n"].to_numpy()
     w = np.exp(-((xy[:, None, :] - xy[None, :, :]) ** 2).sum(axis=2) / (2 * width**2)) * n[None, :]
     cdf = np.cumsum(w / w.sum(axis=1, keepdims=True), axis=1)
     # targets whose weight is lost in the sum's last bit are never drawn: a few hundred of a row are left
     seen = np.diff(cdf, axis=1, prepend=0.0) > 0
-    rows = [(int(held["bin"][i]), cdf[i][seen[i]].tolist(), [int(b) for b in held["bin"][seen[i]]]) for i in range(len(held))]
-    table = peaks.sparkSession.createDataFrame(rows, "bin int, cdf array<double>, to array<int>")
-    draws = g.select("feature", "bin", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iter")).join(small(table, n=int(seen.sum())), "bin")
+    rows = [(int(held["bin"][i]), *slot) for i in range(len(held)) for slot in _slots(cdf[i][seen[i]], held["bin"].to_numpy()[seen[i]])]
+    spark = peaks.sparkSession
+    table = spark.createDataFrame(rows, "bin int, slot int, cdf array<double>, to array<int>")
+    dealt = g.select("feature", "bin").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n.sum()) * iterations // DRAWS)), "feature")
     u = uniform(seed, F.col("feature"), F.col("iter"))
-    at = F.least(F.size(F.filter("cdf", lambda c: c <= F.col("u"))), F.size("cdf") - 1)
-    draws = draws.withColumn("u", u).withColumn("to_bin", F.get("to", at)).select("feature", "iter", "to_bin")
+    draws = dealt.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("u", u).withColumn("slot", F.floor(F.col("u") * SLOTS).cast("int"))
+    draws = draws.join(small(table, n=len(rows) + int(seen.sum())), ["bin", "slot"])
+    at = F.least(F.size(F.filter("cdf", lambda c: c <= F.col("u"))), F.size("to") - 1)
+    draws = draws.withColumn("to_bin", F.get("to", at)).select("feature", "iter", "to_bin")
     ranked = g.select(F.col("bin").alias("to_bin"), F.col("feature").alias("bg_feature"), (F.row_number().over(W.partitionBy("bin").orderBy("feature")) - 1).alias("k"))
-    sizes = ranked.groupBy("to_bin").agg(F.count("*").alias("m"))
+    sizes = g.groupBy(F.col("bin").alias("to_bin")).agg(F.count("*").alias("m"))
     k = F.floor(uniform(seed + 1, F.col("feature"), F.col("iter")) * F.col("m"))
-    return draws.join(small(sizes, n=len(held)), "to_bin").withColumn("k", k.cast("int")).join(ranked, ["to_bin", "k"]).select("feature", "iter", "bg_feature")
+    drawn = draws.join(small(sizes, n=len(held)), "to_bin").withColumn("k", k.cast("int"))
+    # draws are many for each peak: they are not sorted to find it
+    return drawn.join(ranked.hint("shuffle_hash"), ["to_bin", "k"]).select("feature", "iter", "bg_feature")
+
+
+#: Parts of (0, 1) by which draws find their place in the sums of weights (a power of two), and draws of a task.
+SLOTS, DRAWS = 64, 2_000_000
+
+
+def _slots(cdf: np.ndarray, to: np.ndarray) -> Iterator[tuple[int, list[float], list[int]]]:
+    """(slot, sums of weights inside of it, targets): a draw in the slot has the target numbered by the sums not above it."""
+    first = np.searchsorted(cdf, np.arange(SLOTS) / SLOTS, side="right")
+    last = np.searchsorted(cdf, np.arange(1, SLOTS + 1) / SLOTS, side="left")
+    for slot, (a, b) in enumerate(zip(first, last, strict=True)):
+        yield slot, cdf[a:b].tolist(), to[min(a, len(to) - 1) : b + 1].tolist()
 
 
 def standardize_scores(scores: DataFrame, group: list[str], value: str = "z") -> DataFrame:

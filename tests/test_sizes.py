@@ -83,3 +83,25 @@ def test_thresholds_start_no_group_in_python(spark):
     """A motif is a row of a batch; a Python group for each took a millisecond and more."""
     plan = queries.QUERIES["m2_threshold"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" in plan and "FlatMapGroups" not in plan
+
+
+def test_slots_find_what_the_whole_sums_find():
+    import numpy as np
+
+    from locuslake.operators import deviation
+
+    r = np.random.default_rng(3)
+    for n in (1, 2, 7, 300):
+        w = r.random(n) ** 8 + 1e-9
+        cdf, to = np.cumsum(w / w.sum()), r.permutation(n)
+        slots = {k: (np.array(c), t) for k, c, t in deviation._slots(cdf, to)}
+        assert len(slots) == deviation.SLOTS and sum(len(c) for c, _ in slots.values()) <= n
+        for u in [*r.random(3000), *(cdf[cdf < 1]), *(np.arange(64) / 64), 1 - 2.0**-53]:
+            c, t = slots[int(u * deviation.SLOTS)]
+            assert t[min(int((c <= u).sum()), len(t) - 1)] == to[min(int((cdf <= u).sum()), n - 1)]
+
+
+def test_background_draws_are_dealt_out_and_not_sorted(spark):
+    """Draws are made after the peaks have been dealt to tasks, and meet the peaks without a sort of all draws."""
+    plan = queries.QUERIES["a23_background"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
