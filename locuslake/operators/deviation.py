@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,6 +35,8 @@ def expected_counts(counts: DataFrame) -> DataFrame:
 
 #: Most cells, features and motifs of a tile, and tiles' rows handed to Python at once (some hundred kilobytes each).
 CELLS, FEATURES, MOTIFS, TILES_AT_ONCE = 4096, 1024, 16, 32
+#: Entries of sets that a task packs at once.
+ENTRIES = 2_000_000
 
 
 def deviations(counts: DataFrame, matches: DataFrame, background: DataFrame) -> DataFrame:
@@ -47,7 +49,8 @@ def deviations(counts: DataFrame, matches: DataFrame, background: DataFrame) ->
     Observed counts are a product of sparse matrices: cells by features times features by sets, a set being a motif and
     an iteration. It is made in blocks: a task has some cells and some motifs, gets the blocks of both matrices feature
     block by feature block, and keeps its sums, so that neither counts nor products are repeated for each set in any
-    shuffle. Rows that are shuffled are the entries of both matrices, and their blocks once for each task that needs them.
+    shuffle. Rows that are shuffled are the entries of both matrices, and their blocks once for each task that needs them;
+    blocks of sets hold two bytes for an entry, and there are as many blocks of cells as memory and the cores ask for.
     """
     spark = counts.sparkSession
     counts = counts.filter("cell is not null and feature is not null").groupBy("cell", "feature").agg(F.sum("n").cast("double").alias("n"))
@@ -55,17 +58,16 @@ def deviations(counts: DataFrame, matches: DataFrame, background: DataFrame) ->
     size = counts.agg(F.approx_count_distinct("cell").alias("cells"), F.approx_count_distinct("feature").alias("features"), F.sum("n").alias("all")).first()
     # features outside the counts stand in sets, too
     n_motifs, iterations = matches.agg(F.approx_count_distinct("motif")).first()[0], (background.agg(F.max("iter")).first()[0] or 0) + 1
-    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = 2 * spark.sparkContext.defaultParallelism
     n_cells = max(1, -(-size["cells"] // CELLS), min(tasks, size["cells"] // 128))
     n_features, n_motif_blocks = max(1, -(-size["features"] // FEATURES)), max(1, -(-n_motifs // MOTIFS))
     block = lambda c, n, name: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias(name)
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
 
     own = matches.select("motif", F.lit(0).alias("set"), "feature")
-    drawn = matches.join(background, "feature").select("motif", (F.col("iter") + 1).cast("int").alias("set"), F.col("bg_feature").alias("feature"))
-    entry = F.struct("feature", "motif", "set")
-    sets = own.unionByName(drawn).groupBy(block("feature", n_features, "fb"), block("motif", n_motif_blocks, "mb")).agg(F.collect_list(entry).alias("x"))
-    sets = sets.select(every(n_cells, "cb"), "mb", "fb", F.lit(2).alias("kind"), F.col("x.feature").alias("feature"), F.col("x.motif").alias("motif"), F.col("x.set").alias("set"))
+    drawn = background.join(matches.hint("shuffle_hash"), "feature").select("motif", (F.col("iter") + 1).cast("int").alias("set"), F.col("bg_feature").alias("feature"))
+    sets = park(_packed(own.unionByName(drawn).filter("feature is not null"), block("feature", n_features, "fb"), block("motif", n_motif_blocks, "mb"), iterations + 1), "sets")
+    sets = sets.select(every(n_cells, "cb"), "mb", "fb", F.lit(2).alias("kind"), "feature", F.array("motif").alias("motif"), "times", "sets")
     totals = counts.groupBy("feature").agg(F.sum("n").alias("n")).groupBy(block("feature", n_features, "fb")).agg(F.collect_list(F.struct("feature", "n")).alias("x"))
     totals = totals.select(every(n_cells, "cb"), "fb", "x").select("cb", every(n_motif_blocks, "mb"), "fb", F.lit(1).alias("kind"), F.col("x.feature").alias("feature"), F.col("x.n").alias("n"))
     cells = counts.groupBy("cell").agg(F.sum("n").alias("n")).groupBy(block("cell", n_cells, "cb")).agg(F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("x"))
@@ -75,11 +77,64 @@ def deviations(counts: DataFrame, matches: DataFrame, background: DataFrame) ->
     parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [cells, totals, sets, tiles])
     parts = parts.repartition(4 * min(tasks, n_cells * n_motif_blocks), "cb", "mb").sortWithinPartitions("cb", "mb", "fb", "kind")
     schema = f"cell {dict(counts.dtypes)['cell']}, motif {dict(matches.dtypes)['motif']}, z double"
-    scored = parts.select("cb", "mb", "kind", "cell", "feature", "motif", "set", "n").mapInPandas(_scorer(iterations + 1, size["all"] or 0.0), schema)
+    scored = parts.select("cb", "mb", "kind", "cell", "feature", "motif", "times", "sets", "n").mapInPandas(_scorer(iterations + 1, size["all"] or 0.0), schema)
     with batches_of(spark, TILES_AT_ONCE):
         return park(scored, "deviations")
 
 
+def _packed(entries: DataFrame, fb: Column, mb: Column, n_sets: int, most: int = ENTRIES) -> DataFrame:
+    """(fb, mb, motif, feature, times, sets): entries (feature, motif, set) of a motif in a feature block, as features, how
+    many entries each has, and these entries' sets as bytes. A block may have several rows; a task packs about `most` entries at once."""
+    kinds, width = dict(entries.dtypes), _set_type(n_sets)
+
+    def rows_of(batches: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(batches, ignore_index=True)
+        motif, motifs = pd.factorize(rows["motif"], use_na_sentinel=False)
+        feature, features = pd.factorize(rows["feature"])
+        blocks = rows[["fb", "mb"]].to_numpy()
+        own = np.zeros(len(features), np.int64)
+        own[feature] = blocks[:, 0]
+        motif_block = np.zeros(len(motifs), np.int64)
+        motif_block[motif] = blocks[:, 1]
+        # features in the order of their blocks, so that one number orders block, motif, feature and set
+        rank = np.argsort(own, kind="stable")
+        place = np.empty(len(rank), np.int64)
+        place[rank] = np.arange(len(rank))
+        block_ids, block_at = np.unique(own, return_inverse=True)
+        key = np.sort(((block_at[feature] * len(motifs) + motif) * len(features) + place[feature]) * n_sets + rows["set"].to_numpy())
+        sets, pair = (key % n_sets).astype(width), key // n_sets
+        starts = np.flatnonzero(np.diff(pair, prepend=-1))
+        times, group = np.diff(starts, append=len(pair)), pair[starts] // len(features)
+        found = np.asarray(features)[rank][pair[starts] % len(features)]
+        edges = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(group)]
+        for lo in range(0, len(edges) - 1, 64):
+            some = list(zip(edges[lo : lo + 64], edges[lo + 1 : lo + 65], strict=False))
+            at = np.array([group[a] for a, _ in some])
+            ends = [(starts[a], starts[b] if b < len(starts) else len(pair)) for a, b in some]
+            names = motifs[at % len(motifs)]
+            yield pd.DataFrame({
+                "fb": block_ids[at // len(motifs)], "mb": motif_block[at % len(motifs)], "motif": names,
+                "feature": [found[a:b] for a, b in some], "times": [times[a:b] for a, b in some], "sets": [sets[x:y].tobytes() for x, y in ends],
+            })
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + len(batch)
+            if n >= most:
+                yield from rows_of(held)
+                held, n = [], 0
+        if n:
+            yield from rows_of(held)
+
+    dealt = entries.select(fb, mb, "feature", "motif", "set").repartition("fb")
+    return dealt.mapInPandas(pack, f"fb int, mb int, motif {kinds['motif']}, feature array<{kinds['feature']}>, times array<int>, sets binary")
+
+
+def _set_type(n_sets: int) -> type:
+    return np.uint16 if n_sets <= 1 << 16 else np.uint32
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Within it Python tasks get so many rows at once; for rows that hold whole blocks. Results must be stored inside."""
@@ -106,19 +161,19 @@ class _Sums:
         order = np.argsort(features)
         self.features, self.feature_totals, self.weights = features[order], n[order], {}
 
-    def add_sets(self, features: np.ndarray, motifs: np.ndarray, sets: np.ndarray) -> None:
+    def add_sets(self, features: np.ndarray, motif: object, times: np.ndarray, sets: np.ndarray) -> None:
+        """Entries of a motif in the open block: the sets of each feature, one after another."""
         at = np.minimum(np.searchsorted(self.features, features), max(len(self.features) - 1, 0))
         counted = self.features[at] == features if len(self.features) else np.zeros(len(features), bool)
-        for motif in dict.fromkeys(motifs.tolist()):
-            own = motifs == motif
-            if motif not in self.observed:
-                self.observed[motif] = np.zeros((len(self.cells), self.n_sets))
-                self.set_totals[motif], self.present[motif] = np.zeros(self.n_sets), np.zeros(self.n_sets, bool)
-            self.present[motif][sets[own]] = True
-            own &= counted
-            weights = np.bincount(at[own] * self.n_sets + sets[own], minlength=len(self.features) * self.n_sets).reshape(-1, self.n_sets).astype(float)
-            self.weights[motif] = weights
-            self.set_totals[motif] += self.feature_totals @ weights
+        if motif not in self.observed:
+            self.observed[motif] = np.zeros((len(self.cells), self.n_sets))
+            self.set_totals[motif], self.present[motif] = np.zeros(self.n_sets), np.zeros(self.n_sets, bool)
+        self.present[motif][sets] = True
+        own = np.repeat(counted, times)
+        entries = np.repeat(at, times)[own] * self.n_sets + sets[own]
+        weights = np.bincount(entries, minlength=len(self.features) * self.n_sets).reshape(-1, self.n_sets).astype(float)
+        self.set_totals[motif] += self.feature_totals @ weights if len(self.features) else 0.0
+        self.weights[motif] = self.weights[motif] + weights if motif in self.weights else weights
 
     def add_counts(self, cells: np.ndarray, features: np.ndarray, n: np.ndarray) -> None:
         order = np.argsort(cells, kind="stable")
@@ -159,7 +214,7 @@ def _scorer(n_sets: int, all_counts: float):
                 elif row.kind == 1:
                     sums.open_block(np.asarray(row.feature), np.asarray(row.n))
                 elif row.kind == 2:
-                    sums.add_sets(np.asarray(row.feature), np.asarray(row.motif), np.asarray(row.set))
+                    sums.add_sets(np.asarray(row.feature), row.motif[0], np.asarray(row.times), np.frombuffer(row.sets, _set_type(n_sets)).astype(np.int64))
                 else:
                     sums.add_counts(np.asarray(row.cell), np.asarray(row.feature), np.asarray(row.n))
         if sums is not None:

@@ -105,3 +105,28 @@ def test_background_draws_are_dealt_out_and_not_sorted(spark):
     """Draws are made after the peaks have been dealt to tasks, and meet the peaks without a sort of all draws."""
     plan = queries.QUERIES["a23_background"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_packed_sets_hold_all_entries_in_two_bytes_each(spark, kind):
+    """Blocks that come in one row or in several, with repeated entries and a null motif."""
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from locuslake.operators import deviation
+
+    r = random.Random(1)
+    rows = [(r.randrange(300), r.choice([None, 1, 2, 2**40 + 1]), r.randrange(251)) for _ in range(25_000)] + [(5, 1, 7)] * 3
+    entries = spark.createDataFrame(rows, "feature long, motif long, set int").select(F.col("feature").cast(kind).alias("feature"), "motif", "set")
+    fb, mb = F.pmod(F.xxhash64("feature"), F.lit(4)).cast("int").alias("fb"), F.lit(0).alias("mb")
+    for most in (1, 10**9):
+        packed = deviation._packed(entries, fb, mb, 251, most).collect()
+        got = []
+        for p in packed:
+            assert len(p["sets"]) == 2 * sum(p["times"]) and len(p["feature"]) == len(p["times"])
+            features = np.repeat(np.array(p["feature"], dtype=object), p["times"])
+            got += [(int(f), p["motif"], int(k)) for f, k in zip(features, np.frombuffer(p["sets"], np.uint16), strict=True)]
+        assert sorted(got, key=repr) == sorted(rows, key=repr)
+        assert (len(packed) == 16) == (most > 1)
