@@ -130,3 +130,27 @@ def test_packed_sets_hold_all_entries_in_two_bytes_each(spark, kind):
             got += [(int(f), p["motif"], int(k)) for f, k in zip(features, np.frombuffer(p["sets"], np.uint16), strict=True)]
         assert sorted(got, key=repr) == sorted(rows, key=repr)
         assert (len(packed) == 16) == (most > 1)
+
+
+@pytest.mark.parametrize(("ca_limit", "atom_limit", "min_gap"), [(3.0, 2.0, 1), (2.0, 3.0, 2), (2.5, 2.5, 0)])
+def test_contacts_against_all_pairs(spark, ca_limit, atom_limit, min_gap):
+    """Chains, several atoms of a residue, negative places; atoms are joined once, and pairs are not joined again."""
+    import random
+
+    from locuslake.operators import structure
+
+    r = random.Random(2)
+    atoms = [(s, c, k, n, *[r.uniform(-6, 6) for _ in "xyz"]) for s in "st" for c in "AB" for k in range(25) for n in ("CA", "CB", "CB2")]
+    frame = structure.contacts(spark.createDataFrame(atoms, "structure string, chain string, residue_id int, atom_name string, x double, y double, z double"), ca_limit, atom_limit, min_gap)
+    want: dict = {}
+    for a in atoms:
+        for b in atoms:
+            if a[0] == b[0] and (a[1] < b[1] or (a[1] == b[1] and b[2] - a[2] >= min_gap)):
+                gap = sum((p - q) * (p - q) for p, q in zip(a[4:], b[4:], strict=True)) ** 0.5
+                ca, nearest = want.get((a[:3], b[1:3]), (9.0, 9.0))
+                want[a[:3], b[1:3]] = (min(ca, gap) if a[3] == b[3] == "CA" else ca, min(nearest, gap))
+    want = {(*a, *b): (pytest.approx(ca), pytest.approx(n)) for (a, b), (ca, n) in want.items() if ca < ca_limit and n < atom_limit}
+    got = {tuple(x)[:5]: tuple(x)[5:] for x in frame.collect()}
+    assert len(want) > 10 and got.keys() == want.keys() and all(got[k] == want[k] for k in want) and frame.count() == len(got)
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Join") == 1
